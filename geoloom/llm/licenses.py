@@ -79,8 +79,9 @@ def scanned(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str
     spans = spans.withColumn("covered", F.when(F.col("last") - F.col("first") <= 2 * F.col("size"), covered).otherwise(0.0))
     noticed = spans.groupBy("doc_id").agg(F.max("covered").alias("covered"), F.collect_set(F.when(F.col("covered") >= share, F.col("label"))).alias("notice_set"))
 
-    same = lambda other: counts.doc_id.eqNullSafe(other.doc_id)
-    out = counts.join(exact, same(exact), "left").join(noticed, same(noticed), "left").select(counts["*"], *[x[c] for x in (exact, noticed) for c in x.columns if c != "doc_id"])
+    out = counts
+    for more in (exact.withColumnRenamed("doc_id", "other"), noticed.withColumnRenamed("doc_id", "other")):
+        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("other")), "left").drop("other")
     none = F.array().cast("array<string>")
     base_set, notice_set = F.coalesce("base_set", none), F.coalesce("notice_set", none)
     joined = lambda x: F.array_join(F.array_sort(x), ",")
