@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, exact, licenses, packing, quality, simhash, sstable
+from . import bytebpe, exact, licenses, packing, quality, simhash, sstable, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -51,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_license_scan, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op10_exact_dedup)}
 
 
 OP10 = r"""
