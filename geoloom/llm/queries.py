@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, exact, licenses, packing, quality, simhash, sstable, substrings
+from . import bytebpe, exact, langid, licenses, packing, quality, simhash, sstable, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "n_spans")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
@@ -50,12 +54,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op9_toxicity, op10_exact_dedup)}
 
 
 OP10 = r"""
