@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import PieceEncoder, blocks, bytes_of
+from .textblocks import PieceEncoder, blocks, bytes_of, kept_in_process, small_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,14 +87,14 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("ids", "byte_starts", "char_starts")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(read_ranks(ranks_path), pattern)
+        bpe = kept_in_process(("ranks", ranks_path, pattern), lambda: ByteBPE(read_ranks(ranks_path), pattern))
         for block in blocks(batches, "text"):
             ids, offsets = bpe.encode(block.column("text"))
             lists = [ids, *bpe.token_starts(block.column("text"), ids, offsets)]
             arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.astype(np.int32))) for x in lists]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), *arrays], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, byte_starts array<int>, char_starts array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, byte_starts array<int>, char_starts array<int>")
 
 
 def decoded(rows: DataFrame, ranks_path: str) -> DataFrame:
@@ -115,9 +115,9 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(read_ranks(ranks_path), pattern)
+        bpe = kept_in_process(("ranks", ranks_path, pattern), lambda: ByteBPE(read_ranks(ranks_path), pattern))
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for block in blocks(batches, "text", 12 << 20):
+        for block in blocks(batches, "text", 8 << 20):
             ids, offsets = bpe.encode(block.column("text"))
             sums = []
             for values, less in ((bpe.decimals, 1), (bpe.tokens, 0)):
@@ -126,4 +126,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 sums.append([sha(data[a : max(a, b - less)]) for a, b in zip(at, at[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), *map(pa.array, sums)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .letters import letter_runs
-from .textblocks import blocks, ragged
+from .textblocks import blocks, ragged, small_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -77,7 +77,7 @@ def learned(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
 
-    rows = docs.filter("lang is not null and text is not null").select("lang", "text")
+    rows = small_batches(docs).filter("lang is not null and text is not null").select("lang", "text")
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -177,7 +177,7 @@ def identified(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFram
             columns = [block.column("doc_id").cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(np.where(best < len(langs), share, 0.0)), pa.array(runs.astype(np.int32)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_spans", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, kind)
 
 
 def predicted(docs: DataFrame, rest: int = 2, of: int = 4, penalty: float = 10.0) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textblocks import PieceEncoder, blocks, with_end
+from .textblocks import blocks, file_encoder, small_batches, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
@@ -133,13 +133,9 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 1, tiers: tuple[int, ...]
     schema = pa.schema([(c.split()[0], t) for c, t in zip(SCHEMA.split(", "), types, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        encode = PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)])
+        encode, _ = file_encoder(tokenizer)
         packer = Packer(tiers, group_tokens, TaskContext.get().partitionId())
-        for block in blocks(batches, "text", 12 << 20):
+        for block in blocks(batches, "text", 8 << 20):
             ids, offsets = with_end(*encode(block.column("text")), end)
             bounds = offsets.tolist()
             for i, doc_id in enumerate(block.column("doc_id").to_pylist()):
@@ -149,4 +145,4 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 1, tiers: tuple[int, ...]
         packer.finish()
         yield packer.taken(schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import written
-from .textblocks import blocks, bytes_of, words
+from .textblocks import blocks, bytes_of, small_batches, words
 
 BYTES, SHARED = 8, 4
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
                 made.append(fingerprint_of(b" ".join(raw[bounds[i] : bounds[i + 1]].lower().split()), stops - own, stops, k, table))
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(made, pa.int64())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import new_folder, written
-from .textblocks import PieceEncoder, blocks, with_end
+from .textblocks import blocks, file_encoder, small_batches, with_end
 
 MAGIC = b"TOKSST01"
 FOOTER = "<QQQQQQB7x8s"  # index at, index size, filter at, filter size, documents, ids, bytes an id, magic
@@ -167,19 +167,16 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        from tokenizers import Tokenizer
 
         number = TaskContext.get().partitionId()
         store, top = fs.FileSystem.from_uri(folder)
         encode = writer = None
-        for block in blocks(batches, "text", 12 << 20):
+        for block in blocks(batches, "text", 8 << 20):
             if writer is None:
-                model = Tokenizer.from_file(tokenizer)
-                model.encode_special_tokens = True
-                encode = PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)])
+                encode, size = file_encoder(tokenizer)
                 store.create_dir(top, recursive=True)
                 name = f"{top}/.{uuid.uuid4().hex}"
-                writer = ShardWriter(store.open_output_stream(name), 2 if max(model.get_vocab_size(), end + 1) <= 1 << 16 else 4)
+                writer = ShardWriter(store.open_output_stream(name), 2 if max(size, end + 1) <= 1 << 16 else 4)
             ids, offsets = with_end(*encode(block.column("text")), end)
             bounds = offsets.tolist()
             for i, doc_id in enumerate(block.column("doc_id").to_pylist()):
@@ -190,7 +187,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
             store.move(name, f"{top}/{number:08d}.sst")
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, f"{folder}/{number:08d}.sst", writer.first, writer.docs, writer.ids)], schema=schema)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, "shard long, path string, first long, docs long, ids long"), "shard-list")
 
 

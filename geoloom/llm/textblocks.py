@@ -8,6 +8,7 @@ from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,6 +24,14 @@ def binary(texts: pa.Array) -> pa.LargeBinaryArray:
     return texts.cast(pa.large_binary())
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs itself. Batches to and from tasks are limited by bytes, as texts may be long, so that memory is bounded."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return docs
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows, in blocks of about most bytes of text; a longer text is a block of its own."""
     for batch in batches:
@@ -65,6 +74,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def kept_in_process(key: tuple, make):
+    """make()'s result, made once in the life of a worker process, which runs many tasks."""
+    import sys
+    from types import ModuleType
+
+    kept = sys.modules.setdefault("geoloom_kept_in_process", ModuleType("geoloom_kept_in_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -152,7 +172,7 @@ class PieceEncoder:
     encode: from a list of strings to an iterable of id sequences.
     """
 
-    def __init__(self, encode, cached: int = 400_000, at_once: int = 8192):
+    def __init__(self, encode, cached: int = 120_000, at_once: int = 2048):
         self.encode, self.cached, self.at_once = encode, cached, at_once
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -184,6 +204,19 @@ class PieceEncoder:
         return np.frombuffer(coded_ids.buffers()[2], np.uint32, starts[-1]), starts[first]
 
 
+def file_encoder(path: str) -> tuple[PieceEncoder, int]:
+    """An encoder by a tokenizers file, without special tokens, and its vocabulary's size."""
+
+    def make() -> tuple[PieceEncoder, int]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
+        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)]), model.get_vocab_size()
+
+    return kept_in_process(("tokenizers", path), make)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with an end id after each text, and the new starts."""
     return np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))

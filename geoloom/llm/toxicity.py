@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .letters import letter_runs
-from .textblocks import blocks, mixed, span_hashes
+from .textblocks import blocks, mixed, small_batches, span_hashes
 
 STEM = 6  # bytes
 
@@ -93,7 +93,7 @@ def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int
     """Labels and distinct buckets of the sample, at most most_toxic + most_clean rows."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, most_toxic), (0, most_clean))]
-    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -155,7 +155,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
         for block in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(machine.scores(block.column("text")))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def predicted(
