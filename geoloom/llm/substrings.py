@@ -5,7 +5,7 @@ Every window of ``window`` words has an anchor: the smallest hash of its word
 with those of its anchor's shard, and consecutive windows of one anchor travel
 together as a segment. Only anchors that occur in two documents go on.
 
-A shard is a range of anchors. For it the distinct segments are indexed
+A shard holds the anchors of one hash value. For it the distinct segments are indexed
 (suffixes sorted by the window's length, the Burrows-Wheeler transform in a
 wavelet matrix), its documents' segments are streamed against the index by
 backward search, which gives for each position whether the match reaches the
@@ -34,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
 from .storage import written
-from .textblocks import blocks, bytes_of, mixed, ragged, span_hashes, window_hashes, words
+from .textblocks import blocks, bytes_of, mixed, ragged, small_batches, span_hashes, window_hashes, words
 
 GRAM = 3
 
@@ -142,13 +143,16 @@ def shared(runs: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "doc_id long, key int, run int")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells rows apart that repeat a doc_id."""
-    return docs.select(F.col("doc_id").cast("long"), "text", F.hash("text").alias("key"))
+def keyed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells rows apart that repeat a doc_id; the columns of rest in one of this name."""
+    more = [] if rest is None else [F.struct(F.lit(0).alias("_"), *[docs[c] for c in rest]).alias("rest")]
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"), *more)
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+def compressed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     """keyed() with the text compressed: less to shuffle."""
+    rows = keyed(docs, rest)
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("absent", "boolean").add("packed", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -158,12 +162,13 @@ def compressed(docs: DataFrame) -> DataFrame:
             data, offsets = bytes_of(block.column("text"))
             data, at = data.tobytes(), offsets.tolist()
             packed = [pack(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), block.column("text").is_null(), pa.array(packed, pa.binary())], names=["doc_id", "key", "absent", "packed"])
+            names = [c for c in block.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(block.column, names), block.column("text").is_null(), pa.array(packed, pa.binary())], names=[*names, "absent", "packed"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key int, absent boolean, packed binary")
+    return rows.mapInArrow(run, schema)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches with a column text in the place of packed, in blocks of about most packed bytes."""
     import zstandard
 
@@ -180,13 +185,16 @@ def unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator
             at = to
 
 
-def segments(candidates: DataFrame, window: int, most_windows: int) -> DataFrame:
-    """The segments of the candidate runs: rows of an anchor and a segment's text with the smallest doc_id that has it in its block, and rows of each place, with the segment's hashes alone."""
-    names = ["anchor", "h1", "h2", "doc_id", "key", "at", "segment"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most_windows: int) -> DataFrame:
+    """The segments of the wanted runs. Rows of a shard have a block's segments for it: compressed, each once, with the smallest doc_id that has it in the block. Rows without one have each place, with the segment's hashes alone."""
+    names = ["shard", "packed", "h1", "h2", "doc_id", "key", "at"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in unpacked(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for block in unpacked((b.filter(b.column("runs").is_valid()) for b in batches), 2 << 20):
             runs = Runs(block.column("text"), window, most_windows)
             lists = block.column("runs")
             chosen = lists.flatten().to_numpy().astype(np.int64)
@@ -202,38 +210,66 @@ def segments(candidates: DataFrame, window: int, most_windows: int) -> DataFrame
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             text[bounds[1:] - 1] = 32
             a, b = bounds[runs.at[at]], bounds[runs.at[at] + runs.windows[at] + window - 1]
-            h1 = span_hashes(text, a, b)
-            h2 = mixed(span_hashes(text[::-1], len(text) - b, len(text) - a) + np.uint64(1)).view(np.int64)
-            h1 = h1.view(np.int64)
-            doc, anchor = ids[of], runs.anchor[at]
-            order = np.lexsort((doc, h2, h1, anchor))
+            h1, h2 = hashes(text, a, b)
+            doc, shard = ids[of], (mixed(runs.anchor[at].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((doc, h2, h1, shard))
             new = np.ones(len(order), bool)
-            new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (anchor, h1, h2)])
+            new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (shard, h1, h2)])
             one = order[new]
-            spans = ragged(a[one], (b - a)[one])
-            ends = np.concatenate([[0], np.cumsum((b - a)[one])])
-            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(one), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text[spans]))]).cast(pa.binary())
-            columns = [anchor[one], h1[one], h2[one], doc[one], None, None, held]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(one), t) if c is None else pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, types, strict=True)], names=names)
-            columns = [None, h1, h2, doc, keys[of], (runs.at[at] - runs.first_word[of]).astype(np.int32), None]
+            first = np.flatnonzero(np.diff(shard[one], prepend=-1))
+            packed = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(one)], strict=True):
+                own = one[i:j]
+                held = text[ragged(a[own], (b - a)[own])].tobytes()
+                head = np.array([len(own)], "<i8").tobytes() + doc[own].astype("<i8").tobytes() + (b - a)[own].astype("<i4").tobytes()
+                packed.append(pack(head + held))
+            columns = [shard[one][first], packed, None, None, None, None, None]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(first), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            columns = [None, None, h1, h2, doc, keys[of], (runs.at[at] - runs.first_word[of]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return candidates.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, key int, at int, segment binary")
+    # A left join, and no filter: so that Spark shuffles the texts once for this join and that of kept_words().
+    joined = with_texts(texts, wanted, "runs")
+    return joined.mapInArrow(run, "shard long, packed binary, h1 long, h2 int, doc_id long, key int, at int")
+
+
+def hashes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that tell segments apart."""
+    h1 = span_hashes(text, a, b)
+    h2 = mixed(span_hashes(text[::-1], len(text) - b, len(text) - a) + np.uint64(1))
+    return h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
+def with_texts(texts: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
+    """compressed() texts with columns of another table, null where it has no row for the text."""
+    more = more.select(F.col("doc_id").alias("doc_"), F.col("key").alias("key_"), *columns)
+    return texts.join(more, (F.col("doc_id") == F.col("doc_")) & (F.col("key") == F.col("key_")), "left").drop("doc_", "key_")
 
-def searched(segments_: DataFrame, window: int, most_words: int) -> DataFrame:
+
+def searched(segments_: DataFrame, window: int) -> DataFrame:
     """(h1, h2, firsts): for each distinct segment the smallest doc_id of each of its windows."""
-    shards = segments_.filter("segment is not null").select("anchor", "h1", "h2", "doc_id", "segment")
-    shards = shards.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2")
-
-    def index(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        h1, h2, doc = (table.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        one = np.flatnonzero(new)
-        least = np.minimum.reduceat(doc, one)
-        data, bounds = bytes_of(table.column("segment").combine_chunks().cast(pa.large_binary()).take(pa.array(one)))
+    rows = segments_.filter("packed is not null").select("shard", "packed")
+    rows = rows.repartition("shard").sortWithinPartitions("shard")
+
+    def index(packed: list[bytes]) -> pa.RecordBatch:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        docs, lengths, texts = [], [], []
+        for raw in map(unpack, packed):
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            docs.append(np.frombuffer(raw, "<i8", n, 8))
+            lengths.append(np.frombuffer(raw, "<i4", n, 8 + 8 * n))
+            texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 12 * n))
+        doc, length, data = map(np.concatenate, (docs, lengths, texts))
+        bounds = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        h1, h2 = hashes(data, bounds[:-1], bounds[1:])
+        order = np.lexsort((doc, h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        one = order[new]  # of each distinct segment the one of the smallest doc_id
+        data = data[ragged(bounds[:-1][one], length[one])]
+        bounds = np.concatenate([[0], np.cumsum(length[one], dtype=np.int64)])
         ends = np.append(0, np.flatnonzero(data == 32) + 1)  # words, each with its space
         spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         coded = spelled.dictionary_encode()
@@ -244,7 +280,7 @@ def searched(segments_: DataFrame, window: int, most_words: int) -> DataFrame:
         starts = first[:-1] + np.arange(len(one))
         fm = FMIndex(text, len(coded.dictionary) + 1, window)
         found = fm.matching(text, starts, sizes)
-        owner = np.repeat(least, sizes + 1)[fm.order]  # the document of each suffix
+        owner = np.repeat(doc[one], sizes + 1)[fm.order]  # the document of each suffix
         lows = np.flatnonzero(np.diff(fm.groups, prepend=-1))
         smallest = np.minimum.reduceat(owner, lows)
         windows = sizes - window + 1
@@ -253,47 +289,46 @@ def searched(segments_: DataFrame, window: int, most_words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(h1[one]), pa.array(h2[one]), lists], names=["h1", "h2", "firsts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: list[bytes] = []
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column("anchor").to_numpy()
-            if size >= 8 * most_words:
-                cut = int(np.searchsorted(anchor, anchor[0], "right")) if held[-1].column("anchor")[-1].as_py() == anchor[0] else 0
-                held.append(batch.slice(0, cut))
-                if cut < batch.num_rows:
+            for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if held and shard != last:
                     yield index(held)
-                    held, size = [], 0
-                    batch = batch.slice(cut)
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.column("segment").nbytes
+                    held = []
+                last = shard
+                held.append(packed)
         if held:
             yield index(held)
 
-    return shards.mapInArrow(run, "h1 long, h2 long, firsts array<long>")
+    return rows.mapInArrow(run, "h1 long, h2 int, firsts array<long>")
 
 
-def removed_spans(docs: DataFrame, window: int = 13, most_windows: int = 32, most_words: int = 500_000) -> DataFrame:
-    """(doc_id, key, spans): the windows to remove, as (at, n) for n consecutive ones from the word at; only documents that lose words."""
+def removed_spans(docs: DataFrame, window: int = 13, most_windows: int = 32, most_words: int = 500_000, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, spans): the windows to remove, as (at, hit) for those from the word at; only documents that lose words. texts: compressed() docs."""
+    texts = compressed(docs) if texts is None else texts
     known = keyed(docs).filter("doc_id is not null")
     runs = shared(anchors(known, window, most_windows))
-    wanted = runs.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))  # as many as a document has
-    candidates = compressed(docs).filter("doc_id is not null").drop("absent").join(wanted, ["doc_id", "key"])
-    found = written(segments(candidates, window, most_windows), "segments")
-    firsts = searched(found, window, most_words)
-    places = found.filter("segment is null").select("h1", "h2", "doc_id", "key", "at")
-    hits = places.join(firsts, ["h1", "h2"]).select("doc_id", "key", "at", F.transform("firsts", lambda d: d < F.col("doc_id")).alias("hit"))
-    hits = hits.filter(F.exists("hit", lambda x: x))
+    wanted = written(runs.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs")), "shared-runs")  # as many as a document has
+    words_ = 18 * (wanted.agg(F.sum(F.size("runs"))).first()[0] or 0)  # about: a run has six windows
+    found = segments(texts, wanted, max(1, -(-words_ // most_words)), window, most_windows)
+    places = found.filter("packed is null").select("h1", "h2", "doc_id", "key", "at")
+    hits = places.join(searched(found, window), ["h1", "h2"])
+    hits = hits.select("doc_id", "key", "at", F.transform("firsts", lambda d: d < F.col("doc_id")).alias("hit")).filter(F.exists("hit", lambda x: x))
     return hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "hit")).alias("spans"))
 
 
-def kept_words(docs: DataFrame, spans: DataFrame, window: int, texts: bool) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of all documents; with texts also key and the kept text."""
-    rows = compressed(docs)
-    same = rows.doc_id.eqNullSafe(spans.doc_id) & (rows.key == spans.key)
-    rows = rows.join(spans, same, "left").select(rows.doc_id, rows.key, "absent", "packed", F.transform("spans", lambda x: x["at"]).alias("ats"), F.transform("spans", lambda x: F.array_join(F.transform(x["hit"], lambda h: h.cast("int").cast("string")), "")).alias("hits"))
+def kept_words(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of all compressed() texts; or, if they have the column rest, doc_id, rest and the kept text."""
+    rows = with_texts(texts, spans, "spans")
+    digest = "rest" not in texts.columns
+    others = [c for c in rows.columns if c != "spans"]
+    rows = rows.select(*others, F.transform("spans", lambda x: x["at"]).alias("ats"), F.transform("spans", lambda x: F.array_join(F.transform(x["hit"], lambda h: h.cast("int").cast("string")), "")).alias("hits"))
+    schema = StructType().add("doc_id", "long")
+    if digest:
+        schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    else:
+        schema = schema.add(rows.schema["rest"]).add("kept", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in unpacked(batches):
@@ -311,32 +346,31 @@ def kept_words(docs: DataFrame, spans: DataFrame, window: int, texts: bool) -> D
                         start = at + np.flatnonzero(np.frombuffer(hit.encode(), np.uint8) == ord("1"))
                         np.add.at(change, start, 1)
                         np.add.at(change, start + window, -1)
-                    stay = np.cumsum(change[:-1]) == 0
-                    own = [own[j] for j in np.flatnonzero(stay).tolist()]
+                    own = [own[j] for j in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
                 removed.append(counts[-1] - len(own))
-                words_ = b" ".join(own)
-                sums.append(hashlib.sha256(words_).hexdigest())
-                kept.append(None if absent[i] else (words_ if ats[i] else text).decode())
-            columns = [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if texts:
-                columns, names = [*columns, block.column("key"), pa.array(kept, pa.string())], [*names, "key", "kept"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                if digest:
+                    sums.append(hashlib.sha256(b" ".join(own)).hexdigest())
+                else:
+                    kept.append(None if absent[i] else (b" ".join(own) if ats[i] else text).decode())
+            if digest:
+                columns = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())]
+            else:
+                columns = [block.column("rest"), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], names=schema.names)
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", key int, kept string" * texts)
+    return rows.mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, window: int = 13, **how) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    return kept_words(docs, removed_spans(docs, window, **how), window, False)
+    texts = compressed(docs)
+    return kept_words(texts, removed_spans(docs, window, texts=texts, **how), window)
 
 
 def without_repeats(docs: DataFrame, window: int = 13, **how) -> DataFrame:
     """docs with the removed words cut out of the text (words then joined by one space; a text that loses nothing stays as it is) and n_chars, if there, counted anew."""
-    spans = removed_spans(docs, window, **how)
-    changed = kept_words(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), spans, window, True).filter("n_removed > 0").select("doc_id", "key", "kept").distinct()
-    rows = docs.withColumn("key_", F.hash("text"))
-    out = rows.join(changed, rows.doc_id.eqNullSafe(changed.doc_id) & (F.col("key_") == changed.key), "left")
-    text = F.coalesce("kept", rows.text)
-    columns = [text.alias("text") if c == "text" else F.char_length(text).cast(rows.schema[c].dataType).alias(c) if c == "n_chars" else rows[c] for c in docs.columns]
-    return out.select(*columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    texts = compressed(docs, rest)
+    out = kept_words(texts, removed_spans(docs, window, texts=texts, **how), window)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | ({"n_chars": F.char_length("kept")} if "n_chars" in rest else {})
+    return out.select(*[made.get(c, F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
