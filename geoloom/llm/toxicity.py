@@ -31,6 +31,7 @@ from .letters import letter_runs
 from .textblocks import blocks, mixed, small_batches, span_hashes
 
 STEM = 6  # bytes
+LEAST_CHI = 10.83  # one in a thousand by chance
 
 
 def terms_of(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,8 @@ class Machine:
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1, np.float32), self.weight, self.factor)]
         for t in range(1, rounds + 1):
             s = x @ self.factor
-            p = 1 / (1 + np.exp(-(self.bias + x @ self.weight + 0.5 * ((s * s).sum(1) - x @ (self.factor**2).sum(1)))))
+            raw = self.bias + x @ self.weight + 0.5 * ((s * s).sum(1) - x @ (self.factor**2).sum(1))
+            p = 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
             e = ((p - y) / len(y)).astype(np.float32)
             xe = x.T @ e
             gradients = [np.array([e.sum()]), xe + shrink * self.weight, x.T @ (e[:, None] * s) - xe[:, None] * self.factor + shrink * self.factor]
@@ -107,7 +109,7 @@ def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int
     return got.column("toxic").to_numpy(), [np.frombuffer(x, "<i4") for x in got.column("terms").to_pylist()]
 
 
-def fitted(y: np.ndarray, terms: list[np.ndarray], buckets: int, most_terms: int, factors: int, least: float, false_cost: float = 10, rounds: int = 150, rate: float = 0.08, shrink: float = 1e-5) -> Machine:
+def fitted(y: np.ndarray, terms: list[np.ndarray], buckets: int, most_terms: int, factors: int, least: float, false_cost: float = 10, rounds: int = 150, rate: float = 0.08, shrink: float = 1e-4) -> Machine:
     bad = int((y == 1).sum())
     if bad in (0, len(y)):
         out = Machine(buckets, np.zeros(0, np.int64), factors)
@@ -118,7 +120,7 @@ def fitted(y: np.ndarray, terms: list[np.ndarray], buckets: int, most_terms: int
     n, a, b = len(y), counts[1].astype(float), counts[0].astype(float)
     both = a + b
     chi = n * (a * (n - bad - b) - b * (bad - a)) ** 2 / np.maximum(both * (n - both) * bad * (n - bad), 1)
-    chi[both < 3] = 0
+    chi[(both < 3) | (chi < LEAST_CHI)] = 0
     chosen = np.argsort(-chi, kind="stable")[: min(most_terms, int((chi > 0).sum()))]
     place = Machine(buckets, np.sort(chosen), factors).place
     x = np.zeros((n, len(chosen)), np.float32)
