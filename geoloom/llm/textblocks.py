@@ -27,8 +27,8 @@ def binary(texts: pa.Array) -> pa.LargeBinaryArray:
 def small_batches(docs: DataFrame) -> DataFrame:
     """docs itself. Batches to and from tasks are limited by bytes, as texts may be long, so that memory is bounded."""
     conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return docs
 
 
@@ -172,7 +172,7 @@ class PieceEncoder:
     encode: from a list of strings to an iterable of id sequences.
     """
 
-    def __init__(self, encode, cached: int = 120_000, at_once: int = 2048):
+    def __init__(self, encode, cached: int = 350_000, at_once: int = 2048):
         self.encode, self.cached, self.at_once = encode, cached, at_once
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
