@@ -75,5 +75,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+OP4 = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     win AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13) t),
+     firsts AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+     hit AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT win.doc_id, i, unnest(range(13)) AS k FROM win JOIN firsts ON win.g = firsts.g WHERE f < win.doc_id) t),
+     gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10}
+    return {"op4_substring_dedup": OP4, "op10_exact_dedup": OP10}
