@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK = np.zeros(256, bool)
+MARK[list(b".,!?;:")] = True
 
 
 def binary(texts: pa.Array) -> pa.LargeBinaryArray:
@@ -161,6 +165,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray,
         inside = offsets[(offsets > 0) & (offsets <= n)]
         cut[inside - 1] = False  # the last character of a text has no next one
         cut[offsets[offsets < n]] = True
+        # A run of letters ends before these marks, and what follows begins with them.
+        cut[1:] |= LETTER[data[:-1]] & MARK[data[1:]]
     bounds = np.append(np.flatnonzero(cut), n)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     return pieces, np.searchsorted(bounds, offsets)
@@ -169,11 +175,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray,
 class PieceEncoder:
     """Ids of texts by way of their distinct pieces, each encoded once for a block, or once while it stays in the cache.
 
-    encode: from a list of strings to an iterable of id sequences.
+    encode: from a list of strings to an iterable of id sequences. folded: it
+    takes no heed of white space around a piece and of the case of A-Z.
     """
 
-    def __init__(self, encode, cached: int = 350_000, at_once: int = 2048):
-        self.encode, self.cached, self.at_once = encode, cached, at_once
+    def __init__(self, encode, folded: bool = False, cached: int = 350_000, at_once: int = 2048):
+        self.encode, self.folded, self.cached, self.at_once = encode, folded, cached, at_once
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -181,10 +188,11 @@ class PieceEncoder:
         found = [self.young.get(p) or self.old.get(p) for p in pieces]
         missing = (i for i, x in enumerate(found) if x is None)
         while some := list(islice(missing, self.at_once)):
-            for i, ids in zip(some, self.encode([pieces[i].decode() for i in some]), strict=True):
-                found[i] = array("I", ids).tobytes()
-                if len(pieces[i]) <= 64:
-                    self.young[pieces[i]] = found[i]
+            new = [p for p in dict.fromkeys(pieces[i] for i in some) if p not in self.young]
+            made = {p: array("I", ids).tobytes() for p, ids in zip(new, self.encode([p.decode() for p in new]), strict=True)}
+            self.young.update((p, ids) for p, ids in made.items() if len(p) <= 64)
+            for i in some:
+                found[i] = made[pieces[i]] if pieces[i] in made else self.young[pieces[i]]
         if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
         return found
@@ -198,7 +206,8 @@ class PieceEncoder:
         coded = pieces.dictionary_encode()
         values, bounds = bytes_of(coded.dictionary)
         values, bounds = values.tobytes(), bounds.tolist()
-        each = self.lookup([values[a:b] for a, b in pairwise(bounds)])
+        values = [values[a:b] for a, b in pairwise(bounds)]
+        each = self.lookup([v.strip().lower() for v in values] if self.folded else values)
         coded_ids = pa.array(each, pa.large_binary()).take(coded.indices)
         starts = np.frombuffer(coded_ids.buffers()[1], np.int64)[: len(coded_ids) + 1] // 4
         return np.frombuffer(coded_ids.buffers()[2], np.uint32, starts[-1]), starts[first]
@@ -212,7 +221,8 @@ def file_encoder(path: str) -> tuple[PieceEncoder, int]:
 
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
-        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)]), model.get_vocab_size()
+        same = model.encode(" A\tBc\n", add_special_tokens=False).ids == model.encode("a bc", add_special_tokens=False).ids
+        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], same), model.get_vocab_size()
 
     return kept_in_process(("tokenizers", path), make)
 
