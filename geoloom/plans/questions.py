@@ -84,23 +84,26 @@ def belongs_to(way_nodes: DataFrame, node: str, way: str) -> DataFrame:
     return asked(way_nodes.filter((F.col("node_id") == node) & (F.col("way_id") == way)))
 
 
-def leg(links: DataFrame, start: str, goal: str, max_hops: int) -> list[str]:
-    """The ways of a shortest walk, found hop by hop; of several the one whose ways come first. links: way_id, a, b."""
-    both = links.unionByName(links.select("way_id", F.col("b").alias("a"), F.col("a").alias("b")))
+def leg(links: DataFrame, start: str, goal: str, max_hops: int | None = None) -> list[str]:
+    """The ways of a shortest walk, found hop by hop until the goal is met or no node is new; of several the one whose ways come first. links: way_id, a, b."""
+    both = links.unionByName(links.select("way_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     front = links.sparkSession.createDataFrame([(start, [])], "node string, ways array<string>")
-    seen = front.select("node")
-    for _ in range(max_hops + 1):
+    before, hops = front.select("node"), 0
+    while True:
         hit = front.filter(F.col("node") == goal).select("ways").first()
         if hit:
             return hit["ways"]
+        if hops == max_hops or front.isEmpty():
+            return []
         further = front.join(both, front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.concat("ways", F.array("way_id"))).alias("ways"))
-        front = further.join(seen, "node", "left_anti").checkpoint()
-        seen = seen.unionByName(front.select("node"))
-    return []
+        # Links lead both ways, so a node seen already is one of the last two rounds.
+        last = front.select("node")
+        front = further.join(before.unionByName(last), "node", "left_anti").checkpoint()
+        before, hops = last, hops + 1
 
 
-def route(found: DataFrame, start: str, via: str, goal: str, max_hops: int = 16) -> DataFrame:
-    """(step, way_id) from start over via to goal; empty if either leg needs more hops. found: way_id, node_id of the extremities."""
+def route(found: DataFrame, start: str, via: str, goal: str, max_hops: int | None = None) -> DataFrame:
+    """(step, way_id) from start over via to goal; empty if there is no way or, where max_hops is given, either leg needs more hops. found: way_id, node_id of the extremities."""
     ends = found.groupBy("way_id").agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")).filter("a <> b")
     first, second = leg(ends, start, via, max_hops), leg(ends, via, goal, max_hops)
     ways = [] if (via != start and not first) or (goal != via and not second) else first + second

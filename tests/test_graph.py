@@ -1,5 +1,5 @@
 from geoloom.operators import match, rules
-from geoloom.plans import schema
+from geoloom.plans import questions, schema
 from geoloom.sources import triples as T
 from pyspark.sql import functions as F
 
@@ -44,3 +44,13 @@ def test_rules(spark):
     assert got == {"points exist": 0, "point is in the node namespace": 1, "id is a number": 1, "point has one geometry, two coordinates": 1, "property is typed": 0}
     spaces = {(r.namespace, r.found, r.expected) for r in rules.expected_namespaces(graph(spark, [("http://a/x", "http://p#y", "http://a/z")]), ["http://a/", "http://b/"]).collect()}
     assert spaces == {("http://a/", True, True), ("http://p#", True, False), ("http://b/", False, True)}
+
+
+def test_long_route(spark):
+    """A chain of 20 segments, a shorter walk of the same ends by one segment, and a part that nothing leads to."""
+    spark.sparkContext.setCheckpointDir(T.shared_folder(spark))
+    ends = [(f"w{i:02}", f"n{i}", f"n{i + 1}") for i in range(20)] + [("short", "n3", "n1"), ("away", "x", "y")]
+    found = spark.createDataFrame([(w, n) for w, *ns in ends for n in ns], "way_id string, node_id string")
+    steps = lambda *at: [r.way_id for r in questions.route(found, *at).orderBy("step").collect()]
+    assert steps("n0", "n20", "n19") == ["w00", "short"] + [f"w{i:02}" for i in range(3, 20)] + ["w19"]
+    assert steps("n0", "y", "n1") == [] and steps("n2", "n2", "n2") == []
