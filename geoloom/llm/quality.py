@@ -6,22 +6,32 @@ distance (base 2, so from 0 to 1). The text's distance is the smallest over the
 languages of the mean of both. A reference is the mean histogram of all
 documents of a language that are long enough. Only DataFrame functions are
 used: all that is counted in a text is counted within its row, without a
-shuffle; what leaves the executors is one row of means for each language that
-has a word list.
+shuffle; what leaves the executors is one row of means for each language and
+script.
+
+The languages are those of the table. The common words of four are given below;
+for each other value of lang with ``min_docs`` documents that are long enough,
+the ``most_words`` words of the largest mean share in its documents take their
+place. A reference belongs to a language and a script (most letters of the
+text), and a text is compared with the references of its own script.
 
 Defined cases: a null text counts as empty, has no word and so fails the base
 rules; texts under ``min_words`` words or ``min_chars`` characters are not
-judged by divergence; with no reference (an empty table, or no document of a
-listed language) the base rules alone decide; rows with equal texts get equal
-verdicts; further columns of the input are kept by ``keep_good`` and ignored
-otherwise.
+judged by divergence; a text whose language has no reference in the text's
+script is not judged either, the base rules alone decide (so with an empty
+table, or for a language of fewer than ``min_docs`` long texts without a word
+list); a text of unknown language (lang null, empty or "und") is compared with
+all references of its script, and as its common words may be those of no
+reference, the smaller of its class distance and the mean counts; rows with
+equal texts and languages get equal verdicts; further columns of the input are
+kept by ``keep_good`` and ignored otherwise.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -36,6 +46,14 @@ COMMON_WORDS = {
 #: Character classes beside white space; what is in none is "other".
 CLASSES = {"upper": "[A-Z]+", "lower": "[a-z]+", "digit": "[0-9]+", "stop": r"[.,;:!?'\"()\-]+", "symbol": r"[#*$%&|<>=+~^_/\\@{}\[\]`]+"}
 N_CLASSES = len(CLASSES) + 2
+#: Scripts beside Latin, told apart in texts with more characters of the class "other" than letters of ASCII.
+SCRIPTS = ["Cyrillic", "Greek", "Arabic", "Hebrew", "Armenian", "Georgian", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Thai", "Lao", "Tibetan", "Myanmar", "Khmer", "Ethiopic", "Hangul", "Hiragana", "Katakana", "Han", "Cherokee", "Mongolian", "Syriac", "Thaana"]
+OTHER_SCRIPT = "other"  # letters, but of none of these and not of Latin
+
+
+def language() -> Column:
+    """lang, or null where it names none."""
+    return F.when(~F.trim("lang").isin("", "und"), F.col("lang"))
 
 
 def words_of(text: Column) -> Column:
@@ -84,7 +102,7 @@ def bins(common: dict[str, list[str]]) -> dict[str, str]:
 
 
 def histograms(counted: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """counted with class_hist_ and word_hist_, arrays of shares."""
+    """counted with class_hist_ and word_hist_, arrays of shares, and script_."""
     codes = bins(common)
     text = F.coalesce("text", F.lit(""))
     left = {k: F.char_length(text) - F.char_length(F.regexp_replace(text, p, "")) for k, p in CLASSES.items()}
@@ -99,28 +117,58 @@ def histograms(counted: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         "class_hist_": share(F.concat("class_counts_", F.array(rest.cast("int"))), F.col("chars_")),
         "word_hist_": share(F.concat(per_word, F.array((F.col("n_words") - F.char_length("marks_")).cast("int"))), F.col("n_words")),
     })
+    # The pattern as a lambda's variable: thirty patterns written out would make generated code too long to be compiled well.
+    n_of = lambda script: F.char_length(text) - F.char_length(F.regexp_replace(text, F.concat(F.lit(r"\p{Is"), script, F.lit("}+")), F.lit("")))
+    counts = F.transform(F.array(*map(F.lit, [*SCRIPTS, "Latin", "Alphabetic"])), lambda x: F.struct(n_of(x).alias("n"), x.alias("script")))
+    most = F.array_max(F.filter(counts, lambda x: (x["n"] > 0) & (x["script"] != "Alphabetic")))["script"]
+    lettered = F.exists(counts, lambda x: x["n"] > 0)
+    share_of = lambda i: F.get(F.col("class_hist_"), F.lit(i))
+    # Signs alone are of no script: they are judged as Latin.
+    script = F.when(share_of(N_CLASSES - 1) > share_of(0) + share_of(1), F.coalesce(most, F.when(lettered, F.lit(OTHER_SCRIPT)))).otherwise("Latin")
+    out = out.withColumn("script_", F.coalesce(script, F.lit("Latin")))
     return out.drop("marks_", "class_counts_")
 
 
-def references(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, min_words: int = 50, min_chars: int = 200) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean histograms over all long enough documents of each language in common: as many rows as common has languages at most."""
-    shaped = docs.filter(F.col("lang").isin(*common)).withColumns({
-        "words_": words_of(F.col("text")), "chars_": F.char_length(F.coalesce("text", F.lit(""))).cast("long"),
-    })
+def shaped(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """The long enough documents with words_, chars_, word_chars and n_words."""
+    out = docs.withColumns({"words_": words_of(F.col("text")), "chars_": F.char_length(F.coalesce("text", F.lit(""))).cast("long")})
     white_free = F.col("text")
     for c in " \t\n\x0b\x0c\r":
         white_free = F.replace(white_free, F.lit(c), F.lit(""))
-    shaped = shaped.withColumns({"word_chars": F.char_length(white_free).cast("long"), "n_words": F.size("words_").cast("long")})
-    shaped = histograms(shaped.filter((F.col("n_words") >= min_words) & (F.col("chars_") >= min_chars)), common)
+    out = out.withColumns({"word_chars": F.char_length(white_free).cast("long"), "n_words": F.size("words_").cast("long")})
+    return out.filter((F.col("n_words") >= min_words) & (F.col("chars_") >= min_chars))
+
+
+def with_derived(docs: DataFrame, common: dict[str, list[str]], min_words: int, min_chars: int, min_docs: int, most_words: int) -> dict[str, list[str]]:
+    """common, and words for each further language of the table that has min_docs long enough documents."""
+    counts = docs.groupBy(language().alias("lang")).count().filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*common) & (F.col("count") >= min_docs))
+    further = sorted(r["lang"] for r in counts.collect())
+    if not further:
+        return common
+    long = shaped(docs.filter(F.col("lang").isin(*further)).select("lang", "text"), min_words, min_chars)
+    # A document's weight is 1, however long it is: the sum is min_docs at least where there are as many of them.
+    shares = long.select("lang", F.explode(F.transform("words_", F.lower)).alias("word"), (1 / F.col("n_words")).alias("share")).groupBy("lang", "word").agg(F.round(F.sum("share"), 6).alias("share"))
+    enough = [r["lang"] for r in long.groupBy("lang").count().filter(F.col("count") >= min_docs).collect()]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "word"))
+    best = shares.filter(F.col("lang").isin(*enough)).withColumn("place", place).filter(F.col("place") <= most_words).collect() if enough else []
+    return common | {k: [r["word"] for r in best if r["lang"] == k] for k in sorted(enough)}
+
+
+def references(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, min_words: int = 50, min_chars: int = 200, min_docs: int = 20) -> dict[tuple[str, str], tuple[list[float], list[float]]]:
+    """Mean histograms over all long enough documents of each language in common and each script that min_docs of them have (Latin, for the listed languages: any)."""
+    long = histograms(shaped(docs.filter(F.col("lang").isin(*common)), min_words, min_chars), common)
     n_words = len(set(bins(common).values())) + 1
     means = [F.avg(F.get(F.col("class_hist_"), F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)] + [F.avg(F.get(F.col("word_hist_"), F.lit(i))).alias(f"w{i}") for i in range(n_words)]
-    rows = shaped.select("lang", "class_hist_", "word_hist_").groupBy("lang").agg(*means).collect()
-    return {r["lang"]: ([r[f"c{i}"] for i in range(N_CLASSES)], [r[f"w{i}"] for i in range(n_words)]) for r in rows}
+    rows = long.select("lang", "script_", "class_hist_", "word_hist_").groupBy("lang", "script_").agg(F.count("*").alias("n"), *means).collect()
+    rows = [r for r in rows if r["n"] >= min_docs or (r["lang"] in COMMON_WORDS and r["script_"] == "Latin")]
+    return {(r["lang"], r["script_"]): ([r[f"c{i}"] for i in range(N_CLASSES)], [r[f"w{i}"] for i in range(n_words)]) for r in rows}
 
 
 def js_distance(p: Column, q: list[float]) -> Column:
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    terms = F.zip_with(p, F.array(*map(F.lit, q)), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    # One text, so that the plan has one literal after folding, whatever the length.
+    q_ = F.split(F.lit(" ".join(map(repr, q))), " ").cast("array<double>")
+    terms = F.zip_with(p, q_, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
@@ -130,17 +178,26 @@ def judged(
     min_words: int = 50,
     min_chars: int = 200,
     max_distance: float = 0.28,
+    min_docs: int = 20,
+    most_words: int = 18,
 ) -> DataFrame:
     """docs with the base counts, base_failed, distance (null where not judged) and kept."""
-    refs = references(docs, common, min_words, min_chars)
+    common = with_derived(docs, common, min_words, min_chars, min_docs, most_words)
+    refs = references(docs, common, min_words, min_chars, min_docs)
     out = histograms(base_counts(docs), common)
     fail = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    long_enough = (F.col("n_words") >= min_words) & (F.col("chars_") >= min_chars)
-    distances = [(js_distance(F.col("class_hist_"), c) + js_distance(F.col("word_hist_"), w)) / 2 for c, w in (refs[k] for k in sorted(refs))]
-    least = reduce(F.least, distances[1:], distances[0]) if distances else F.lit(None).cast("double")
-    out = out.withColumns({"base_failed": fail, "distance": F.when(long_enough, least)})
+    known = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (F.col("script_") == s) for k, s in refs], F.lit(False))
+    comparable = (F.col("n_words") >= min_words) & (F.col("chars_") >= min_chars) & (language().isNull() | known)
+    of_class = {k: js_distance(F.col("class_hist_"), c) for k, (c, _) in refs.items()}
+    of_both = {k: (of_class[k] + js_distance(F.col("word_hist_"), w)) / 2 for k, (_, w) in refs.items()}
+    # The smallest over the references of the text's script; nulls are those of other scripts.
+    smallest = lambda by: F.array_min(F.array(*[F.when(F.col("script_") == k[1], by[k]) for k in sorted(by)])) if by else F.lit(None).cast("double")
+    out = out.withColumn("base_failed", fail)
+    out = out.withColumn("distance", F.when(comparable, smallest(of_both)))
+    if refs:
+        out = out.withColumn("distance", F.when(comparable & language().isNull(), F.least("distance", smallest(of_class))).otherwise(F.col("distance")))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True)))
-    return out.drop("words_", "chars_", "class_hist_", "word_hist_")
+    return out.drop("words_", "chars_", "class_hist_", "word_hist_", "script_")
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -40,6 +41,45 @@ def test_divergence(spark):
     assert tuple(row) == pytest.approx((0.0, 1.0))
 
 
+SENTENCES = {
+    "ru": "и в не на что с по это как но из у за от же для мы они был город река дом дорога старый человек время рука книга слово",
+    "el": "και το να του η της με που την από για είναι ο οι στο θα δεν μια πόλη ποτάμι σπίτι δρόμος παλιός άνθρωπος χρόνος χέρι βιβλίο λέξη",
+    "en": "the of and to in that is was for with it as be by on this are from town river house road old people time hand book word",
+    "pl": "i w na że się z do to jak ale przez dla był są który oraz już tylko miasto rzeka dom droga żółty człowiek książka słowo ręka łąka",
+    "uk": "і в не на що з до це як але із у за від же для ми вони був місто річка дім дорога старий людина час рука книга слово",
+}
+
+
+def clean(lang, seed, n=120):
+    rng, words = random.Random(seed), SENTENCES[lang].split()
+    made = [rng.choice(words) + ("." if i % 12 == 11 else "") for i in range(n)]
+    return " ".join(made).capitalize()
+
+
+def verdicts(spark, rows_):
+    return {r.doc_id: r for r in quality.judged(spark.createDataFrame([(i, t, k) for i, (t, k) in rows_.items()], "doc_id long, text string, lang string")).collect()}
+
+
+def test_further_languages(spark):
+    """Languages without a word list have references of their own; what is far from these goes."""
+    rows_ = {i: (clean(k, i), k) for i, k in enumerate(["en", "ru", "el"] * 30)}
+    junk = lambda k, i: " ".join(f"##{w}$$|" for w in clean(k, i).split())
+    rows_ |= {100: (junk("ru", 100), "ru"), 101: (junk("el", 101), "el"), 102: (junk("en", 102), "en"), 103: (junk("ru", 103), None), 104: (clean("ru", 104), None), 105: (clean("el", 105), None), 106: (clean("pl", 106), None)}
+    got = verdicts(spark, rows_)
+    assert all(got[i].kept and got[i].distance < 0.2 for i in range(90))
+    assert [got[i].kept for i in range(100, 107)] == [False] * 4 + [True] * 3
+    assert all(got[i].distance is not None for i in range(100, 107))
+
+
+def test_language_without_reference(spark):
+    """Too few texts for a reference, in script or language: the base rules alone decide."""
+    rows_ = {i: (clean("en", i), "en") for i in range(30)}
+    rows_ |= {40: (clean("ru", 40), "ru"), 41: (clean("el", 41), "el"), 42: (clean("ru", 42), None), 43: (clean("el", 43), "en"), 44: (clean("pl", 44), "pl"), 45: (clean("uk", 45), "und"), 46: (clean("ru", 46, 5), "ru"), 47: (clean("en", 47), None)}
+    got = verdicts(spark, rows_)
+    assert all(got[i].distance is None and got[i].kept == (i != 46) for i in range(40, 47))
+    assert got[47].kept and got[47].distance is not None
+
+
 def test_licenses(spark, docs, empty):
     def brute(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
