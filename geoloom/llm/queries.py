@@ -50,8 +50,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judged(documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return quality.judged(documents(spark, sf_dir), keep=["doc_id"])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
