@@ -3,19 +3,21 @@
 Every rolling word 2-gram of a text is joined by its XXH64 to the positions of
 the templates' 2-grams (the words are compared too, so a match is exact). A
 match votes for the diagonal text position minus template position. Votes are
-added up for each document, template and diagonal; neighbouring diagonals,
-which an inserted or a missing word makes, are merged; a span is verified by
-the share of the template's 2-grams that it holds. A base phrase needs all of
-them on one diagonal, so its places are counted exactly.
+gathered for each text, template and diagonal; neighbouring diagonals, which an
+inserted or a missing word makes, are merged in bands of a bounded width; a
+band is verified by the share of the template's 2-grams that it holds, each
+counted once. As a band is narrow, what it holds stands in as many words as the
+template has, and slack more. A base phrase needs all its 2-grams on one
+diagonal, so its places are counted exactly.
 
 Only DataFrame functions are used. The templates are a parameter of a few
 dozen positions, which is the bound of what is broadcast; of the 2-grams only
 those that match reach a shuffle, added up for each task before.
 
-Defined cases: null texts count as empty; repeated rows of one doc_id with one
-text count once; two texts under one doc_id are outside the contract, their
-votes are added; an empty table gives an empty result; further columns are
-ignored.
+Defined cases: null texts count as empty; every row of the table has a row in
+the result, repeated rows equal ones, and two texts under one doc_id, or under
+none, each its own (a row is told by two hashes of doc_id and text); an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: Phrases whose every place counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices found approximately, and their labels.
@@ -50,38 +54,38 @@ def template_grams(spark, base: dict[str, str], notices: dict[str, str]) -> Data
     return F.broadcast(grams.withColumn("hash", F.xxhash64("t1", "t2")))
 
 
-def scanned(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, share: float = 0.8, slack: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scanned(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, share: float = 0.8, slack: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A notice counts if share of its 2-grams are found on diagonals that differ by
-    slack at most from the next. score is the highest share of any template.
+    A notice counts if share of its distinct 2-grams are found on diagonals of a
+    band, which has slack at most between its first and its last. score is the
+    highest share of any template.
     """
-    # A text without an upper-case letter stays as it is; lower() alters letters beyond A-Z too, but makes no word of the templates from them and cuts no word.
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), "")
-    texts = docs.select("doc_id", words.alias("words"))
-    counts = texts.groupBy("doc_id").agg(F.max(F.size("words")).cast("long").alias("n_words"))
-    grams = texts.select("doc_id", "words", F.posexplode(F.expr("slice(words, 1, greatest(size(words) - 1, 0))")).alias("pos", "w1"))
-    grams = grams.select("doc_id", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"))
+    text = F.coalesce("text", F.lit(""))
+    # Of all letters beyond A-Z, lower() turns the Kelvin sign alone into one of them.
+    words = F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))), SEPARATORS), "")
+    row = [F.xxhash64("doc_id", text).alias("h1"), F.xxhash64(text, "doc_id").alias("h2")]
+    texts = docs.select(*row, words.alias("words"))
+    grams = texts.select("h1", "h2", "words", F.posexplode(F.expr("slice(words, 1, greatest(size(words) - 1, 0))")).alias("pos", "w1"))
+    grams = grams.select("h1", "h2", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"))
     grams = grams.withColumn("hash", F.xxhash64("w1", "w2"))
     found = grams.join(template_grams(docs.sparkSession, base, notices), "hash").filter("w1 = t1 and w2 = t2")
-    found = found.withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = found.groupBy("doc_id", "template", "diagonal", "label", "exact", "size").agg(F.countDistinct("at").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = found.withColumn("diagonal", (F.col("pos") - F.col("at")).cast("long")).groupBy("h1", "h2", "template", "diagonal", "label", "exact", "size").agg(F.collect_set("at").alias("ats"))
+    votes = written(votes, "license-votes")
 
-    places = votes.filter("exact and votes = size - 1")
-    exact = places.groupBy("doc_id").agg(
-        F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set")
+    nothing = F.lit(None)
+    places = votes.filter("exact and size(ats) = size - 1").select("h1", "h2", F.col("diagonal").alias("place"), "label", nothing.cast("string").alias("notice"), nothing.cast("double").alias("covered"))
+    band = Window.partitionBy("h1", "h2", "template").orderBy("diagonal").rangeBetween(0, slack)
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(band))))
+    spans = votes.filter("not exact").withColumn("covered", held / (F.col("size") - 1))
+    spans = spans.select("h1", "h2", nothing.cast("long").alias("place"), nothing.cast("string").alias("label"), F.when(F.col("covered") >= share, F.col("label")).alias("notice"), "covered")
+    hits = places.unionByName(spans).groupBy("h1", "h2")
+    hits = hits.agg(
+        F.count("place").alias("n_base"), F.min("place").alias("first_word"), F.max("place").alias("last_word"), F.collect_set("label").alias("base_set"), F.collect_set("notice").alias("notice_set"), F.max("covered").alias("covered")
     )
-    near = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    spans = votes.filter("not exact").withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > slack, F.lit(True)).cast("int"))
-    spans = spans.withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("doc_id", "template", "span", "label", "size").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    covered = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1))
-    spans = spans.withColumn("covered", F.when(F.col("last") - F.col("first") <= 2 * F.col("size"), covered).otherwise(0.0))
-    noticed = spans.groupBy("doc_id").agg(F.max("covered").alias("covered"), F.collect_set(F.when(F.col("covered") >= share, F.col("label"))).alias("notice_set"))
 
-    out = counts
-    for more in (exact.withColumnRenamed("doc_id", "other"), noticed.withColumnRenamed("doc_id", "other")):
-        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("other")), "left").drop("other")
+    rows = docs.select("doc_id", *row, F.size(words).cast("long").alias("n_words"))
+    out = rows.join(hits, ["h1", "h2"], "left")
     none = F.array().cast("array<string>")
     base_set, notice_set = F.coalesce("base_set", none), F.coalesce("notice_set", none)
     joined = lambda x: F.array_join(F.array_sort(x), ",")
