@@ -19,15 +19,40 @@ def test_exact(spark, docs, empty):
     for norm, members in groups.items():
         best = min((-len(r[1] or ""), r[0] is None, r[0] or 0, r[0]) for r in members)[3]
         for r in members:
-            want[r[0]] = (best, len(members), r[0] == best, hashlib.sha256(norm.encode()).hexdigest())
+            want[r[0]] = (best, len(members), hashlib.sha256(norm.encode()).hexdigest())
     for how in ({}, {"bucket_rows": 1, "max_depth": 5}):
         got = exact.exact_groups(docs, **how).collect()
         assert len(got) == len(rows())
-        assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == want
+        assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in got} == want
+        assert sorted(str(r.doc_id) for r in got if r.kept) == sorted({str(w[0]) for w in want.values()})  # one of each group, of repeated rows too
     assert max(r.depth for r in got) > 1
+    assert all(r.bucket >> (max(x.depth for x in got) - r.depth) << (max(x.depth for x in got) - r.depth) == r.bucket for r in got)
     kept = exact.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if w[2]}
-    assert exact.exact_groups(empty).count() == 0
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(w[0]) for w in want.values()})
+    assert exact.exact_groups(empty).count() == 0 and exact.drop_exact_copies(empty).count() == 0
+
+
+def test_exact_repeated_and_null_ids(spark):
+    """Rows without an id, or of one id, are told apart by their texts; of equal rows one stays."""
+    rows_ = [(None, "a b"), (None, "a  b"), (None, "c"), (None, "c"), (3, "c"), (3, "c"), (3, "d"), (3, None), (5, ""), (-(2**63), "e"), (6, "e"), (None, "f")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = exact.exact_groups(docs, bucket_rows=1, max_depth=3).collect()
+    assert len(got) == len(rows_) and sum(r.kept for r in got) == 6
+    kept = sorted(((r.doc_id is not None, r.doc_id or 0), r.text) for r in exact.drop_exact_copies(docs).fillna("null", "text").collect())
+    assert kept == sorted([((False, 0), "a  b"), ((True, 3), "c"), ((True, 3), "d"), ((True, 3), "null"), ((True, -(2**63)), "e"), ((False, 0), "f")])
+
+
+def test_directory_routes(spark):
+    """Buckets are split until they fit; every slot has one; without the directory's buckets no row finds its entry."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id % 1000 as string) as text").union(spark.range(2000).selectExpr("id + 5000", "'hot'"))
+    index, rows_ = exact.indexed(docs, 100, 16)
+    size = {r.bucket: (r.depth, r["count"]) for r in rows_.join(index.select("bucket", "depth").distinct(), "bucket").groupBy("bucket", "depth").count().collect()}
+    depth = max(d for d, _ in size.values())
+    assert all(n <= 100 or d == 16 for d, n in size.values()) and sum(n for _, n in size.values()) == 5000
+    found = exact.buckets(rows_.selectExpr("cast(shiftrightunsigned(key, 48) as int) as prefix"), 100, 16)
+    slots = exact.directory(found, depth).collect()
+    assert sorted(r.slot for r in slots) == list(range(1 << depth)) or {r.bucket for r in slots} == set(size)
+    assert rows_.withColumn("bucket", rows_.bucket + 1).join(index, ["bucket", "key", "digest"]).count() == 0
 
 
 def fingerprint(text):
@@ -57,7 +82,10 @@ def test_simhash(spark, docs, empty):
     assert len(got) == len(rows())
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{f:016x}", None if i is None else find(i)) for i, f in prints.items()}
     kept = simhash.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, *map(find, ids)}
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, {None, *map(find, ids)}))
+    again = [(5, "x y z"), (5, "x y z"), (5, "one two three four five six"), (7, "x y z"), (None, "x y z"), (None, "alone"), (4, "one two three four five six")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(again, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", "one two three four five six"), ("5", "x y z"), ("None", "alone")]
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -71,8 +99,11 @@ def test_dense_fingerprints(spark):
     rng = np.random.default_rng(0)
     base = int(rng.integers(1 << 62))
     values = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (400, 2))} | {int(x) for x in rng.integers(1 << 62, size=300)})
-    found = simhash.links(spark.createDataFrame(list(enumerate(values)), "id long, fingerprint long"))
-    got = {r.id: r.component for r in components.components(found).collect()}
+    prints = spark.createDataFrame(list(enumerate(values)), "id long, fingerprint long")
+    dealt = simhash.dealt(simhash.postings(prints), 50).groupBy("key").count().collect()
+    assert max(r["count"] for r in dealt) < 100 and any(r.key & ((1 << 34) - 1) for r in dealt)
+    got = {r.id: r.component for r in components.components(simhash.links(prints)).collect()}
+    assert got == {r.id: r.component for r in components.components(simhash.links(prints, most=50)).collect()}
     v = np.array(values, np.uint64)
     near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
     label = np.arange(len(v))
