@@ -7,14 +7,17 @@ The inverted index has a list for each value of three byte positions, for the
 20 triples out of which every four positions hold at least one; so every such
 pair meets in some list. There the shared bytes of each pair are tallied, pairs
 with the guaranteed four are retained, and their differing bits are counted.
-Equal fingerprints are one entry of the index. Of a list only a spanning forest
-of its links is passed on, never all its pairs.
+Equal fingerprints are one entry of the index. A list of over ``most`` entries
+is cut in blocks, and each pair of blocks is a list of its own, so no task holds
+more than about ``most`` entries of a list, however many there are. Of a list
+only a spanning forest of its links is passed on, never all its pairs.
 
 Defined cases: null and empty texts have no word and the fingerprint zero, and
 are linked like any other; a text of fewer words than a shingle is one shingle;
 rows of a null doc_id have a fingerprint and no component unless another row
 has the same fingerprint; repeated rows share a component; an empty table gives
-an empty result; further columns are ignored.
+an empty result; further columns are kept by ``keep_one_of_each`` and ignored
+otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -58,8 +61,12 @@ def fingerprint_of(text: bytes, starts: np.ndarray, ends: np.ndarray, k: int, ta
     return int.from_bytes(np.packbits(2 * set_in.ravel() > n).tobytes(), "big", signed=True)
 
 
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id and fingerprint (long) of each document, from word shingles of k words, A-Z lower-cased, hashed by XXH64 with seed 42."""
+    """doc_id, text_hash and fingerprint (long) of each document, from word shingles of k words, A-Z lower-cased, hashed by XXH64 with seed 42."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -72,9 +79,9 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
                 own = sizes[first[i] : first[i + 1]]
                 stops = np.cumsum(own + 1) - 1
                 made.append(fingerprint_of(b" ".join(raw[bounds[i] : bounds[i + 1]].lower().split()), stops - own, stops, k, table))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(made, pa.int64())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), block.column("text_hash"), pa.array(made, pa.int64())], names=["doc_id", "text_hash", "fingerprint"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return small_batches(docs).select("doc_id", text_hash(docs).alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
 def near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
@@ -130,12 +137,27 @@ def settle(label: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> Non
         p, q = p[open_], q[open_]
 
 
-def links(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """Links (a, b) between ids whose fingerprints are near: for each list a forest. prints: id, fingerprint, each fingerprint once."""
+def postings(prints: DataFrame) -> DataFrame:
+    """(key, id, fingerprint): the inverted index, a list for each triple of byte positions and the values there."""
     byte = [F.expr(f"shiftrightunsigned(fingerprint, {56 - 8 * p}) & 255L") for p in range(BYTES)]
     keys = [F.lit(n << 24) + byte[a] * 65536 + byte[b] * 256 + byte[c] for n, (a, b, c) in enumerate(triples())]
-    lists = prints.select("id", "fingerprint", F.explode(F.array(*keys)).alias("key"))
-    lists = lists.repartition("key").sortWithinPartitions("key", "fingerprint")
+    return prints.select("id", "fingerprint", F.explode(F.array(*keys)).alias("key"))
+
+
+def dealt(lists: DataFrame, most: int) -> DataFrame:
+    """The index with lists of over most entries dealt to tasks: such a list is cut in blocks, and each pair of its blocks is a list of its own."""
+    long = written(lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "long-lists")
+    n = F.expr(f"cast(ceil(n / {most / 2}) as long)")
+    own = F.pmod(F.xxhash64("id"), n)
+    pair = lambda j: F.shiftleft(F.least(own, j), 17) + F.greatest(own, j)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: j != own)
+    parts = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, pair))
+    return lists.join(long, "key", "left").select("id", "fingerprint", "key", F.explode(parts).alias("part")).select("id", "fingerprint", (F.shiftleft("key", 34) + F.col("part")).alias("key"))
+
+
+def links(prints: DataFrame, bits: int = 4, most: int = 8192) -> DataFrame:
+    """Links (a, b) between ids whose fingerprints are near: for each list a forest. prints: id, fingerprint, each fingerprint once. most: entries of a list, beyond which it is dealt to several tasks."""
+    lists = dealt(postings(prints), most).repartition("key").sortWithinPartitions("key", "fingerprint")
     names = ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +183,33 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
     return lists.select("key", "fingerprint", "id").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of each document; bits is 4 at most."""
+def classes_of(prints: DataFrame, bits: int, most: int = 8192) -> DataFrame:
+    """(fingerprint, component_id) of each fingerprint that a row with an id has."""
     if not 0 <= bits <= BYTES - SHARED:
         raise ValueError("bits must be from 0 to 4")
-    prints = written(fingerprints(docs, k), "fingerprints")
     distinct = prints.filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    parts = components(links(distinct, bits))
-    classes = distinct.join(parts, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
+    parts = components(links(distinct, bits, most))
+    return distinct.join(parts, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each document; bits is 4 at most."""
+    prints = written(fingerprints(docs, k), "fingerprints")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return prints.join(classes, "fingerprint", "left").select("doc_id", digits, "component_id")
+    return prints.join(classes_of(prints, bits), "fingerprint", "left").select("doc_id", digits, "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; rows of a null doc_id stay."""
-    kept = near_duplicates(docs, **how).filter("doc_id is null or component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+def keep_one_of_each(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
+    """docs with one row of each component, one of the smallest doc_id; a row of a null doc_id goes if another row has its fingerprint, else it stays."""
+    prints = written(fingerprints(docs, k), "fingerprints")
+    judged = prints.join(classes_of(prints, bits), "fingerprint", "left")
+    first = judged.filter("doc_id is null and component_id is null or doc_id = component_id")
+    # A row is told by its id and its text; of rows that agree in both, or in id and class, one stays.
+    places = first.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n"))
+    places = written(places.unionByName(first.filter("doc_id is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n")).distinct()), "near-kept")
+    places = places.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "n")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs["doc_id"].cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"))
+    found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
+    if places.filter("n > 1").isEmpty():
+        return found.select("whole.*")
+    return found.filter("n = 1").select("whole.*").unionByName(found.filter("n > 1").dropDuplicates(["doc_id"]).select("whole.*"))
