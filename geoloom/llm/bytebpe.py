@@ -3,8 +3,8 @@
 The ranks of a tiktoken file become a model of the tokenizers library: each byte
 is mapped to a printable character, and each way to split a token in two known
 ones becomes a merge of the token's rank. Token boundaries are given in bytes
-and in characters of the original text. Decoding reverses the byte table; a
-character whose bytes lie in several tokens comes out whole where the tokens
+and in characters of the original text. Decoding reads each token's bytes off
+its spelling in the model's vocabulary by the reversed byte table; a character whose bytes lie in several tokens comes out whole where the tokens
 are decoded together, and begins with the token that holds its first byte.
 
 Defined cases: a null text counts as empty and has no id; repeated rows are
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import PieceEncoder, blocks, bytes_of, kept_in_process, small_batches
+from .textblocks import BYTE_LEVEL, PieceEncoder, blocks, bytes_of, kept_in_process, small_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,15 +49,22 @@ def tokenizer_of(ranks: dict[bytes, int], pattern: str):
     return out
 
 
+def token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
+    """The bytes of each id, read off its spelling by the reversed byte table."""
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    out = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for spelled, i in vocabulary.items():
+        out[i] = bytes(byte_of[c] for c in spelled)
+    return out
+
+
 class ByteBPE:
     """Encoder and decoder of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         model = tokenizer_of(ranks, pattern)
-        self.encode = PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)])
-        by_id: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            by_id[rank] = token
+        self.encode = PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], cut=pattern == BYTE_LEVEL)
+        by_id = token_bytes(model.get_vocab())
         self.tokens = pa.array(by_id, pa.large_binary())
         self.lengths = np.fromiter(map(len, by_id), np.int64, len(by_id))
         self.decimals = pa.array([f"{i},".encode() for i in range(len(by_id))], pa.large_binary())
@@ -97,22 +104,24 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, byte_starts array<int>, char_starts array<int>")
 
 
-def decoded(rows: DataFrame, ranks_path: str) -> DataFrame:
+def decoded(rows: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL) -> DataFrame:
     """doc_id and text (bytes that are no UTF-8 become U+FFFD) of each row of doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        tokens = {r: t for t, r in ranks.items()}
+        bpe = kept_in_process(("ranks", ranks_path, pattern), lambda: ByteBPE(read_ranks(ranks_path), pattern))
         for batch in batches:
-            texts = [None if ids is None else b"".join(tokens[i] for i in ids).decode(errors="replace") for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            data, at = bpe.decode(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]))
+            texts = [data[a:b].decode(errors="replace") if known else None for a, b, known in zip(at, at[1:], lists.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the decimal ids joined by commas and of the bytes decoded from them."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    """doc_id, n_tokens, SHA-256 of the decimal ids joined by commas and of the bytes decoded from them, n_split (tokens that begin within a character) and last_start (the character at which the last token begins, null if there is none)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_split", pa.int64()), ("last_start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_in_process(("ranks", ranks_path, pattern), lambda: ByteBPE(read_ranks(ranks_path), pattern))
@@ -124,6 +133,13 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 data, at = bpe.joined(values, ids, offsets)
                 data = memoryview(data)
                 sums.append([sha(data[a : max(a, b - less)]) for a, b in zip(at, at[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), *map(pa.array, sums)], schema=schema)
-
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            begins, chars = bpe.token_starts(block.column("text"), ids, offsets)
+            text, bounds = bytes_of(block.column("text"))
+            of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            within = (text[begins + bounds[of]] & 0xC0) == 0x80
+            last = offsets[1:] - 1
+            starts = pa.array(chars[last] if len(chars) else np.zeros(len(last), np.int64), pa.int64(), mask=np.diff(offsets) == 0)
+            counts = pa.array(np.bincount(of[within], minlength=len(last)), pa.int64())
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), *map(pa.array, sums), counts, starts], schema=schema)
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, last_start long")

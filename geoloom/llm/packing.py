@@ -6,12 +6,14 @@ holds it. Tiers are packed from the longest: a window takes one piece of its
 tier, then the longest shorter pieces that still fit, and last the head of one
 more piece, cut so that the window is full. A window that can't be filled
 gives its pieces back for the next block of documents; what is left at the end
-of a partition is cut into windows of powers of two, so nothing is padded. The
-windows of one size are dealt to step groups of equal token counts.
+of a partition is cut into windows of powers of two, so nothing is padded.
 
 A partition packs its own rows, block by block, without a shuffle: memory is
 bounded by a block (or by the longest single text), and a task that is run again
-gives the same sequences, whose ids hold the partition's number.
+gives the same sequences, whose ids hold the partition's number. The pieces are
+written; then the windows of one size are numbered through all partitions (by
+the count of each partition and size, a small table) and dealt in that order to
+step groups of equal token counts: only the last group of a size may be short.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id is kept;
 repeated rows are packed each for itself; an empty table gives no piece; further
@@ -27,11 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from .storage import written
 from .textblocks import blocks, file_encoder, small_batches, with_end
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, nth long"
 
 
 class Piece:
@@ -50,21 +54,20 @@ class Piece:
 
 
 class Packer:
-    def __init__(self, tiers: tuple[int, ...], group_tokens: int, partition: int):
+    def __init__(self, tiers: tuple[int, ...], partition: int):
         self.tiers = sorted(tiers, reverse=True)
-        self.group_tokens, self.first = group_tokens, partition << 40
+        self.first = partition << 40
         self.made = 0
         self.per_window: dict[int, int] = {}
         self.waiting: list[Piece] = []
         self.rows: list[tuple] = []
 
     def emit(self, window: int, pieces: list[Piece]) -> None:
-        count = self.per_window.get(window, 0)
-        self.per_window[window] = count + 1
-        group = self.first + (window.bit_length() << 32) + count * window // self.group_tokens
+        nth = self.per_window.get(window, 0)
+        self.per_window[window] = nth + 1
         offset = 0
         for p in pieces:
-            self.rows.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.of, self.first + self.made, offset, window, group))
+            self.rows.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.of, self.first + self.made, offset, window, nth))
             offset += len(p.ids)
         self.made += 1
 
@@ -125,6 +128,17 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def grouped(pieces: DataFrame, group_tokens: int) -> DataFrame:
+    """pieces with step_group in the place of nth, the number of a window among those of its size in its partition."""
+    rows = pieces.withColumn("part", F.shiftright("sequence_id", 40))
+    counts = rows.groupBy("part", "window").agg((F.max("nth") + 1).alias("n"))
+    before = Window.partitionBy("window").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = counts.select("part", "window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    number = F.expr(f"(before + nth) * window div {group_tokens}")
+    size = F.expr("shiftleft(cast(length(bin(window)) as long), 48)")
+    return rows.join(counts, ["part", "window"]).withColumn("step_group", size + number).select(*[c for c in pieces.columns if c != "nth"], "step_group")
+
+
 def packed(docs: DataFrame, tokenizer: str, end: int = 1, tiers: tuple[int, ...] = (2048, 1024, 512, 256), group_tokens: int = 1 << 16) -> DataFrame:
     """One row per piece; tokenizer is the path of a tokenizers file, tiers are powers of two."""
     if any(t < 1 or t & (t - 1) for t in tiers):
@@ -134,7 +148,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 1, tiers: tuple[int, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = file_encoder(tokenizer)
-        packer = Packer(tiers, group_tokens, TaskContext.get().partitionId())
+        packer = Packer(tiers, TaskContext.get().partitionId())
         for block in blocks(batches, "text", 12 << 20):
             ids, offsets = with_end(*encode(block.column("text")), end)
             bounds = offsets.tolist()
@@ -145,4 +159,4 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 1, tiers: tuple[int, ...]
         packer.finish()
         yield packer.taken(schema)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return grouped(written(small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA), "pieces"), group_tokens)

@@ -114,6 +114,7 @@ class Shard:
         at, length, self.filter_at, self.filter_size, self.docs, self.ids, self.id_bytes, magic = struct.unpack(FOOTER, self.read(size - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError("this is no shard")
+        self.marks: bytes | None = None  # the filter, read at the first lookup
         self.keys, self.places, index, i = [], [], self.read(at, length), 0
         while i < length:
             n, *place = struct.unpack_from(PLACE, index, i)
@@ -145,7 +146,9 @@ class Shard:
 
     def get(self, key: bytes) -> np.ndarray | None:
         """The ids of the first document of this key."""
-        marks = self.read(self.filter_at, self.filter_size)
+        if self.marks is None:
+            self.marks = self.read(self.filter_at, self.filter_size)
+        marks = self.marks
         bits = struct.unpack_from("<Q", marks)[0]
         if not all(marks[8 + (p >> 3)] >> (p & 7) & 1 for p in probes(key, bits)):
             return None
@@ -170,21 +173,28 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
 
         number = TaskContext.get().partitionId()
         store, top = fs.FileSystem.from_uri(folder)
-        encode = writer = None
-        for block in blocks(batches, "text", 12 << 20):
-            if writer is None:
-                encode, size = file_encoder(tokenizer)
-                store.create_dir(top, recursive=True)
-                name = f"{top}/.{uuid.uuid4().hex}"
-                writer = ShardWriter(store.open_output_stream(name), 2 if max(size, end + 1) <= 1 << 16 else 4)
-            ids, offsets = with_end(*encode(block.column("text")), end)
-            bounds = offsets.tolist()
-            for i, doc_id in enumerate(block.column("doc_id").to_pylist()):
-                writer.add(key_of(doc_id), ids[bounds[i] : bounds[i + 1]])
+        encode = writer = name = None
+        try:
+            for block in blocks(batches, "text", 12 << 20):
+                if writer is None:
+                    encode, size = file_encoder(tokenizer)
+                    store.create_dir(top, recursive=True)
+                    name = f"{top}/.{uuid.uuid4().hex}"
+                    writer = ShardWriter(store.open_output_stream(name), 2 if max(size, end + 1) <= 1 << 16 else 4)
+                ids, offsets = with_end(*encode(block.column("text")), end)
+                bounds = offsets.tolist()
+                for i, doc_id in enumerate(block.column("doc_id").to_pylist()):
+                    writer.add(key_of(doc_id), ids[bounds[i] : bounds[i + 1]])
+            if writer:
+                writer.close()
+                writer.out.close()
+                store.move(name, f"{top}/{number:08d}.sst")
+        except BaseException:
+            if writer:  # a failed attempt leaves no file
+                writer.out.close()
+                store.delete_file(name)
+            raise
         if writer:
-            writer.close()
-            writer.out.close()
-            store.move(name, f"{top}/{number:08d}.sst")
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, f"{folder}/{number:08d}.sst", writer.first, writer.docs, writer.ids)], schema=schema)
 
     ordered = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -8,6 +8,7 @@ from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 WHITE = np.zeros(256, bool)
@@ -172,15 +173,38 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray,
     return pieces, np.searchsorted(bounds, offsets)
 
 
+#: The pattern of byte-level tokenizers whose matches chunks() leaves whole.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for a pattern that drops white space.
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def structure(spec: dict) -> tuple[bool, bool]:
+    """Whether texts may be cut by chunks() for a tokenizers file, and whether it takes no heed of white space around a piece and of the case of A-Z. Neither for files of another structure than the two known."""
+    cutter, normalizer = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    if cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True) and normalizer is None:
+        return True, False
+    parts, steps = cutter.get("pretokenizers") or [], (normalizer or {}).get("normalizers") or []
+    if cutter.get("type") == "Sequence" and len(parts) == 2 and [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"]:
+        split, level = parts
+        words_ = split.get("type") == "Split" and split.get("pattern") == {"Regex": WORD_LEVEL} and split.get("behavior") == "Removed" and split.get("invert")
+        spaces = steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+        if words_ and spaces and level.get("type") == "ByteLevel" and not level.get("use_regex", True) and not level.get("add_prefix_space", True):
+            return True, True
+    return False, False
+
+
 class PieceEncoder:
     """Ids of texts by way of their distinct pieces, each encoded once for a block, or once while it stays in the cache.
 
-    encode: from a list of strings to an iterable of id sequences. folded: it
-    takes no heed of white space around a piece and of the case of A-Z.
+    encode: from a list of strings to an iterable of id sequences. cut: texts may
+    be cut by chunks(), else each is a piece. folded: encode takes no heed of
+    white space around a piece and of the case of A-Z. special: strings that
+    encode looks for in the whole text; a text that holds one is encoded whole.
     """
 
-    def __init__(self, encode, folded: bool = False, cached: int = 350_000, at_once: int = 2048):
-        self.encode, self.folded, self.cached, self.at_once = encode, folded, cached, at_once
+    def __init__(self, encode, cut: bool = True, folded: bool = False, special: tuple[bytes, ...] = (), cached: int = 350_000, at_once: int = 2048):
+        self.encode, self.cut, self.folded, self.special, self.cached, self.at_once = encode, cut, folded, special, cached, at_once
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -197,32 +221,57 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         return found
 
+    def fold(self, piece: bytes) -> bytes:
+        out = piece.strip().lower()
+        return piece if any(x in out for x in self.special) else out
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start, with the end."""
+        texts = binary(texts)
+        holds = np.zeros(len(texts), bool)
+        for x in self.special:
+            holds |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self.pieced(texts)
+        ids, starts = self.pieced(pc.if_else(pa.array(holds), pa.scalar(b"", pa.large_binary()), texts))
+        at = np.flatnonzero(holds)
+        own = dict(zip(at.tolist(), self.encode([texts[i].as_py().decode() for i in at.tolist()]), strict=True))
+        runs = [np.array(own[i], np.uint32) if i in own else ids[starts[i] : starts[i + 1]] for i in range(len(texts))]
+        return np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
+
+    def pieced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = bytes_of(texts)
-        pieces, first = chunks(data, offsets)
+        if self.cut:
+            pieces, first = chunks(data, offsets)
+        else:
+            pieces, first = texts, np.arange(len(texts) + 1)
         if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = pieces.dictionary_encode()
         values, bounds = bytes_of(coded.dictionary)
         values, bounds = values.tobytes(), bounds.tolist()
         values = [values[a:b] for a, b in pairwise(bounds)]
-        each = self.lookup([v.strip().lower() for v in values] if self.folded else values)
+        each = self.lookup([self.fold(v) for v in values] if self.folded else values)
         coded_ids = pa.array(each, pa.large_binary()).take(coded.indices)
         starts = np.frombuffer(coded_ids.buffers()[1], np.int64)[: len(coded_ids) + 1] // 4
-        return np.frombuffer(coded_ids.buffers()[2], np.uint32, starts[-1]), starts[first]
+        held = coded_ids.buffers()[2]
+        return np.frombuffer(held, np.uint32, starts[-1]) if held is not None else np.zeros(0, np.uint32), starts[first]
 
 
 def file_encoder(path: str) -> tuple[PieceEncoder, int]:
-    """An encoder by a tokenizers file, without special tokens, and its vocabulary's size."""
+    """An encoder by a tokenizers file with add_special_tokens=False, and its vocabulary's size. As in the library's plain call, strings of special tokens in a text are found there."""
 
     def make() -> tuple[PieceEncoder, int]:
+        import json
+
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        same = model.encode(" A\tBc\n", add_special_tokens=False).ids == model.encode("a bc", add_special_tokens=False).ids
-        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], same), model.get_vocab_size()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cut, folded = structure(spec)
+        special = tuple(x["content"].encode() for x in spec.get("added_tokens") or [])
+        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], cut, folded, special), model.get_vocab_size()
 
     return kept_in_process(("tokenizers", path), make)
 

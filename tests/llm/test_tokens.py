@@ -1,20 +1,22 @@
 import hashlib
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from geoloom.llm import bytebpe, packing, sstable
+from geoloom.llm import bytebpe, packing, sstable, textblocks
 
 from .fixtures import rows
 
 
 def encoder(name):
     model = Tokenizer.from_file(public_tokenizers.path(name))
-    model.encode_special_tokens = True
     return lambda text: model.encode(text or "", add_special_tokens=False).ids
 
 
@@ -22,6 +24,31 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+SPECIAL = ["<|endoftext|> hi", "<|ENDOFTEXT|> hi  <|endoftext|>", "a<|startoftext|>b", "x <|start", "oftext|> y", "", "  two  Spaces, here. And\u00a0there ", "É <|endoftext|>é", "a \u0308b C\u0327 ΑΣ σας"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens(name):
+    """Strings of special tokens, whole or nearly, among other texts: as the library's plain call gives them."""
+    encode, own = encoder(name), textblocks.file_encoder(public_tokenizers.path(name))[0]
+    assert own.cut and own.folded == name.startswith("word")
+    for texts in (SPECIAL, [x for x in SPECIAL if "<|" not in x], ["<|endoftext|>"], [""], []):
+        ids, starts = own(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [encode(x) for x in texts]
+
+
+def test_unknown_structure():
+    """A file of another structure is not cut: each text is encoded whole."""
+    spec = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    assert textblocks.structure(spec) == (True, False)
+    assert textblocks.structure(spec | {"pre_tokenizer": {"type": "Whitespace"}}) == (False, False)
+    assert textblocks.structure(spec | {"normalizer": {"type": "NFKC"}}) == (False, False)
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = textblocks.PieceEncoder(lambda xs: [e.ids for e in model.encode_batch(xs, add_special_tokens=False)], cut=False)
+    ids, starts = whole(pa.array(SPECIAL))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [model.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+
+
 def test_packing(spark, docs, empty):
     encode = encoder("byte_bpe_50k.json")
     want = {r[0]: [*encode(r[1]), 1] for r in rows()}
@@ -42,6 +69,13 @@ def test_packing(spark, docs, empty):
             assert offset == at
             at += n
         assert at == window <= 2048 and window & (window - 1) == 0
+    groups, small = {}, packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), group_tokens=4096).collect()
+    for w, q, g in {(r.window, r.sequence_id, r.step_group) for r in small}:
+        groups.setdefault(w, {}).setdefault(g, []).append(q)
+    for w, own in groups.items():  # equal token counts, but for the last group of a size
+        sizes = sorted(len(x) * w for x in own.values())
+        assert all(n == 4096 for n in sizes[1:]) and sizes[0] <= 4096
+    assert len({r.sequence_id >> 40 for r in small}) > 1 and max(map(len, groups.values())) > 2
     assert packing.packed(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     with pytest.raises(ValueError):
         packing.packed(docs, "", tiers=(100,))
@@ -98,6 +132,9 @@ def test_byte_bpe(spark, docs, empty):
     got = bytebpe.digests(docs, path, public_tokenizers.PATTERN).collect()
     assert len(got) == len(rows())
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {i: (len(ids), sha(",".join(map(str, ids)).encode()), sha(texts[i].encode())) for i, ids in want.items()}
+    starts = {i: other.decode_with_offsets(ids)[1] for i, ids in want.items()}
+    inside = {i: sum(other.decode_single_token_bytes(t)[0] & 0xC0 == 0x80 for t in ids) for i, ids in want.items()}
+    assert {r.doc_id: (r.n_split, r.last_start) for r in got} == {i: (inside[i], starts[i][-1] if starts[i] else None) for i in want} and any(inside.values())
     full = bytebpe.encoded(docs, path, public_tokenizers.PATTERN)
     for r in full.collect():
         assert r.ids == want[r.doc_id]
