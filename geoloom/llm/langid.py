@@ -111,26 +111,31 @@ def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """The language of each word on the best path; first: the first word of each text, with the end."""
+    """The language of each word on the best path; first: the first word of each text, with the end.
+
+    The best value is taken from all at each step, so that values stay within the
+    penalty of 0, however long a text is.
+    """
+    kind = np.int8 if scores.shape[1] < 1 << 7 else np.int16 if scores.shape[1] < 1 << 15 else np.int32
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
     begin, sizes = first[:-1][order], sizes[order]
     longest = int(sizes.max(initial=0))
     value = np.zeros((len(sizes), scores.shape[1]), np.float32)
-    came = np.empty(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    came = np.empty(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     actives = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")
     for t in range(longest):
         n = actives[t]
         v, at = value[:n], begin[:n] + t
         best = v.argmax(1)
-        other = np.take_along_axis(v, best[:, None], 1) - penalty
-        stay = v >= other
+        v -= np.take_along_axis(v, best[:, None], 1)
+        stay = v >= -penalty
         came[at] = np.where(stay, own, best[:, None])
-        np.maximum(v, other, out=v)
+        np.maximum(v, -penalty, out=v)
         v += scores[at]
-    out = np.empty(len(scores), np.int8)
-    state = np.zeros(len(sizes), np.int8)
+    out = np.empty(len(scores), kind)
+    state = np.zeros(len(sizes), kind)
     for t in reversed(range(longest)):
         n = actives[t]
         at = begin[:n] + t
@@ -156,7 +161,7 @@ def identified(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFram
             if langs:
                 label = viterbi(word_scores(model, data, starts, ends), first, penalty)
             else:
-                label = np.zeros(len(starts), np.int8)
+                label = np.zeros(len(starts), np.int64)
             of = np.repeat(np.arange(len(sizes)), sizes)
             letters = np.bincount(of * len(names) + label, (ends - starts).astype(float), len(sizes) * len(names)).reshape(len(sizes), -1)
             # Bytes outside ASCII may be no letters; with ASCII letters there is no doubt.

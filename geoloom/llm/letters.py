@@ -1,4 +1,4 @@
-"""Words of letters in byte arrays: runs of a-z (A-Z and the letters of Latin-1 lower-cased) and bytes outside ASCII, without general punctuation."""
+"""Words of letters in byte arrays: runs of a-z (A-Z and the letters of Latin-1 lower-cased) and bytes outside ASCII, without punctuation, symbols and pictographs."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ def _lower() -> np.ndarray:
 
 
 LOWER = _lower()
+#: First byte, length and second bytes of signs that are no letters: Latin-1 signs, U+2000 to U+2BFF, CJK punctuation, selectors, pictographs.
+SIGNS = [(0xC2, 2, range(0x80, 0xC0)), (0xE2, 3, range(0x80, 0xB0)), (0xE3, 3, [0x80]), (0xEF, 3, [0xB8]), (0xF0, 4, [0x9F])]
 
 
 def letter_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -26,7 +28,7 @@ def letter_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     data, offsets = bytes_of(texts)
     data = np.insert(LOWER[data], offsets[1:], 0x20)
     offsets = offsets + np.arange(len(offsets))
-    for lead, size, seconds in ((0xC2, 2, range(0x80, 0xC0)), (0xE2, 3, (0x80, 0x81))):
+    for lead, size, seconds in SIGNS:
         at = np.flatnonzero(data == lead)
         at = at[np.isin(data[at + 1], list(seconds))]
         for i in range(size):
