@@ -5,10 +5,13 @@ hashed to ``buckets``; a document has a term or has it not. The machine adds a w
 terms, the product of their factors: so an insult beside the mention of a group
 can count for more than both apart. It is fitted on the driver on a bounded
 sample of labelled documents (``most_toxic`` and ``most_clean`` rows, those of
-the smallest hash of doc_id), over the ``most_terms`` terms that tell the two
-apart best; two machines, each fitted on half of the sample and tried on the
-other, choose the cut that gets the score ``least``. What is shipped to the tasks is bounded by ``buckets`` and
-``most_terms``.
+the smallest hash of doc_id, and of each the ``row_terms`` terms of the smallest
+hash). Its terms are the ``most_terms`` that tell the two apart best, and those
+of pairs that tell more together than apart, though each alone may tell nothing:
+all pairs of the ``pair_terms`` terms that most toxic rows have are tried. Two
+machines, each fitted on half of the sample and tried on the other, choose the
+cut that gets the score ``least``. What is shipped to the tasks is bounded by
+``buckets``, ``most_terms`` and ``pair_terms``.
 
 Defined cases: null and empty texts have no term and get the machine's bias; a
 null toxic is no label; a doc_id with several labels is toxic if one says so;
@@ -32,6 +35,7 @@ from .textblocks import blocks, mixed, small_batches, span_hashes
 
 STEM = 6  # bytes
 LEAST_CHI = 10.83  # one in a thousand by chance
+LEAST_PAIR_CHI = 40.0  # one in a thousand by chance, for the best of half a million pairs
 
 
 def terms_of(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +95,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and distinct buckets of the sample, at most most_toxic + most_clean rows."""
+def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, buckets: int, row_terms: int = 8192) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels and distinct buckets of the sample, at most most_toxic + most_clean rows of at most row_terms buckets."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, most_toxic), (0, most_clean))]
     rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
@@ -102,35 +106,67 @@ def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int
             of, bucket = terms_of(block.column("text"), buckets)
             own = np.unique(of * buckets + bucket)
             ends = np.searchsorted(own, np.arange(1, block.num_rows + 1) * buckets)
-            found = [x.astype("<i4").tobytes() for x in np.split(own % buckets, ends[:-1])]
+            found = [x[:row_terms].astype("<i4").tobytes() for x in np.split(own % buckets, ends[:-1])]
             yield pa.RecordBatch.from_arrays([block.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], names=["toxic", "terms"])
 
     got = rows.select("toxic", "text").mapInArrow(run, "toxic int, terms binary").toArrow()
     return got.column("toxic").to_numpy(), [np.frombuffer(x, "<i4") for x in got.column("terms").to_pylist()]
 
 
-def fitted(y: np.ndarray, terms: list[np.ndarray], buckets: int, most_terms: int, factors: int, least: float, false_cost: float = 10, rounds: int = 150, rate: float = 0.08, shrink: float = 1e-4) -> Machine:
+def held(terms: list[np.ndarray], place: np.ndarray, width: int) -> np.ndarray:
+    """A row for each document, 1 where it has the term of the place."""
+    x = np.zeros((len(terms), width), np.float32)
+    for i, t in enumerate(terms):
+        at = place[t]
+        x[i, at[at >= 0]] = 1
+    return x
+
+
+def chi_squared(a: np.ndarray, b: np.ndarray, bad: int, n: int) -> np.ndarray:
+    """Of being in a of bad toxic and in b of the other n - bad rows."""
+    both = a + b
+    return n * (a * (n - bad - b) - b * (bad - a)) ** 2 / np.maximum(both * (n - both) * bad * (n - bad), 1)
+
+
+def paired(target: np.ndarray, terms: list[np.ndarray], toxic_counts: np.ndarray, chi: np.ndarray, pair_terms: int, most: int = 128) -> np.ndarray:
+    """Buckets of the terms of pairs that tell more than twice what both tell apart, at most most of them, the best pairs first."""
+    often = np.argsort(-toxic_counts, kind="stable")[:pair_terms]
+    often = np.sort(often[toxic_counts[often] >= 3])
+    place = np.full(len(toxic_counts), -1, np.int32)
+    place[often] = np.arange(len(often))
+    together = np.zeros((2, len(often), len(often)))
+    for at in range(0, len(terms), 2000):
+        x = held(terms[at : at + 2000], place, len(often))
+        for k in (0, 1):
+            own = x[target[at : at + 2000] == k]
+            together[k] += own.T @ own
+    bad = int(target.sum())
+    tells = chi_squared(together[1], together[0], bad, len(terms)) - 2 * (chi[often][:, None] + chi[often][None, :])
+    tells[together.sum(0) < 5] = 0
+    p, q = np.nonzero(np.triu(tells, 1) >= LEAST_PAIR_CHI)
+    best = np.argsort(-tells[p, q], kind="stable")[:most]
+    own = list(dict.fromkeys(np.stack([p[best], q[best]], 1).ravel().tolist()))[:most]
+    return often[own]
+
+
+def fitted(y: np.ndarray, terms: list[np.ndarray], buckets: int, most_terms: int, pair_terms: int, factors: int, least: float, false_cost: float = 10, rounds: int = 150, rate: float = 0.08, shrink: float = 1e-4) -> Machine:
     bad = int((y == 1).sum())
     if bad in (0, len(y)):
         out = Machine(buckets, np.zeros(0, np.int64), factors)
         out.bias = 500.0 if bad else -500.0
         return out
     counts = [np.bincount(np.concatenate([t for t, v in zip(terms, y, strict=True) if v == k]), minlength=buckets) for k in (0, 1)]
-    # Chi-squared of having the term against the label; only terms that several documents have.
+    # Only terms that several documents have.
     n, a, b = len(y), counts[1].astype(float), counts[0].astype(float)
-    both = a + b
-    chi = n * (a * (n - bad - b) - b * (bad - a)) ** 2 / np.maximum(both * (n - both) * bad * (n - bad), 1)
-    chi[(both < 3) | (chi < LEAST_CHI)] = 0
-    chosen = np.argsort(-chi, kind="stable")[: min(most_terms, int((chi > 0).sum()))]
-    place = Machine(buckets, np.sort(chosen), factors).place
-    x = np.zeros((n, len(chosen)), np.float32)
-    for i, t in enumerate(terms):
-        at = place[t]
-        x[i, at[at >= 0]] = 1
+    chi = chi_squared(a, b, bad, n)
+    good = np.where((a + b < 3) | (chi < LEAST_CHI), 0, chi)
+    chosen = np.argsort(-good, kind="stable")[: min(most_terms, int((good > 0).sum()))]
     target = (y == 1).astype(np.float32)
+    chosen = np.union1d(chosen, paired(target, terms, counts[1], chi, pair_terms))
+    x = held(terms, Machine(buckets, chosen, factors).place, len(chosen))
 
     def on(rows: np.ndarray) -> Machine:
-        out = Machine(buckets, np.sort(chosen), factors)
+        out = Machine(buckets, chosen, factors)
         out.bias = float(np.log(bad / (n - bad)))
         out.fit(x[rows], target[rows], rounds, rate, shrink)
         return out
@@ -161,9 +197,9 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def predicted(
-    docs: DataFrame, labels: DataFrame, rest: int = 1, of: int = 3, least: float = 0.7, most_toxic: int = 4000, most_clean: int = 12_000, most_terms: int = 512, factors: int = 4, buckets: int = 1 << 20
+    docs: DataFrame, labels: DataFrame, rest: int = 1, of: int = 3, least: float = 0.7, most_toxic: int = 4000, most_clean: int = 12_000, most_terms: int = 512, pair_terms: int = 1024, factors: int = 4, buckets: int = 1 << 20
 ) -> DataFrame:
     """doc_id, held_out, score and predicted, learned from the labels that are not held out (crc32 of doc_id modulo of is rest)."""
     y, terms = sampled(docs, labels.filter(~held_out(rest, of)), most_toxic, most_clean, buckets)
-    machine = fitted(y, terms, buckets, most_terms, factors, least)
+    machine = fitted(y, terms, buckets, most_terms, pair_terms, factors, least)
     return scored(docs, machine).select("doc_id", held_out(rest, of).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

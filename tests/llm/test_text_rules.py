@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from geoloom.llm import langid, licenses, quality, toxicity
@@ -91,9 +93,51 @@ def test_licenses(spark, docs, empty):
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == {r[0]: brute(r[1]) for r in rows()}
     labels = {r.doc_id: r.labels for r in got}
     assert labels[23] == "mit" and labels[14] == "cc-by,gpl,reserved" and labels[1] == ""
+    assert len(got) == len(rows())
     assert licenses.scanned(empty).count() == 0
 
 
+def test_license_rows(spark):
+    """Repeated rows, null ids and texts of one id come back one for one; a repeated 2-gram is one vote; only A-Z are lower-cased."""
+    texts = ["under the " * 7, "under the " * 4, "released under the MIT license", "all rights reserved " * 2, "al\u212a rights reserved", "cc by nc"]
+    rows_ = [(4, texts[0]), (4, texts[1]), (4, texts[2]), (4, texts[2]), (None, texts[3]), (None, texts[5]), (7, "wor\u212a cc by"), (8, "licensed under the " + "apache " * 3 + "license version 2 0")]
+    got = [tuple(r) for r in licenses.scanned(spark.createDataFrame(rows_, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows_)
+    assert sorted(r[6] for r in got if r[0] == 4) == ["", "", "mit", "mit"]
+    assert sorted((r[1], r[2], r[6]) for r in got if r[0] is None) == [(3, 1, "cc-by"), (6, 2, "reserved")]
+    assert [r[1:3] for r in got if r[0] == 7] == [(3, 1)] and [r[6] for r in got if r[0] == 8] == ["apache-2.0"]
+    long = spark.createDataFrame([(1, "under the " * 20_000 + "released " + "under the " * 50 + " released under the mit license")], "doc_id long, text string")
+    assert licenses.scanned(long).first().labels == "mit"
+
+
+def test_license_bands(spark):
+    """Score and labels against every band of diagonals, tried one by one."""
+    rng = random.Random(5)
+    pool = sorted({w for x in licenses.NOTICES for w in x.split()}) + ["x", "y"]
+    texts = {}
+    for i in range(150):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 40))]
+        notice = rng.choice(list(licenses.NOTICES)).split()
+        for _ in range(rng.randint(0, 3)):
+            notice.insert(rng.randrange(len(notice)), rng.choice(pool)) if rng.random() < 0.5 else notice.pop(rng.randrange(len(notice)))
+        texts[i] = " ".join(words + notice + words[::-1])
+    want = {}
+    for i, text in texts.items():
+        words, best, labels = text.split(), 0.0, set()
+        for notice, label in licenses.NOTICES.items():
+            grams = list(zip(notice.split(), notice.split()[1:]))
+            hits = {(p - a, a) for p in range(len(words) - 1) for a, g in enumerate(grams) if (words[p], words[p + 1]) == g}
+            share = max((len({a for d, a in hits if low <= d <= low + 4}) / len(grams) for low, _ in hits), default=0.0)
+            best = max(best, share)
+            labels |= {label} if share >= 0.8 else set()
+        n_base = sum(words[p : p + len(b.split())] == b.split() for b in licenses.BASE for p in range(len(words)))
+        labels |= {x for b, x in licenses.BASE.items() if any(words[p : p + len(b.split())] == b.split() for p in range(len(words)))}
+        want[i] = (",".join(sorted(labels)), 1.0 if n_base else best)
+    got = licenses.scanned(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {i: (x, pytest.approx(y)) for i, (x, y) in want.items()}
+    assert sum("," in x or x != "" for x, _ in want.values()) > 50
+
+
 def test_notice_with_changes(spark):
     rows_ = [(1, "x licensed under the really Apache License, Version 2.0 y"), (2, "licensed under the apache"), (3, "version 2.0 of the license " + "w " * 50 + "licensed under the apache license")]
     got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
@@ -119,6 +163,50 @@ def test_language_spans(spark):
     assert (got[2].lang_pred, got[2].score) == ("ru", 1.0) and [got[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3
 
 
+@pytest.mark.parametrize("n_langs", [1, 3, 150, 300])
+def test_viterbi(n_langs):
+    """Against the plain recurrence in exact numbers; scores are whole, so float32 holds them."""
+    rng = np.random.default_rng(n_langs)
+    sizes = rng.integers(0, 25, 30)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    scores = -rng.integers(0, 60, (first[-1], n_langs)).astype(np.float32)
+    got = langid.viterbi(scores, first, 10.0)
+    total = lambda path, own: sum(float(own[i, p]) for i, p in enumerate(path)) - 10.0 * sum(a != b for a, b in zip(path, path[1:]))
+    for a, b in zip(first, first[1:]):
+        own = scores[a:b].astype(float)
+        value = own[0].copy() if b > a else np.zeros(n_langs)
+        for row in own[1:]:
+            value = np.maximum(value, value.max() - 10.0) + row
+        path = got[a:b].tolist()
+        assert all(0 <= p < n_langs for p in path) and total(path, own) == (value.max() if b > a else 0)
+
+
+def test_viterbi_long():
+    """A text of 150,000 words in spans of 200, each word of score -300 or so: rounding loses no switch."""
+    n, span = 150_000, 200
+    want = (np.arange(n) // span) % 2
+    scores = np.full((n, 2), -300.0, np.float32)
+    scores[np.arange(n), 1 - want] -= 2.0
+    assert (langid.viterbi(scores, np.array([0, n]), 10.0) == want).mean() > 0.999
+
+
+def test_many_languages(spark):
+    """200 languages, each of words of its own."""
+    words = {f"l{i:03d}": [f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}{a}" for a in ("ka", "lo", "mi", "zu", "te")] for i in range(200)}
+    rows_ = [(i * 200 + k, " ".join(w * 4), lang) for i in range(6) for k, (lang, w) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    got = langid.predicted(docs).join(docs, "doc_id").filter("held_out")
+    assert got.count() > 100 and got.filter("lang = lang_pred").count() >= 0.95 * got.count()
+
+
+def test_signs_are_no_letters(spark):
+    train = spark.createDataFrame([(0, "the house " * 9, "en"), (1, "дом и река " * 9, "ru")], "doc_id long, text string, lang string")
+    model = langid.Model(langid.learned(train))
+    asked = spark.createDataFrame([(1, "\U0001f600\U0001f600 ★★★ → 。、"), (2, "the house \U0001f600\U0001f600\U0001f600\U0001f600 ████"), (3, "дом")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(asked, model).collect()}
+    assert got == {1: ("und", 0.0), 2: ("en", 1.0), 3: ("ru", 1.0)}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predicted(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -144,3 +232,41 @@ def test_pairs_of_terms(spark):
     got = toxicity.predicted(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
     good = sum(r.predicted == (r.doc_id % 4 == 3) for r in got)
     assert good >= 0.95 * len(got)
+
+
+def test_pure_interaction(spark):
+    """Each word alone is as often toxic as clean; only both, or neither, tell."""
+    rows_, labels = [], []
+    for i in range(1600):
+        words = prose(i, 12) + [[], ["insulto"], ["gruppa"], ["insulto", "gruppa"]][i % 4]
+        rows_.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 in (0, 3))))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = toxicity.predicted(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    right = sum((r.score >= 0.5) == (r.doc_id % 4 in (0, 3)) for r in got)
+    assert right >= 0.95 * len(got)
+
+
+def test_machine():
+    """Scores against the sum over all pairs of terms, term by term."""
+    rng = np.random.default_rng(0)
+    texts = ["alpha beta gamma", "beta beta longerword", "", None, "gamma longerword alpha delta", "nothing known"]
+    _, bucket = toxicity.terms_of(pa.array(texts[:3]), 1 << 16)
+    machine = toxicity.Machine(1 << 16, np.unique(bucket), 3)
+    machine.bias = -0.4
+    machine.weight = rng.normal(0, 1, len(machine.weight)).astype(np.float32)
+    machine.factor = rng.normal(0, 1, machine.factor.shape).astype(np.float32)
+    got = machine.scores(pa.array(texts))
+    for text, score in zip(texts, got):
+        _, own = toxicity.terms_of(pa.array([text]), 1 << 16)
+        at = [int(machine.place[b]) for b in sorted(set(own.tolist())) if machine.place[b] >= 0]
+        raw = machine.bias + sum(float(machine.weight[i]) for i in at) + sum(float(machine.factor[i] @ machine.factor[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert score == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-5)
+
+
+def test_held_out_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.predicted(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    bad = [r for r in got if r.toxic == 1]
+    assert sum(r.predicted for r in bad) >= 0.8 * len(bad) > 0  # 305 toxic rows to learn from
+    assert sum(r.predicted for r in got if r.toxic == 0) <= 0.01 * (len(got) - len(bad))
