@@ -10,30 +10,51 @@ def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
 
 
+class BitVector:
+    """Bits, 64 to a word, with the number of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.append(bits, np.zeros(-len(bits) % 64 + 64, bool)), bitorder="little").view(np.uint64)
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before the place."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[word] + np.bitwise_count(self.words[word] & below)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the one that k ones stand before."""
+        word = np.searchsorted(self.counts, k, "right") - 1
+        left, bits, at = k - self.counts[word], self.words[word], word << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            low = bits & np.uint64((1 << half) - 1)
+            ones = np.bitwise_count(low)
+            beyond = left >= ones
+            left = np.where(beyond, left - ones, left)
+            bits = np.where(beyond, bits >> np.uint64(half), low)
+            at = np.where(beyond, at + half, at)
+        return at
+
+
 class WaveletMatrix:
-    """Rank queries on a sequence of numbers, in a bit for each number and level, and a count for every 64 bits."""
+    """Rank queries on a sequence of numbers, in a bit for each number and level."""
 
     def __init__(self, values: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        n = len(values)
+        self.bits, self.zeros = [], []
         for level in reversed(range(self.levels)):
             bit = (values >> level & 1).astype(bool)
-            packed = np.packbits(np.append(bit, np.zeros(-n % 64 + 64, bool)), bitorder="little").view(np.uint64)
-            self.words.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
-            self.zeros.append(n - int(bit.sum()))
+            self.bits.append(BitVector(bit))
+            self.zeros.append(len(values) - int(bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
-        symbols = np.arange(sigma)
         self.starts = np.zeros(sigma, np.int64)
-        self.starts = self.walk(symbols, self.starts)
+        self.starts = self.walk(np.arange(sigma), self.starts)
 
     def walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the position at goes on the way down to the symbol."""
         for i, level in enumerate(reversed(range(self.levels))):
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[i][word] + np.bitwise_count(self.words[i][word] & below)
+            ones = self.bits[i].rank(at)
             at = np.where(symbols >> level & 1, self.zeros[i] + ones, at - ones)
         return at
 
@@ -46,11 +67,16 @@ class FMIndex:
     """Backward search over texts, each ended by the symbol 0; symbols of texts are 1 and more.
 
     Suffixes are sorted by their first ``length`` symbols only, which is all
-    that a search for patterns up to that length needs.
+    that a search for patterns up to that length needs. What is kept is
+    compressed: the wavelet matrix of the Burrows-Wheeler transform, a bit for
+    each suffix that tells where another ``length`` symbols begin, the same for
+    one symbol less, and of each such interval the smallest owner. The order of
+    the suffixes is not kept.
     """
 
-    def __init__(self, symbols: np.ndarray, sigma: int, length: int):
-        self.length = length
+    def __init__(self, symbols: np.ndarray, sigma: int, length: int, owner: np.ndarray):
+        """owner: a number for each symbol, such as that of its document."""
+        self.length, self.size = length, len(symbols)
         ahead = lambda r, k: np.append(r[k:], np.zeros(min(k, len(r)), r.dtype))
         rank, reach, steps = symbols.astype(np.int64), 1, {}
         while reach < length:
@@ -61,28 +87,31 @@ class FMIndex:
                 reach = length
             else:
                 rank, reach = ranked(rank, ahead(rank, reach)), 2 * reach
-        self.order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank, kind="stable")
         # A context of one symbol less: the longest doubled prefix twice, overlapping.
         half = max(steps, default=1)
         part = steps.get(half, rank)
-        a, b = part[self.order], ahead(part, max(0, length - 1 - half))[self.order]
-        self.groups = self.numbered(rank[self.order], rank[self.order])
+        new = self.begins(rank[order], rank[order])
+        self.intervals = BitVector(new)
+        self.smallest = np.minimum.reduceat(owner[order], np.flatnonzero(new)) if len(order) else owner
         if length - 1 >= half:
-            self.shorter = self.numbered(a, b)
+            self.shorter = BitVector(self.begins(part[order], ahead(part, max(0, length - 1 - half))[order]))
         else:
-            self.shorter = self.numbered(a * 0, a * 0)
-        self.shorter_starts = np.flatnonzero(np.diff(self.shorter, prepend=-1))
-        self.shorter_ends = np.append(self.shorter_starts[1:], len(symbols))
-        before = symbols[self.order - 1]
-        self.bwt = WaveletMatrix(before.astype(np.int64), sigma)
+            self.shorter = BitVector(self.begins(part * 0, part * 0))
+        self.n_shorter = int(self.shorter.counts[-1])
+        self.bwt = WaveletMatrix(symbols[order - 1].astype(np.int64), sigma)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
 
     @staticmethod
-    def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The number of the run of equal pairs that each place belongs to."""
+    def begins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a run of equal pairs begins at each place."""
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return np.cumsum(new) - 1
+        return new
+
+    def owners(self, low: np.ndarray) -> np.ndarray:
+        """The smallest owner in the interval of the length symbols that begins at low."""
+        return self.smallest[self.intervals.rank(low + 1) - 1]
 
     def step(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From the intervals of patterns to those of the patterns with a symbol put before."""
@@ -90,8 +119,9 @@ class FMIndex:
 
     def widened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the first length - 1 symbols of the suffixes at low."""
-        group = self.shorter[low]
-        return self.shorter_starts[group], self.shorter_ends[group]
+        group = self.shorter.rank(low + 1)
+        last = group == self.n_shorter
+        return self.shorter.select(group - 1), np.where(last, self.size, self.shorter.select(np.where(last, 0, group)))
 
     def matching(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each position of the streamed texts the start of the interval of the length symbols there, or -1.

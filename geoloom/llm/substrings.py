@@ -1,7 +1,7 @@
 """Repeated passages, found by FM-indexes over shards of the corpus.
 
 Every window of ``window`` words has an anchor: the smallest hash of its word
-3-grams. Equal windows have equal anchors, so a window need only be compared
+6-grams. Equal windows have equal anchors, so a window need only be compared
 with those of its anchor's shard, and consecutive windows of one anchor travel
 together as a segment. Only anchors that occur in two documents go on.
 
@@ -16,8 +16,10 @@ starts in a document of a smaller doc_id are removed.
 What is shuffled: a number for each anchor and block of documents (a block
 sends one row of an anchor, however many of its documents hold it), the texts
 of documents with a candidate, compressed, and the distinct segments of each
-block. A shard is indexed in pieces of about ``most_words`` words, cut between
-anchors; runs of one anchor are split at ``most_windows`` windows.
+block. A shard has about ``most_words`` words; runs of one anchor are split at
+``most_windows`` windows. A shard of over four times as many, as an anchor in
+very many different surroundings makes it, is cut once more by the hash of each
+window, where equal windows still meet, and its parts go to tasks of their own.
 
 Defined cases: null and empty texts have no word; rows of a null doc_id lose
 nothing and remove nothing; rows that repeat a doc_id do not remove from one
@@ -40,7 +42,22 @@ from .fm_index import FMIndex
 from .storage import written
 from .textblocks import blocks, bytes_of, mixed, ragged, small_batches, span_hashes, window_hashes, words
 
-GRAM = 3
+GRAM = 6
+RUN_WORDS = 18  # about: a run has five windows
+
+
+def slot_of(anchor: np.ndarray) -> np.ndarray:
+    """31 well-spread bits of an anchor."""
+    return (mixed(anchor.view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+
+
+def digests(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of XXH3 for each text[a:b]."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(text[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 class Runs:
@@ -49,7 +66,8 @@ class Runs:
     def __init__(self, texts: pa.Array, window: int, most_windows: int):
         self.data, offsets = bytes_of(texts)
         self.starts, self.ends, self.first_word = words(self.data, offsets)
-        grams = window_hashes(span_hashes(self.data, self.starts, self.ends), GRAM)
+        spelled = span_hashes(self.data, self.starts, self.ends)
+        grams = window_hashes(spelled, GRAM)
         width, least = window - GRAM + 1, grams
         done = 1
         while done < width:  # the least of done grams, from those of half as many
@@ -70,14 +88,19 @@ class Runs:
         starts = np.repeat(starts, parts) + within
         self.windows = np.minimum(np.repeat(lengths, parts) - within, most_windows)
         self.anchor, self.of, self.at = anchor[starts].view(np.int64), of[starts], at[starts]
+        # For each run its anchor's slot (31 bits) and 32 bits of a hash of its words.
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(spelled), dtype=np.uint64)])
+            own = mixed(sums[np.minimum(self.at + self.windows + window - 1, len(spelled))] - sums[self.at])
+        self.mark = ((slot_of(self.anchor) << 32) | (own >> np.uint64(32)).astype(np.int64)).astype(np.int64)
         counts = np.bincount(self.of, minlength=len(sizes))
         self.first_run = np.concatenate([[0], np.cumsum(counts)])
         self.number = np.arange(len(starts)) - self.first_run[self.of]
 
 
 def anchors(docs: DataFrame, window: int, most_windows: int) -> DataFrame:
-    """(route, doc_id, key, run, known): the runs of all documents. known: the block itself has the anchor in two documents; one of its rows is routed by the anchor, the others anywhere."""
-    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32()), ("known", pa.bool_())])
+    """(route, doc_id, key, run, mark, known): the runs of all documents. known: the block itself has the anchor in two documents; one of its rows is routed by the anchor, the others anywhere."""
+    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32()), ("mark", pa.int64()), ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -95,19 +118,19 @@ def anchors(docs: DataFrame, window: int, most_windows: int) -> DataFrame:
             route = np.where(known & ~head, spread, a)
             of, number = runs.of[order], runs.number[order]
             back = np.argsort(order)  # rows of one document together: they compress better
-            columns = [route[back], d[back], keys[of[back]], number[back].astype(np.int32), known[back]]
+            columns = [route[back], d[back], keys[of[back]], number[back].astype(np.int32), runs.mark[order][back], known[back]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "route long, doc_id long, key int, run int, known boolean")
+    return docs.mapInArrow(run, "route long, doc_id long, key int, run int, mark long, known boolean")
 
 
 def shared(runs: DataFrame) -> DataFrame:
-    """(doc_id, key, run) of the runs whose anchor occurs in two documents."""
-    sorted_ = runs.repartition("route").sortWithinPartitions("route").select("route", "doc_id", "key", "run", "known")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32())])
+    """(doc_id, key, run, mark) of the runs whose anchor occurs in two documents."""
+    sorted_ = runs.repartition("route").sortWithinPartitions("route").select("route", "doc_id", "key", "run", "mark", "known")
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32()), ("mark", pa.int64())])
 
     def told(held: list[list[np.ndarray]], cut: int | None) -> tuple[pa.RecordBatch, list[list[np.ndarray]], bool]:
-        route, doc, key, number, known = (np.concatenate(c) for c in zip(*held, strict=True))
+        route, doc, key, number, mark, known = (np.concatenate(c) for c in zip(*held, strict=True))
         to = len(route) if cut is None else int(np.searchsorted(route, route[-1]))
         first = np.flatnonzero(np.concatenate([[True], route[1:to] != route[: to - 1]])) if to else np.zeros(0, np.int64)
         if to:
@@ -116,23 +139,23 @@ def shared(runs: DataFrame) -> DataFrame:
             keep = np.flatnonzero(np.repeat(several, sizes))
         else:
             keep = np.zeros(0, np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, key, number)], schema=schema)
-        return out, [[c[to:] for c in (route, doc, key, number, known)]]
+        out = pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, key, number, mark)], schema=schema)
+        return out, [[c[to:] for c in (route, doc, key, number, mark, known)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", "doc_id", "key", "run", "known")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", "doc_id", "key", "run", "mark", "known")]
             if not batch.num_rows:
                 continue
             if held and held[0][0][0] == columns[0][-1]:
                 # One anchor fills the batch: of what is held, rows that are known to be shared can go, but for one that tells so.
                 held.append(columns)
                 doc = np.concatenate([c[1] for c in held])
-                if doc.min() != doc.max() or any(c[4].any() for c in held):
+                if doc.min() != doc.max() or any(c[5].any() for c in held):
                     rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[i][:-1]) for i in (1, 2, 3)], schema=schema)
-                    held = [[c[-1:] for c in rows[:4]] + [np.ones(1, bool)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[i][:-1]) for i in (1, 2, 3, 4)], schema=schema)
+                    held = [[c[-1:] for c in rows[:5]] + [np.ones(1, bool)]]
                 continue
             held.append(columns)
             out, held = told(held, 1)
@@ -140,7 +163,7 @@ def shared(runs: DataFrame) -> DataFrame:
         if held:
             yield told(held, None)[0]
 
-    return sorted_.mapInArrow(run, "doc_id long, key int, run int")
+    return sorted_.mapInArrow(run, "doc_id long, key int, run int, mark long")
 
 
 def keyed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
@@ -188,7 +211,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator
 def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most_windows: int) -> DataFrame:
     """The segments of the wanted runs. Rows of a shard have a block's segments for it: compressed, each once, with the smallest doc_id that has it in the block. Rows without one have each place, with the segment's hashes alone."""
     names = ["shard", "packed", "h1", "h2", "doc_id", "key", "at"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -210,8 +233,8 @@ def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             text[bounds[1:] - 1] = 32
             a, b = bounds[runs.at[at]], bounds[runs.at[at] + runs.windows[at] + window - 1]
-            h1, h2 = hashes(text, a, b)
-            doc, shard = ids[of], (mixed(runs.anchor[at].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            h1, h2 = digests(text.tobytes(), a, b)
+            doc, shard = ids[of], shard_of(slot_of(runs.anchor[at]), shards)
             order = np.lexsort((doc, h2, h1, shard))
             new = np.ones(len(order), bool)
             new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (shard, h1, h2)])
@@ -220,9 +243,7 @@ def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most
             packed = []
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(one)], strict=True):
                 own = one[i:j]
-                held = text[ragged(a[own], (b - a)[own])].tobytes()
-                head = np.array([len(own)], "<i8").tobytes() + doc[own].astype("<i8").tobytes() + (b - a)[own].astype("<i4").tobytes()
-                packed.append(pack(head + held))
+                packed.append(packed_of(doc[own], text, a[own], b[own], pack))
             columns = [shard[one][first], packed, None, None, None, None, None]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(first), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
             columns = [None, None, h1, h2, doc, keys[of], (runs.at[at] - runs.first_word[of]).astype(np.int32)]
@@ -230,14 +251,11 @@ def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most
 
     # A left join, and no filter: so that Spark shuffles the texts once for this join and that of kept_words().
     joined = with_texts(texts, wanted, "runs")
-    return joined.mapInArrow(run, "shard long, packed binary, h1 long, h2 int, doc_id long, key int, at int")
+    return joined.mapInArrow(run, "shard long, packed binary, h1 long, h2 long, doc_id long, key int, at int")
 
 
-def hashes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits that tell segments apart."""
-    h1 = span_hashes(text, a, b)
-    h2 = mixed(span_hashes(text[::-1], len(text) - b, len(text) - a) + np.uint64(1))
-    return h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def shard_of(slot, shards: int):
+    return slot * shards >> 31
 
 
 def with_texts(texts: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
@@ -246,12 +264,10 @@ def with_texts(texts: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
     return texts.join(more, (F.col("doc_id") == F.col("doc_")) & (F.col("key") == F.col("key_")), "left").drop("doc_", "key_")
 
 
-def searched(segments_: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, firsts): for each distinct segment the smallest doc_id of each of its windows."""
-    rows = segments_.filter("packed is not null").select("shard", "packed")
-    rows = rows.repartition("shard").sortWithinPartitions("shard")
+class Held:
+    """The segments of packed rows: owner, digest and bytes of each, and a sort that brings equal ones together, the smallest owner first."""
 
-    def index(packed: list[bytes]) -> pa.RecordBatch:
+    def __init__(self, packed: list[bytes]):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
@@ -261,47 +277,129 @@ def searched(segments_: DataFrame, window: int) -> DataFrame:
             docs.append(np.frombuffer(raw, "<i8", n, 8))
             lengths.append(np.frombuffer(raw, "<i4", n, 8 + 8 * n))
             texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 12 * n))
-        doc, length, data = map(np.concatenate, (docs, lengths, texts))
-        bounds = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-        h1, h2 = hashes(data, bounds[:-1], bounds[1:])
-        order = np.lexsort((doc, h2, h1))
+        self.doc, self.length, self.data = map(np.concatenate, (docs, lengths, texts))
+        self.bounds = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
+        self.h1, self.h2 = digests(self.data.tobytes(), self.bounds[:-1], self.bounds[1:])
+
+    def distinct(self) -> np.ndarray:
+        order = np.lexsort((self.doc, self.h2, self.h1))
         new = np.ones(len(order), bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        one = order[new]  # of each distinct segment the one of the smallest doc_id
-        data = data[ragged(bounds[:-1][one], length[one])]
-        bounds = np.concatenate([[0], np.cumsum(length[one], dtype=np.int64)])
-        ends = np.append(0, np.flatnonzero(data == 32) + 1)  # words, each with its space
-        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = spelled.dictionary_encode()
-        number = coded.indices.to_numpy().astype(np.int64) + 1
-        first = np.searchsorted(ends, bounds)
-        sizes = np.diff(first)
-        text = np.insert(number, first[1:], 0)
-        starts = first[:-1] + np.arange(len(one))
-        fm = FMIndex(text, len(coded.dictionary) + 1, window)
-        found = fm.matching(text, starts, sizes)
-        owner = np.repeat(doc[one], sizes + 1)[fm.order]  # the document of each suffix
-        lows = np.flatnonzero(np.diff(fm.groups, prepend=-1))
-        smallest = np.minimum.reduceat(owner, lows)
-        windows = sizes - window + 1
-        firsts = smallest[fm.groups[found[ragged(starts, windows)]]]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(firsts))
-        return pa.RecordBatch.from_arrays([pa.array(h1[one]), pa.array(h2[one]), lists], names=["h1", "h2", "firsts"])
+        new[1:] = (self.h1[order][1:] != self.h1[order][:-1]) | (self.h2[order][1:] != self.h2[order][:-1])
+        return order[new]
+
+
+def packed_of(doc: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, pack) -> bytes:
+    """The spans data[a:b] and their documents, compressed, as Held reads them."""
+    head = np.array([len(doc)], "<i8").tobytes() + doc.astype("<i8").tobytes() + (b - a).astype("<i4").tobytes()
+    return pack(head + data[ragged(a, b - a)].tobytes())
+
+
+def firsts_of(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct segments: the number of windows of each, and the smallest document of each window, by an FM-index of them all that they are streamed against."""
+    ends = np.append(0, np.flatnonzero(data == 32) + 1)  # words, each with its space
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spelled.dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64) + 1
+    first = np.searchsorted(ends, bounds)
+    sizes = np.diff(first)
+    text = np.insert(number, first[1:], 0)
+    starts = first[:-1] + np.arange(len(doc))
+    fm = FMIndex(text, len(coded.dictionary) + 1, window, np.repeat(doc, sizes + 1))
+    windows = sizes - window + 1
+    return windows, fm.owners(fm.matching(text, starts, sizes)[ragged(starts, windows)])
+
+
+def by_group(rows: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """make(first row's group, packed values) for the packed values of each group of rows; rows: columns, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         last = None
         for batch in batches:
-            for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                if held and shard != last:
-                    yield index(held)
+            groups = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+            for group, packed in zip(groups, batch.column("packed").to_pylist(), strict=True):
+                if held and group != last:
+                    yield make(held)
                     held = []
-                last = shard
+                last = group
                 held.append(packed)
         if held:
-            yield index(held)
+            yield make(held)
+
+    return rows.repartition(*columns).sortWithinPartitions(*columns).select(*columns, "packed").mapInArrow(run, schema)
+
+
+def searched(segments_: DataFrame, large: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, firsts): for each distinct segment the smallest doc_id of each of its windows. large: the shards to be searched in parts."""
+    rows = segments_.filter("packed is not null").select("shard", "packed")
+
+    def index(packed: list[bytes]) -> pa.RecordBatch:
+        held = Held(packed)
+        one = held.distinct()
+        length = held.length[one]
+        data = held.data[ragged(held.bounds[:-1][one], length)]
+        windows, firsts = firsts_of(data, np.concatenate([[0], np.cumsum(length, dtype=np.int64)]), held.doc[one], window)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(firsts))
+        return pa.RecordBatch.from_arrays([pa.array(held.h1[one]), pa.array(held.h2[one]), lists], names=["h1", "h2", "firsts"])
+
+    kind = "h1 long, h2 long, firsts array<long>"
+    if large.isEmpty():
+        return by_group(rows, ["shard"], index, kind)
+    whole = by_group(rows.join(large, "shard", "left_anti"), ["shard"], index, kind)
+    return whole.unionByName(searched_in_parts(rows.join(large, "shard"), window))
+
+
+def searched_in_parts(rows: DataFrame, window: int) -> DataFrame:
+    """searched() for shards cut by the hash of each window, so that one anchor's windows are dealt to several tasks. rows: shard, packed, parts."""
+    names = ["shard", "part", "packed", "h1", "h2", "nth", "w1", "w2"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for shard, packed, parts in zip(*[batch.column(c).to_pylist() for c in ("shard", "packed", "parts")], strict=True):
+                held = Held([packed])
+                ends = np.append(0, np.flatnonzero(held.data == 32) + 1)
+                first = np.searchsorted(ends, held.bounds)
+                windows = np.diff(first) - window + 1
+                of = np.repeat(np.arange(len(windows)), windows)
+                nth = ragged(np.zeros(len(windows), np.int64), windows)
+                at = first[of] + nth
+                a, b = ends[at], ends[at + window]
+                w1, w2 = digests(held.data.tobytes(), a, b)
+                part = (mixed(w1.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((held.doc[of], w2, w1, part))
+                new = np.ones(len(order), bool)
+                new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (part, w1, w2)])
+                one = order[new]
+                begins = np.flatnonzero(np.diff(part[one], prepend=-1))
+                own = [packed_of(held.doc[of[one[i:j]]], held.data, a[one[i:j]], b[one[i:j]], pack) for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(one)], strict=True)]
+                for n, columns in ((len(own), [np.full(len(own), shard), part[one][begins], own, None, None, None, None, None]), (len(of), [None, None, None, held.h1[of], held.h2[of], nth, w1, w2])):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def index(packed: list[bytes]) -> pa.RecordBatch:
+        held = Held(packed)
+        one = held.distinct()
+        data = held.data[ragged(held.bounds[:-1][one], held.length[one])]
+        _, firsts = firsts_of(data, np.concatenate([[0], np.cumsum(held.length[one], dtype=np.int64)]), held.doc[one], window)
+        return pa.RecordBatch.from_arrays([pa.array(held.h1[one]), pa.array(held.h2[one]), pa.array(firsts)], names=["w1", "w2", "first"])
+
+    found = rows.mapInArrow(cut, "shard long, part long, packed binary, h1 long, h2 long, nth int, w1 long, w2 long")
+    firsts = by_group(found.filter("packed is not null").select("shard", "part", "packed"), ["shard", "part"], index, "w1 long, w2 long, first long")
+    # A window may stand in shards of several anchors' segments only with one anchor, so in one shard; a segment has most_windows of them at most.
+    places = found.filter("packed is null").select("h1", "h2", "nth", "w1", "w2").distinct().join(firsts, ["w1", "w2"])
+    listed = places.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("nth", "first"))).alias("l"))
+    return listed.select("h1", "h2", F.transform("l", lambda x: x["first"]).alias("firsts"))
+
 
-    return rows.mapInArrow(run, "h1 long, h2 int, firsts array<long>")
+def large_shards(wanted: DataFrame, shards: int, most_words: int) -> DataFrame:
+    """(shard, parts) of the shards whose distinct runs have over four times most_words words."""
+    marks = wanted.select(F.explode("marks").alias("mark")).distinct()
+    counts = marks.groupBy(F.expr(f"shiftright(shiftright(mark, 32) * {shards}L, 31)").alias("shard")).agg(F.count("*").alias("n"))
+    parts = F.expr(f"cast(ceil(n * {RUN_WORDS} / {most_words}) as long)")
+    return written(counts.filter(F.col("n") * RUN_WORDS > 4 * most_words).select("shard", parts.alias("parts")), "large-shards")
 
 
 def removed_spans(docs: DataFrame, window: int = 13, most_windows: int = 32, most_words: int = 500_000, texts: DataFrame | None = None) -> DataFrame:
@@ -309,11 +407,13 @@ def removed_spans(docs: DataFrame, window: int = 13, most_windows: int = 32, mos
     texts = compressed(docs) if texts is None else texts
     known = keyed(docs).filter("doc_id is not null")
     runs = shared(anchors(known, window, most_windows))
-    wanted = written(runs.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs")), "shared-runs")  # as many as a document has
-    words_ = 18 * (wanted.agg(F.sum(F.size("runs"))).first()[0] or 0)  # about: a run has six windows
-    found = segments(texts, wanted, max(1, -(-words_ // most_words)), window, most_windows)
+    listed = F.collect_list(F.struct("run", "mark"))  # as many as a document has
+    wanted = written(runs.groupBy("doc_id", "key").agg(listed.alias("l")).select("doc_id", "key", F.transform("l", lambda x: x["run"]).alias("runs"), F.transform("l", lambda x: x["mark"]).alias("marks")), "shared-runs")
+    words_ = RUN_WORDS * (wanted.agg(F.sum(F.size("runs"))).first()[0] or 0)
+    shards = max(1, -(-words_ // most_words))
+    found = segments(texts, wanted.select("doc_id", "key", "runs"), shards, window, most_windows)
     places = found.filter("packed is null").select("h1", "h2", "doc_id", "key", "at")
-    hits = places.join(searched(found, window), ["h1", "h2"])
+    hits = places.join(searched(found, large_shards(wanted, shards, most_words), window), ["h1", "h2"])
     hits = hits.select("doc_id", "key", "at", F.transform("firsts", lambda d: d < F.col("doc_id")).alias("hit")).filter(F.exists("hit", lambda x: x))
     return hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "hit")).alias("spans"))
 

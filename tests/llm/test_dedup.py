@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from geoloom.llm import components, exact, simhash, substrings
+from geoloom.llm import components, exact, fm_index, simhash, substrings
 from geoloom.llm.fm_index import FMIndex
 
 from .fixtures import rows, split
@@ -137,7 +137,7 @@ def test_fm_index():
     for length in (2, 3, 5, 8, 13):
         held = [rng.integers(1, 4, rng.integers(length, 40)) for _ in range(30)]
         text = np.concatenate([np.append(s, 0) for s in held])
-        fm = FMIndex(text, 4, length)
+        fm = FMIndex(text, 4, length, np.arange(len(text)))
         asked = [*held, *[rng.integers(1, 4, rng.integers(0, 40)) for _ in range(30)]]
         stream = np.concatenate([np.append(s, 0) for s in asked])
         sizes = np.array([len(s) for s in asked])
@@ -149,10 +149,30 @@ def test_fm_index():
                 window = tuple(stream[a + i : a + i + length].tolist()) if i + length <= n else None
                 assert (got[a + i] >= 0) == (window in known)
                 if got[a + i] >= 0:
-                    at = fm.order[got[a + i]]
+                    at = fm.owners(got[a + i : a + i + 1])[0]  # the first place that has it
                     assert tuple(text[at : at + length].tolist()) == window
 
 
+def test_bit_vector():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 65, 1000):
+        bits = rng.random(n) < 0.3
+        own = fm_index.BitVector(bits)
+        assert own.rank(np.arange(n + 1)).tolist() == [int(bits[:i].sum()) for i in range(n + 1)]
+        assert own.select(np.arange(int(bits.sum()))).tolist() == np.flatnonzero(bits).tolist()
+
+
+def test_hot_anchor(spark):
+    """One phrase in very many surroundings: its shard is cut by window, and what is removed stays the same."""
+    rng = np.random.default_rng(6)
+    phrase = "as the saying goes in this town"
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 40, 9)), phrase, *(f"w{x}" for x in rng.integers(0, 40, 9))]) for _ in range(400)]
+    texts += [texts[int(i)] for i in rng.integers(0, 400, 60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    wanted = [substrings.repeats(docs, most_words=n).collect() for n in (10**6, 1000)]
+    assert {tuple(r) for r in wanted[0]} == {tuple(r) for r in wanted[1]} and sum(r.n_removed for r in wanted[0]) > 1000
+
+
 def brute_repeats(window=13):
     first, out = {}, {}
     for r in rows():
@@ -173,7 +193,7 @@ def brute_repeats(window=13):
 def test_substrings(spark, docs, empty):
     want = brute_repeats()
     assert sum(w[1] for w in want.values()) > 1000
-    for how in ({}, {"most_windows": 3, "most_words": 500}):
+    for how in ({}, {"most_windows": 3, "most_words": 500}, {"most_windows": 5, "most_words": 90}):
         got = substrings.repeats(docs, **how).collect()
         assert len(got) == len(rows())
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in want.items()}
