@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset, as in tests, a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Where unset, as in tests, a new temporary one; on a cluster no machine's own folder will do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="geoloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
