@@ -57,8 +57,10 @@ def vertices(geom: Column) -> Column:
 
 
 def _local(v: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
-    """Metres east and north of (x0, y0) on the tangent plane."""
-    return (v["x"] - x0) * F.cos(F.radians(y0)) * DEGREE_M, (v["y"] - y0) * DEGREE_M
+    """Metres east and north of (x0, y0) on the tangent plane, the short way round."""
+    east = v["x"] - x0
+    east = F.when(east > 180, east - 360).when(east < -180, east + 360).otherwise(east)
+    return east * F.cos(F.radians(y0)) * DEGREE_M, (v["y"] - y0) * DEGREE_M
 
 
 def _to_edge(px: Column, py: Column, e: Column, x0: Column, y0: Column) -> Column:
@@ -70,6 +72,21 @@ def _to_edge(px: Column, py: Column, e: Column, x0: Column, y0: Column) -> Colum
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
+def to_edge(v: Column, e: Column, x0: Column, y0: Column) -> Column:
+    """Metres from a vertex to an edge on the plane that touches (x0, y0)."""
+    return _to_edge(*_local(v, x0, y0), e, x0, y0)
+
+
+def box_distance(x: Column, y: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Metres that no point of the box is nearer to (x, y) than: the least differences of latitude and longitude with the least cosine."""
+    half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2))
+    gap = lambda v, low, high: F.greatest(F.lit(0.0), low - v, v - high)
+    across = F.least(gap(x, west, east), gap(x + 360, west, east), gap(x - 360, west, east))
+    highest = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(north)))
+    a = half(gap(y, south, north)) + F.greatest(F.lit(0.0), F.cos(F.radians(y)) * F.cos(F.radians(highest))) * half(across)
+    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+
+
 def _side(a: Column, b: Column, c: Column) -> Column:
     return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
 
@@ -118,10 +135,42 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(points, point_distance(first(va, "x"), first(va, "y"), first(vb, "x"), first(vb, "y"))).when(touch | held, F.lit(0.0)).otherwise(F.least(to(va, b), to(vb, a)))
 
 
-def cells(geom: Column, size: float, around: Column | float = 0.0) -> Column:
-    """Numbers (i, j) of the grid cells of size degrees that the box meets, widened by around degrees."""
-    low = lambda c: F.floor((c - around) / size)
-    high = lambda c: F.floor((c + around) / size)
-    columns = F.sequence(low(geom["west"]), high(geom["east"]))
-    rows = F.sequence(low(geom["south"]), high(geom["north"]))
-    return F.flatten(F.transform(columns, lambda i: F.transform(rows, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+def _row(j: Column, cell: float, reach: float) -> Column:
+    """The least cosine of the latitudes of a grid row and reach degrees around it."""
+    highest = F.greatest(F.abs(j * cell), F.abs((j + 1) * cell)) + reach
+    return F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), highest))))
+
+
+def grid_cell(x: Column, y: Column, cell: float, reach: float) -> Column:
+    """The cell (i, j) of a point. Rows are cell degrees high; along a row cells are wider in degrees the farther it is from the equator, so of like size in metres. reach must be that of the other side of a join."""
+    j = F.floor(y / cell)
+    return F.struct(F.floor((x + 180) * _row(j, cell, reach) / cell).alias("i"), j.alias("j"))
+
+
+def edge_cells(x1: Column, y1: Column, x2: Column, y2: Column, y0: Column, cell: float, reach: float) -> Column:
+    """The grid cells along an edge, and those within reach degrees (of latitude) of it: as many as its length asks for, not its box.
+
+    y0: the latitude of the plane that distances to the edge are measured on.
+    """
+    n = F.greatest(F.lit(1.0), F.ceil(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)) / cell)).cast("int")
+    sine = math.sin(math.radians(min(90.0, reach / 2)))
+
+    def along(low: Column, high: Column, j: Column) -> Column:
+        least = _row(j, cell, reach)
+        # Near a pole a small distance is many degrees of longitude, at last all.
+        factor = F.when(least > 10 * sine, 1.01).otherwise(3.15)
+        around = reach * F.greatest(factor, least / F.greatest(F.cos(F.radians(y0)), F.lit(1e-9)))
+        a, b, whole = (low + 180) * least - around, (high + 180) * least + around, 360 * least
+        last = F.floor(whole / cell)
+        numbers = F.sequence(F.greatest(F.lit(0), F.floor(a / cell)), F.least(last, F.greatest(F.lit(0), F.floor(b / cell))))
+        west = F.when(a < 0, F.sequence(F.greatest(F.lit(0), F.least(last, F.floor((a + whole) / cell))), last)).otherwise(F.array().cast("array<bigint>"))
+        east = F.when(b > whole, F.sequence(F.lit(0).cast("long"), F.least(last, F.greatest(F.lit(0), F.floor((b - whole) / cell))))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.array_distinct(F.concat(numbers, west, east)), lambda i: F.struct(i.alias("i"), j.alias("j")))
+
+    def piece(k: Column) -> Column:
+        at = lambda p, q, t: p + (q - p) * t / n
+        xa, xb, ya, yb = at(x1, x2, k), at(x1, x2, k + 1), at(y1, y2, k), at(y1, y2, k + 1)
+        rows = F.sequence(F.floor((F.least(ya, yb) - reach) / cell), F.floor((F.greatest(ya, yb) + reach) / cell))
+        return F.flatten(F.transform(rows, lambda j: along(F.least(xa, xb), F.greatest(xa, xb), j)))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))

@@ -8,8 +8,9 @@ that adaptive execution can split.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -38,64 +39,137 @@ def around(rows: DataFrame, x: float, y: float, metres: float) -> DataFrame:
     """The points within so many metres of a point: a box first, then the distance."""
     tall = metres / geo.DEGREE_M * 1.001
     wide = tall / max(1e-6, math.cos(math.radians(min(89.9, abs(y) + tall))))
-    box = corner(rows).filter(F.col("y").between(y - tall, y + tall) & F.col("x").between(x - wide, x + wide))
+    east = F.pmod(F.col("x") - F.lit(x) + 180.0, F.lit(360.0)) - 180.0
+    box = corner(rows).filter(F.col("y").between(y - tall, y + tall) & (F.abs(east) <= min(180.0, wide)))
     return box.withColumn("distance", geo.point_distance(F.col("x"), F.col("y"), F.lit(x), F.lit(y))).filter(F.col("distance") <= metres).drop("x", "y")
 
 
-def _paired(left: DataFrame, right: DataFrame, cell: float, reach: float) -> DataFrame:
-    """Pairs (id, geom, other, other_geom) that meet in a cell, each pair once for each shared cell."""
-    a = left.select("id", "geom", F.explode(geo.cells(F.col("geom"), cell)).alias("cell"))
-    b = right.select(F.col("id").alias("other"), F.col("geom").alias("other_geom"), F.explode(geo.cells(F.col("geom"), cell, reach)).alias("cell"))
-    # A pair that shares several cells is compared in the first of them alone.
-    g, h = F.col("geom"), F.col("other_geom")
-    first = F.struct(
-        F.greatest(F.floor(g["west"] / cell), F.floor((h["west"] - reach) / cell)).alias("i"), F.greatest(F.floor(g["south"] / cell), F.floor((h["south"] - reach) / cell)).alias("j")
-    )
-    return a.join(b, "cell").filter(F.col("cell") == first).drop("cell")
+def kinds(rows: DataFrame) -> set[str]:
+    """The kinds of geometry (three at most) that rows holds."""
+    return {r[0] for r in rows.select("geom.kind").distinct().collect()}
+
+
+def covered(polygons: DataFrame, cell: float) -> DataFrame:
+    """(other, other_geom, level, i, j): each polygon in the cells of its box, four at most, of the level whose cells are as large as the box."""
+    g = F.col("geom")
+    wide = F.greatest(g["east"] - g["west"], g["north"] - g["south"])
+    rows = polygons.filter(g["kind"] == "polygon").select(F.col("id").alias("other"), F.col("geom").alias("other_geom"), F.greatest(F.lit(0), F.ceil(F.log2(wide / cell))).cast("int").alias("level"))
+    h, size = F.col("other_geom"), cell * F.pow(F.lit(2.0), F.col("level"))
+    side = lambda low, high: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    return rows.withColumn("i", side(h["west"], h["east"])).withColumn("j", side(h["south"], h["north"]))
+
+
+def _held(left: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """(id, geom, other, other_geom): each geometry with the polygons whose box holds its first vertex. A geometry is looked for once in each level that a polygon has."""
+    b = covered(polygons, cell)
+    levels = sorted(r[0] for r in b.select("level").distinct().collect())  # a few dozen at most
+    a = corner(left.select("id", "geom")).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    size = cell * F.pow(F.lit(2.0), F.col("level"))
+    a = a.withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)})
+    h = F.col("other_geom")
+    return a.join(b, ["level", "i", "j"]).filter(F.col("x").between(h["west"], h["east"]) & F.col("y").between(h["south"], h["north"])).select("id", "geom", "other", "other_geom")
 
 
 def within_join(left: DataFrame, polygons: DataFrame, cell: float = 0.002) -> DataFrame:
-    """(id, other): the geometries that lie within a polygon."""
-    return _paired(left, polygons, cell, 0.0).filter(geo.within(F.col("geom"), F.col("other_geom"))).select("id", "other")
+    """(id, other): the geometries that lie within a polygon, of whatever size."""
+    return _held(left, polygons, cell).filter(geo.within(F.col("geom"), F.col("other_geom"))).select("id", "other")
 
 
-def distance_join(left: DataFrame, right: DataFrame, metres: float, cell: float | None = None, max_latitude: float = 80.0) -> DataFrame:
-    """(id, other, distance): pairs within so many metres of each other, up to max_latitude."""
-    reach = metres / geo.DEGREE_M / math.cos(math.radians(max_latitude)) * 1.001
-    pairs = _paired(left, right, cell or max(0.002, 2 * reach), reach)
-    return pairs.withColumn("distance", geo.distance(F.col("geom"), F.col("other_geom"))).filter(F.col("distance") <= metres).select("id", "other", "distance")
+def edge_rows(rows: DataFrame, cell: float, reach: float, id_: str) -> DataFrame:
+    """(id, kind, x0, y0, x1, y1, x2, y2, i, j): the edges of each geometry in the grid cells along them, widened by reach degrees."""
+    v = F.get(geo.vertices(F.col("geom")), F.lit(0))
+    out = rows.select(F.col("id").alias(id_), "geom.kind", v["x"].alias("x0"), v["y"].alias("y0"), F.explode(geo.edges(F.col("geom"))).alias("e"))
+    out = out.select(id_, "kind", "x0", "y0", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    at = geo.edge_cells(*map(F.col, ("x1", "y1", "x2", "y2", "y0")), cell, reach)
+    return out.withColumn("at", F.explode(at)).select(*out.columns, "at.i", "at.j")
 
 
-def nearest_each(left: DataFrame, right: DataFrame, cell: float = 0.004, max_latitude: float = 80.0) -> DataFrame:
-    """(id, other, distance): for each point of left the nearest of right, ties by the smaller id.
+def distance_join(left: DataFrame, right: DataFrame, metres: float, cell: float | None = None) -> DataFrame:
+    """(id, other, distance): pairs within so many metres of each other, at any latitude and across the antimeridian.
 
-    The ring of cells around a point doubles until the best point found is
-    nearer than the ring's edge; points that are served leave the search. When
-    the ring would be as wide as all of right, it is: the search ends.
+    Edges meet in grid cells along them, points with edges as plain numbers;
+    pairs of other geometries are told apart first and get their shapes after.
+    A geometry inside a polygon may be far from its edges: it is looked for by
+    the polygon's box.
     """
-    a, b = corner(left).select("id", "x", "y"), corner(right).select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    # Each round reads what it needs from files: the points that are left, and all of right.
-    a, b = written(a), written(b)
-    span = a.select("x", "y").unionByName(b.select(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    edge = span.agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    if edge[2] is None or b.isEmpty():
+    reach = metres / geo.DEGREE_M * 1.001
+    cell = cell or max(0.001, 2 * reach)
+    a, b = written(left.select("id", "geom")), written(right.select("id", "geom"))
+    of_a, of_b = kinds(a), kinds(b)
+    found = []
+    edges = edge_rows(b, cell, reach, "other")
+    if "point" in of_a:
+        own = corner(a.filter("geom.kind = 'point'")).select("id", "x", "y")
+        at = geo.grid_cell(F.col("x"), F.col("y"), cell, reach)
+        own = own.withColumn("at", at).select("id", "x", "y", "at.i", "at.j")
+        v = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+        line = geo.to_edge(v("x", "y"), F.struct(v("x1", "y1").alias("a"), v("x2", "y2").alias("b")), F.col("x0"), F.col("y0"))
+        distance = F.when(F.col("kind") == "point", geo.point_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))).otherwise(line)
+        found.append(own.join(edges, ["i", "j"]).select("id", "other", distance.alias("distance")).filter(F.col("distance") <= metres))
+    shaped = []
+    if of_a - {"point"}:
+        own = edge_rows(a.filter("geom.kind <> 'point'"), cell, 0.0, "id").select("id", "i", "j").distinct()
+        pairs = own.join(edges.select("other", "i", "j").distinct(), ["i", "j"]).select("id", "other").distinct()
+        shaped.append(pairs.join(a, "id").join(b.select(F.col("id").alias("other"), F.col("geom").alias("other_geom")), "other"))
+    if "polygon" in of_b:
+        shaped.append(_held(a, b, cell))
+    if "polygon" in of_a:
+        back = _held(b, a, cell)
+        shaped.append(back.select(F.col("other").alias("id"), F.col("other_geom").alias("geom"), F.col("id").alias("other"), F.col("geom").alias("other_geom")))
+    for rows in shaped:
+        found.append(rows.select("id", "other", geo.distance(F.col("geom"), F.col("other_geom")).alias("distance")).filter(F.col("distance") <= metres))
+    if not found:
         return a.limit(0).select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance"))
-    whole = int(max(edge[2], edge[3]) / cell) + 2
-    done, ring, open_ = None, 1, a
+    return reduce(DataFrame.unionByName, found).groupBy("id", "other").agg(F.min("distance").alias("distance"))
+
+
+STEP = 3  # bits from a level of cells to the next
+
+
+def levels_of(points: DataFrame, cell: float) -> list[DataFrame]:
+    """The occupied cells of points (x2, y2) by level, the finest first: i, j, a box and one point of each. The last has 64 cells at most."""
+    named = lambda c: F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")) if c is None else F.col(c)
+    low = points.withColumns({"i": F.floor(F.col("x2") / cell), "j": F.floor(F.col("y2") / cell)}).groupBy("i", "j")
+    out = [written(low.agg(F.min("x2").alias("west"), F.max("x2").alias("east"), F.min("y2").alias("south"), F.max("y2").alias("north"), F.min(named(None)).alias("one")))]
     while True:
-        size = cell * ring
-        mine = open_.withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)})
-        mine = mine.withColumn("n", F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a, b))))")))
-        mine = mine.withColumns({"i": F.col("i") + F.col("n.a"), "j": F.col("j") + F.col("n.b")})
-        theirs = b.withColumns({"i": F.floor(F.col("x2") / size), "j": F.floor(F.col("y2") / size)})
-        pairs = mine.join(theirs, ["i", "j"]).withColumn("distance", geo.point_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
-        best = pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best"))
-        found = best.select("id", "best.other", "best.distance")
-        # A point outside the ring is at least this far: size degrees of latitude, or of longitude at the highest latitude.
-        sure = size * geo.DEGREE_M * math.cos(math.radians(min(max_latitude, edge[1] + size)))
-        served = written(found if ring >= whole else found.filter(F.col("distance") <= sure))
-        done = served if done is None else done.unionByName(served)
-        open_ = written(open_.join(served, "id", "left_anti"))
-        if ring >= whole or open_.isEmpty():
-            return done
-        ring *= 4
+        if out[-1].limit(65).count() <= 64:
+            return out
+        up = out[-1].groupBy(F.shiftright("i", STEP).alias("i"), F.shiftright("j", STEP).alias("j"))
+        out.append(written(up.agg(F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("one").alias("one"))))
+
+
+def nearest_each(left: DataFrame, right: DataFrame, cell: float = 0.0005, closest: bool = False) -> DataFrame:
+    """(id, other, distance): for each point of left the nearest of right, ties by the smaller id. closest: only the pairs that may be the closest of all.
+
+    A search down a pyramid of right's occupied cells. Of the cells open for a
+    point those go whose box is farther than a known point of another; the
+    others are replaced by the occupied cells within them, down to the finest,
+    whose points are compared. No point meets all of right, wherever it lies.
+    """
+    a = written(corner(left).select("id", "x", "y"))
+    b = written(corner(right).select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")))
+    pyramid = levels_of(b, cell)
+    own = Window.partitionBy("id")
+    x, y = F.col("x"), F.col("y")
+    box = geo.box_distance(x, y, *map(F.col, ("west", "south", "east", "north")))
+    top = pyramid[-1].collect()  # 64 cells at most
+    if not top:
+        return a.limit(0).select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance"))
+    cells = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("i", "j", "west", "east", "south", "north")], F.struct(*[F.lit(r["one"][c]).alias(c) for c in ("x", "y")]).alias("one")) for r in top])
+    open_ = a.withColumn("c", F.explode(cells)).select("id", "x", "y", "c.*")
+    for level in reversed(range(len(pyramid))):
+        bound = F.min(geo.point_distance(x, y, F.col("one.x"), F.col("one.y")))
+        judged = open_.withColumns({"near": box, "bound": bound.over(own)})
+        if closest:
+            judged = written(judged)
+            least = judged.agg(F.min("bound")).first()[0]
+            judged = judged.filter(F.col("near") <= F.lit(least)) if least is not None else judged
+        # A millimetre for rounding.
+        open_ = judged.filter(F.col("near") <= F.col("bound") + 1e-3).select("id", "x", "y", F.col("i").alias("i_"), F.col("j").alias("j_"))
+        if level:
+            below = pyramid[level - 1].withColumns({"i_": F.shiftright("i", STEP), "j_": F.shiftright("j", STEP)})
+            open_ = open_.join(below, ["i_", "j_"]).drop("i_", "j_")
+    theirs = b.withColumns({"i_": F.floor(F.col("x2") / cell), "j_": F.floor(F.col("y2") / cell)})
+    pairs = open_.join(theirs, ["i_", "j_"]).withColumn("distance", geo.point_distance(x, y, F.col("x2"), F.col("y2")))
+    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best"))
+    return best.select("id", "best.other", "best.distance")

@@ -37,7 +37,7 @@ def nearest_pair(points: DataFrame, properties: DataFrame, attributes: DataFrame
     """The bicycle parking of at least that capacity and the vending machine nearest to each other."""
     big = attributes.filter((F.col("name") == "hasAmenityBicycleParkingCapacity") & (F.col("num") >= least))
     machines = located(points, typed_as(properties, "AmenityVendingMachine"))
-    pairs = spatial.nearest_each(located(points, big), machines)
+    pairs = spatial.nearest_each(located(points, big), machines, closest=True)
     return pairs.select(F.col("id").alias("parking"), F.col("other").alias("machine"), "distance").orderBy("distance", "parking", "machine").limit(1)
 
 

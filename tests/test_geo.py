@@ -1,4 +1,5 @@
 import math
+import random
 
 from geoloom.functions import geo
 from geoloom.operators import spatial
@@ -42,3 +43,65 @@ def test_nearest_each(spark):
     want = {i: min(range(4), key=lambda j: meters(i * 0.01, 45, j * 0.13, float(f"45.00{j}"))) for i in range(40)}
     assert {r.id: r.other for r in spatial.nearest_each(left, right).collect()} == want
     assert spatial.nearest_each(left, right.limit(0)).count() == 0
+
+
+def meters(x1, y1, x2, y2):
+    h = lambda d: math.sin(math.radians(d) / 2) ** 2
+    return 2 * geo.EARTH_M * math.asin(min(1.0, math.sqrt(h(y2 - y1) + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * h(x2 - x1))))
+
+
+def places(rng, n):
+    """Points in a town, all over the globe, near both poles and on either side of the antimeridian."""
+    pick = [lambda: (4.8 + rng.random() * 0.02, 45.7 + rng.random() * 0.02), lambda: (rng.uniform(-180, 180), rng.uniform(-90, 90)), lambda: (rng.uniform(-180, 180), rng.choice([-1, 1]) * (90 - rng.random() * 0.01)), lambda: (rng.choice([-1, 1]) * (180 - rng.random() * 0.01), 10 + rng.random() * 0.01), lambda: (rng.uniform(0, 1), 85 + rng.random() * 0.01)]
+    return [pick[i % 5]() for i in range(n)]
+
+
+def points_of(spark, rows):
+    return geo.with_geometry(spark.createDataFrame([(i, f"POINT({x:.7f} {y:.7f})") for i, (x, y) in enumerate(rows)], "id int, wkt string"))
+
+
+def test_nearest_anywhere(spark):
+    rng = random.Random(1)
+    a, b = [[(round(x, 7), round(y, 7)) for x, y in places(rng, n)] for n in (60, 400)]
+    left, right = points_of(spark, a), points_of(spark, b)
+    best = {i: min((meters(*p, *q), j) for j, q in enumerate(b)) for i, p in enumerate(a)}
+    got = {r.id: (r.other, r.distance) for r in spatial.nearest_each(left, right).collect()}
+    assert set(got) == set(best)
+    assert all(abs(got[i][1] - d) < 1e-3 and (got[i][0] == j or abs(meters(*a[i], *b[got[i][0]]) - d) < 1e-6) for i, (d, j) in best.items())
+    closest = spatial.nearest_each(left, right, closest=True).orderBy("distance").first()
+    assert abs(closest.distance - min(d for d, _ in best.values())) < 1e-6
+
+
+def test_points_within_distance_anywhere(spark):
+    rng = random.Random(2)
+    a, b = [[(round(x, 7), round(y, 7)) for x, y in places(rng, 250)] for _ in range(2)]
+    for metres in (50.0, 400.0):
+        want = {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if meters(*p, *q) <= metres}
+        got = {(r.id, r.other) for r in spatial.distance_join(points_of(spark, a), points_of(spark, b), metres).collect()}
+        assert got == want and len(want) > 10
+
+
+def test_long_lines_and_large_polygons(spark):
+    """A line across a continent and a polygon of a country's size: cells along the one, four for the other."""
+    line = geo.with_geometry(spark.createDataFrame([(1, "LINESTRING(0 40,3 42)"), (2, "LINESTRING(0 0.5,0.0001 0.5)")], "id int, wkt string"))
+    rng = random.Random(3)
+    on = [(3 * t, 40 + 2 * t + rng.uniform(-2e-4, 2e-4)) for t in (rng.random() for _ in range(80))]
+    pairs = points_of(spark, on).select("id", "geom")
+    brute = pairs.crossJoin(line.select(F.col("id").alias("other"), F.col("geom").alias("g2"))).select("id", "other", geo.distance(F.col("geom"), F.col("g2")).alias("d")).filter("d <= 10").collect()
+    got = spatial.distance_join(pairs, line, 10.0).collect()
+    assert {(r.id, r.other, round(r.distance, 6)) for r in got} == {(r.id, r.other, round(r.d, 6)) for r in brute} and len(got) > 10
+    assert spatial.edge_rows(line, 0.001, 1e-4, "other").filter("other = 1").count() < 20_000
+    country = geo.with_geometry(spark.createDataFrame([(7, "POLYGON((-5 42,8 42,8 51,-5 51,-5 42))"), (8, "POLYGON((4.8 45.7,4.81 45.7,4.81 45.71,4.8 45.71,4.8 45.7))")], "id int, wkt string"))
+    assert spatial.covered(country, 0.002).count() <= 8
+    inside = points_of(spark, [(4.805, 45.705), (0, 50), (9, 50), (8, 45)])
+    assert {(r.id, r.other) for r in spatial.within_join(inside, country).collect()} == {(0, 7), (0, 8), (1, 7)}
+    near = spatial.distance_join(inside, country, 5.0).collect()
+    assert {(r.id, r.other, r.distance) for r in near} == {(0, 7, 0.0), (0, 8, 0.0), (1, 7, 0.0), (3, 7, 0.0)}
+
+
+def test_distance_of_shapes(spark):
+    shapes = ["LINESTRING(0 0,0.01 0.01)", "LINESTRING(0 0.01,0.01 0)", "POLYGON((0 0,0.02 0,0.02 0.02,0 0.02,0 0))", "LINESTRING(0.0202 0,0.0202 0.02)", "POLYGON((0.005 0.005,0.006 0.005,0.006 0.006,0.005 0.005))", "POINT(0.019 0.019)", "LINESTRING(1 1,1.1 1.1)"]
+    rows = geo.with_geometry(spark.createDataFrame(list(enumerate(shapes)), "id int, wkt string")).select("id", "geom")
+    every = rows.crossJoin(rows.select(F.col("id").alias("other"), F.col("geom").alias("g2"))).select("id", "other", geo.distance(F.col("geom"), F.col("g2")).alias("d")).filter("d <= 30")
+    got = spatial.distance_join(rows, rows, 30.0).collect()
+    assert {(r.id, r.other, round(r.distance, 6)) for r in got} == {(r.id, r.other, round(r.d, 6)) for r in every.collect()}
