@@ -55,6 +55,13 @@ SELECT 'Tag:' || source || '=v' || cast(doc_id AS string) AS title,
        '{{{{ValueDescription' || chr(10) || '|description=' || text || chr(10)
        || '|combination={{{{Tag|capacity}}}} {{{{Tag|fee|yes}}}}' || chr(10) || '}}}}' AS wikitext
 FROM {documents}""",
+    "fx_job_pages": """
+SELECT 'Key:' || key AS title, '{{{{KeyDescription' || chr(10) || CASE key WHEN 'event' THEN '' ELSE '|description=About ' || key || chr(10) END
+       || '|onNode=' || CASE key WHEN 'part_type' THEN 'yes' ELSE 'no' END || chr(10) || '}}}}' AS wikitext
+FROM (SELECT DISTINCT key FROM {fx_tag_usage}) k
+UNION ALL SELECT 'Tag:' || key || '=' || value, '{{{{ValueDescription' || chr(10) || '|description=A ' || value || chr(10)
+       || '|combination={{{{Tag|fee}}}} {{{{Tag|opening_hours|x}}}}' || chr(10) || '}}}}'
+FROM {fx_tag_usage} WHERE length(value) % 2 = 0""",
     "fx_way_tags": """
 SELECT entity_id, 'building' AS key, 'university' AS value, 1 AS ord FROM {fx_ways} WHERE num % 4 = 0
 UNION ALL SELECT entity_id, 'name', 'Hall ' || cast(num AS string), 2 FROM {fx_ways} WHERE num % 4 = 0

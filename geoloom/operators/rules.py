@@ -12,6 +12,7 @@ from ..sources.triples import PREFIXES, RDF_TYPE
 from .match import match
 
 SKOS, RDFS, OWL = PREFIXES["skos"], PREFIXES["rdfs"], PREFIXES["owl"]
+FEATURE, NODE_TYPE = PREFIXES["geo"] + "Feature", PREFIXES["osm"] + "node"
 
 
 def rule(name: str, rows: DataFrame, bad: Column, level: str = "failure", least: int = 0) -> DataFrame:
@@ -83,6 +84,47 @@ def exact_terms(triples: DataFrame, types: list[str], space: str, expected: list
     return rule(name, found.join(wanted, "s", "full"), F.col("found").isNull() | F.col("wanted").isNull())
 
 
+def term_usage(schema: DataFrame, triples: DataFrame, space: str) -> DataFrame:
+    """(kind, term, declared, n_used): the schema's own classes and properties, those of either type in one list, and how often triples use them, declared or not."""
+    kind = F.when(F.col("o") == OWL + "Class", "class").when(F.col("o").isin(OWL + "ObjectProperty", OWL + "DatatypeProperty"), "property")
+    own = match(schema, p=RDF_TYPE).filter(F.col("s").startswith(space)).select(kind.alias("kind"), F.col("s").alias("term")).filter("kind is not null").distinct()
+    classes = match(triples, p=RDF_TYPE).select(F.lit("class").alias("kind"), F.col("o").alias("term"))
+    used = classes.unionByName(triples.select(F.lit("property").alias("kind"), F.col("p").alias("term"))).filter(F.col("term").startswith(space))
+    used = used.groupBy("kind", "term").agg(F.count("*").alias("n_used"))
+    both = own.withColumn("declared", F.lit(True)).join(used, ["kind", "term"], "full")
+    return both.select("kind", F.substr("term", F.lit(len(space) + 1)).alias("term"), F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("n_used", F.lit(0)).cast("long").alias("n_used"))
+
+
+def property_rules(triples: DataFrame, space: str, domain: str, concept_space: str) -> DataFrame:
+    """Optional rules on the own properties: name, type, domain, label, comment, and the scheme that defines them."""
+    own = match(triples, p=RDF_TYPE).filter(F.col("o").isin(OWL + "ObjectProperty", OWL + "DatatypeProperty") & F.col("s").startswith(space)).select("s").distinct()
+    schemes = subjects(triples, SKOS + "ConceptScheme").filter(F.col("s").startswith(concept_space))
+    defined = match(triples, p=RDFS + "isDefinedBy").select("s", F.col("o").alias("scheme")).join(schemes.select(F.col("s").alias("scheme")), "scheme", "left_semi").select("s").distinct()
+    domains = match(triples, p=RDFS + "domain", o=domain).select("s").distinct()
+    rows = described(own, triples).join(defined.withColumn("defined", F.lit(True)), "s", "left").join(domains.withColumn("placed", F.lit(True)), "s", "left")
+    local = F.regexp_extract("s", r"([^#/]*)$", 1)
+    return report([
+        rule("property is named has and a camel word", rows, ~local.rlike(r"^has\p{Lu}[^_]*$")),
+        rule("property links to property instances", rows, ~F.array_contains("types", PREFIXES["saref"] + "hasProperty")),
+        rule("property has its domain", rows, F.col("placed").isNull()),
+        rule("property has a label in en", rows, F.col("n_label_en") == 0),
+        rule("property has a comment in en", rows, F.col("n_comment_en") == 0),
+        rule("property is defined by a scheme", rows, F.col("defined").isNull()),
+    ])
+
+
+def sub_concept_rules(triples: DataFrame, space: str) -> DataFrame:
+    """Rules on the concepts that are values of properties."""
+    rows = described(subjects(triples, SKOS + "Concept").join(subjects(triples, PREFIXES["saref"] + "hasPropertyValue"), "s", "left_semi"), triples)
+    return report([
+        rule("sub-concept is an object property", rows, ~F.array_contains("types", OWL + "ObjectProperty")),
+        rule("sub-concept is in the namespace", rows, ~F.col("s").startswith(space)),
+        rule("sub-concept has a hidden label", rows, F.col("n_hidden") == 0),
+        rule("sub-concept has a definition", rows, F.col("n_definition") == 0, "warning"),
+        rule("definition of sub-concept is in en", rows.filter("n_definition > 0"), F.col("n_definition_en") < F.col("n_definition")),
+    ])
+
+
 def concept_rules(triples: DataFrame, space: str) -> DataFrame:
     rows = described(subjects(triples, SKOS + "Concept"), triples)
     schemes = subjects(triples, SKOS + "ConceptScheme")
@@ -127,8 +169,8 @@ def scheme_rules(triples: DataFrame, space: str) -> DataFrame:
     ])
 
 
-def point_rules(points: DataFrame, geometries: DataFrame, properties: DataFrame, digits: int | None = None) -> DataFrame:
-    """points: entity_id, class; geometries: entity_id, wkt; properties: entity_id, type_name."""
+def point_rules(points: DataFrame, geometries: DataFrame, properties: DataFrame, digits: int | None = None, types: DataFrame | None = None) -> DataFrame:
+    """points: entity_id, class; geometries: entity_id, wkt; properties: entity_id, type_name; types, if their rules are asked for: entity_id, type."""
     number = F.regexp_extract("entity_id", r"([^/]*)$", 1)
     shaped = points.select("entity_id").join(geometries.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("wkt").alias("wkt")), "entity_id", "left")
     return report([
@@ -137,9 +179,15 @@ def point_rules(points: DataFrame, geometries: DataFrame, properties: DataFrame,
         rule("id is a number", points, ~number.rlike(r"^\d+$" if digits is None else rf"^\d{{{digits}}}$")),
         rule("point has one geometry, two coordinates", shaped, (F.col("n") != 1) | ~F.col("wkt").rlike(r"^POINT ?\(\S+ \S+\)$")),
         rule("property is typed", properties, F.col("type_name").isNull()),
+        *([] if types is None else _typed_points(points, types)),
     ])
 
 
+def _typed_points(points: DataFrame, types: DataFrame) -> list[DataFrame]:
+    rows = points.select("entity_id").join(types.groupBy("entity_id").agg(F.collect_set("type").alias("types")), "entity_id", "left")
+    return [rule("point is a feature", rows, ~F.array_contains("types", FEATURE)), rule("point is a node", rows, ~F.array_contains("types", NODE_TYPE))]
+
+
 def extremity_rule(segments: DataFrame, found: DataFrame) -> DataFrame:
     """Each traversable segment has two distinct extremities. segments: entity_id, class; found: way_id, node_id."""
     counts = found.groupBy(F.col("way_id").alias("entity_id")).agg(F.countDistinct("node_id").alias("n"))

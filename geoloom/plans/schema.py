@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.match import match, removed
@@ -11,6 +11,37 @@ from ..sources.triples import COLUMNS, PREFIXES, RDF_TYPE, merged
 RDFS = PREFIXES["rdfs"]
 
 
+#: The upper schema: each class with the class above it, a label and a comment in English and in French.
+CLASSES = {
+    "SpatialEntity": (None, ("spatial entity", "Anything with a place."), ("entité spatiale", "Ce qui a un lieu.")),
+    "SpatialPoint": ("SpatialEntity", ("spatial point", "An entity at one position."), ("point spatial", "Une entité en une position.")),
+    "SpatialSegment": ("SpatialEntity", ("spatial segment", "An entity along a way."), ("segment spatial", "Une entité le long d'une voie.")),
+    "TraversableSegment": ("SpatialSegment", ("traversable segment", "A segment that leads from one end to another."), ("segment traversable", "Un segment qui mène d'un bout à l'autre.")),
+    "TopologicalSegment": ("SpatialSegment", ("topological segment", "A segment that encloses an area."), ("segment topologique", "Un segment qui entoure une surface.")),
+    "OsmEntity": (None, ("map entity", "Anything that a tag tells of."), ("entité de la carte", "Ce qu'une balise décrit.")),
+}
+#: Its properties, with their type, and the domain and range of those that have them.
+PROPERTIES = {
+    "hasExtremity": ("ObjectProperty", "SpatialSegment", "SpatialPoint"), "isExtremityOf": ("ObjectProperty", None, None), "hasRelatedOsmTag": ("ObjectProperty", None, None),
+    "isOsmTagRelatedTo": ("ObjectProperty", None, None), "osmId": ("DatatypeProperty", None, None),
+}
+INVERSES = [("hasExtremity", "isExtremityOf"), ("hasRelatedOsmTag", "isOsmTagRelatedTo")]
+
+
+def upper(spark: SparkSession) -> DataFrame:
+    """The upper schema as triples."""
+    core, owl = PREFIXES["core"], PREFIXES["owl"]
+    links, texts = [], []
+    for name, (above, *told) in CLASSES.items():
+        links += [(name, RDF_TYPE, owl + "Class")] + ([(name, RDFS + "subClassOf", core + above)] if above else [])
+        texts += [(name, RDFS + part, value, lang) for lang, both in zip(("en", "fr"), told, strict=True) for part, value in zip(("label", "comment"), both, strict=True)]
+    for name, (type_, domain, range_) in PROPERTIES.items():
+        links += [(name, RDF_TYPE, owl + type_)] + [(name, RDFS + p, core + o) for p, o in (("domain", domain), ("range", range_)) if o]
+    links += [(a, owl + "inverseOf", core + b) for a, b in INVERSES]
+    rows = [(core + s, "iri", p, o, "iri", None, None) for s, p, o in links] + [(core + s, "iri", p, o, "literal", None, lang) for s, p, o, lang in texts]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLUMNS))
+
+
 def closure(pairs: DataFrame, depth: int = 32) -> DataFrame:
     """(low, high) of all pairs reached by one step or more. pairs: low, high; a schema's, so small. Cycles end when nothing is new."""
     steps = pairs.select("low", "high").distinct()

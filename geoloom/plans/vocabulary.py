@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.match import keep_first
 from ..sources.pages import key_pages, key_usage, tag_pages
 from ..sources.triples import PREFIXES, RDF_TYPE, emitted, link, literal
 
@@ -50,8 +49,10 @@ def classified_values(values: DataFrame) -> DataFrame:
     return values.withColumns({"reason": text.reject_reason(F.col("value")), "concept_value": text.concept_value(F.col("value"))})
 
 
-def reject_report(values: DataFrame) -> DataFrame:
-    return classified_values(values).groupBy(F.coalesce("reason", F.lit("concept")).alias("reason")).agg(F.count("*").alias("n"))
+def with_redirects(keys: DataFrame, moved: DataFrame) -> DataFrame:
+    """(key): the keys asked for, and those that their pages were returned under. moved: asked, returned."""
+    returned = keys.select("key").join(moved, F.col("key") == F.col("asked")).select(F.col("returned").alias("key"))
+    return keys.select("key").unionByName(returned).distinct()
 
 
 def key_data(keys: DataFrame, pages: DataFrame, usage: DataFrame, least: int = 10_000) -> DataFrame:
@@ -120,13 +121,6 @@ def iri_collisions(values: DataFrame) -> DataFrame:
     return values.groupBy(iri.alias("iri")).agg(F.countDistinct("key", "value").alias("n")).filter("n > 1")
 
 
-def naming_audit(names: DataFrame, column: str) -> DataFrame:
-    """Names with their camel form, whether it is one, and whether it leads back to the name."""
-    c = F.col(column)
-    made = text.camel(c)
-    return names.select(c.alias("name"), made.alias("camel"), text.is_camel(made).alias("is_camel"), (text.snake(made) == c).alias("leads_back"))
-
-
 def scheme_triples(rows: DataFrame) -> DataFrame:
     iri = F.concat(F.lit(PREFIXES["voc"]), F.col("iri"))
     skos = PREFIXES["skos"]
@@ -154,7 +148,3 @@ def property_triples(rows: DataFrame) -> DataFrame:
         literal(iri, rdfs + "label", F.col("label"), lang="en"), link(iri, rdfs + "domain", F.lit(PREFIXES["saref"] + "Property")), link(iri, rdfs + "range", F.lit(rdfs + "Literal")),
         literal(iri, core + "osmId", F.col("osm_id")), link(iri, core + "isOsmTagRelatedTo", concept), link(concept, core + "hasRelatedOsmTag", iri),
     ).distinct()
-
-
-def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return keep_first(rows, key, order)

@@ -34,8 +34,13 @@ PREFIXES = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all machines share; where none is named, as in tests, a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geoloom-")
+    """A new folder below the one that all machines share, named by spark.checkpoint.dir. Where none is named, as in tests, a temporary one; on a cluster no machine's own folder will do."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        top = "file://" + tempfile.mkdtemp(prefix="geoloom-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
