@@ -63,7 +63,7 @@ def digests(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.n
 class Runs:
     """The runs of consecutive windows of one anchor in the texts of a block."""
 
-    def __init__(self, texts: pa.Array, window: int, most_windows: int):
+    def __init__(self, texts: pa.Array, window: int, most_windows: int, marked: int = 0):
         self.data, offsets = bytes_of(texts)
         self.starts, self.ends, self.first_word = words(self.data, offsets)
         spelled = span_hashes(self.data, self.starts, self.ends)
@@ -88,23 +88,25 @@ class Runs:
         starts = np.repeat(starts, parts) + within
         self.windows = np.minimum(np.repeat(lengths, parts) - within, most_windows)
         self.anchor, self.of, self.at = anchor[starts].view(np.int64), of[starts], at[starts]
-        # For each run its anchor's slot (31 bits) and 32 bits of a hash of its words.
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(spelled), dtype=np.uint64)])
-            own = mixed(sums[np.minimum(self.at + self.windows + window - 1, len(spelled))] - sums[self.at])
-        self.mark = ((slot_of(self.anchor) << 32) | (own >> np.uint64(32)).astype(np.int64)).astype(np.int64)
+        if marked:
+            # For one run in marked, by its words: its anchor's slot (31 bits) and 32 bits of a hash of its words; for the others 0.
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(spelled), dtype=np.uint64)])
+                own = mixed(sums[np.minimum(self.at + self.windows + window - 1, len(spelled))] - sums[self.at])
+            mark = (slot_of(self.anchor) << 32) | (own >> np.uint64(32)).astype(np.int64) | 1
+            self.mark = np.where(own % np.uint64(marked) == 0, mark, 0)
         counts = np.bincount(self.of, minlength=len(sizes))
         self.first_run = np.concatenate([[0], np.cumsum(counts)])
         self.number = np.arange(len(starts)) - self.first_run[self.of]
 
 
-def anchors(docs: DataFrame, window: int, most_windows: int) -> DataFrame:
+def anchors(docs: DataFrame, window: int, most_windows: int, marked: int) -> DataFrame:
     """(route, doc_id, key, run, mark, known): the runs of all documents. known: the block itself has the anchor in two documents; one of its rows is routed by the anchor, the others anywhere."""
     schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32()), ("mark", pa.int64()), ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            runs = Runs(block.column("text"), window, most_windows)
+            runs = Runs(block.column("text"), window, most_windows, marked)
             ids, keys = block.column("doc_id").to_numpy(), block.column("key").to_numpy()
             doc = ids[runs.of]
             order = np.lexsort((doc, runs.anchor))
@@ -394,26 +396,26 @@ def searched_in_parts(rows: DataFrame, window: int) -> DataFrame:
     return listed.select("h1", "h2", F.transform("l", lambda x: x["first"]).alias("firsts"))
 
 
-def large_shards(wanted: DataFrame, shards: int, most_words: int) -> DataFrame:
-    """(shard, parts) of the shards whose distinct runs have over four times most_words words."""
+def large_shards(wanted: DataFrame, shards: int, most_words: int, marked: int) -> DataFrame:
+    """(shard, parts) of the shards whose distinct runs have over four times most_words words, as one run in marked tells."""
     marks = wanted.select(F.explode("marks").alias("mark")).distinct()
     counts = marks.groupBy(F.expr(f"shiftright(shiftright(mark, 32) * {shards}L, 31)").alias("shard")).agg(F.count("*").alias("n"))
-    parts = F.expr(f"cast(ceil(n * {RUN_WORDS} / {most_words}) as long)")
-    return written(counts.filter(F.col("n") * RUN_WORDS > 4 * most_words).select("shard", parts.alias("parts")), "large-shards")
+    parts = F.expr(f"cast(ceil(n * {marked * RUN_WORDS} / {most_words}) as long)")
+    return written(counts.filter(F.col("n") * marked * RUN_WORDS > 4 * most_words).select("shard", parts.alias("parts")), "large-shards")
 
 
-def removed_spans(docs: DataFrame, window: int = 13, most_windows: int = 32, most_words: int = 500_000, texts: DataFrame | None = None) -> DataFrame:
+def removed_spans(docs: DataFrame, window: int = 13, most_windows: int = 32, most_words: int = 500_000, marked: int = 16, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, spans): the windows to remove, as (at, hit) for those from the word at; only documents that lose words. texts: compressed() docs."""
     texts = compressed(docs) if texts is None else texts
     known = keyed(docs).filter("doc_id is not null")
-    runs = shared(anchors(known, window, most_windows))
+    runs = shared(anchors(known, window, most_windows, marked))
     listed = F.collect_list(F.struct("run", "mark"))  # as many as a document has
-    wanted = written(runs.groupBy("doc_id", "key").agg(listed.alias("l")).select("doc_id", "key", F.transform("l", lambda x: x["run"]).alias("runs"), F.transform("l", lambda x: x["mark"]).alias("marks")), "shared-runs")
+    wanted = written(runs.groupBy("doc_id", "key").agg(listed.alias("l")).select("doc_id", "key", F.transform("l", lambda x: x["run"]).alias("runs"), F.filter(F.transform("l", lambda x: x["mark"]), lambda x: x != 0).alias("marks")), "shared-runs")
     words_ = RUN_WORDS * (wanted.agg(F.sum(F.size("runs"))).first()[0] or 0)
     shards = max(1, -(-words_ // most_words))
     found = segments(texts, wanted.select("doc_id", "key", "runs"), shards, window, most_windows)
     places = found.filter("packed is null").select("h1", "h2", "doc_id", "key", "at")
-    hits = places.join(searched(found, large_shards(wanted, shards, most_words), window), ["h1", "h2"])
+    hits = places.join(searched(found, large_shards(wanted, shards, most_words, marked), window), ["h1", "h2"])
     hits = hits.select("doc_id", "key", "at", F.transform("firsts", lambda d: d < F.col("doc_id")).alias("hit")).filter(F.exists("hit", lambda x: x))
     return hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "hit")).alias("spans"))
 

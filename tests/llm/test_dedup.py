@@ -169,8 +169,8 @@ def test_hot_anchor(spark):
     texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 40, 9)), phrase, *(f"w{x}" for x in rng.integers(0, 40, 9))]) for _ in range(400)]
     texts += [texts[int(i)] for i in rng.integers(0, 400, 60)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    wanted = [substrings.repeats(docs, most_words=n).collect() for n in (10**6, 1000)]
-    assert {tuple(r) for r in wanted[0]} == {tuple(r) for r in wanted[1]} and sum(r.n_removed for r in wanted[0]) > 1000
+    wanted = [substrings.repeats(docs, most_words=n, marked=k).collect() for n, k in ((10**6, 16), (1000, 1), (1000, 4))]
+    assert {tuple(r) for r in wanted[0]} == {tuple(r) for r in wanted[1]} == {tuple(r) for r in wanted[2]} and sum(r.n_removed for r in wanted[0]) > 1000
 
 
 def brute_repeats(window=13):
@@ -193,7 +193,7 @@ def brute_repeats(window=13):
 def test_substrings(spark, docs, empty):
     want = brute_repeats()
     assert sum(w[1] for w in want.values()) > 1000
-    for how in ({}, {"most_windows": 3, "most_words": 500}, {"most_windows": 5, "most_words": 90}):
+    for how in ({}, {"most_windows": 3, "most_words": 500}, {"most_windows": 5, "most_words": 90, "marked": 1}):
         got = substrings.repeats(docs, **how).collect()
         assert len(got) == len(rows())
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in want.items()}
