@@ -26,9 +26,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    A lost executor then costs no more than the tasks that read the table.
+    A lost executor then costs no more than the tasks that read the table. The
+    table goes when the application ends.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
