@@ -18,9 +18,13 @@ from ..sources.triples import shared_folder
 
 
 def written(rows: DataFrame) -> DataFrame:
-    path = shared_folder(rows.sparkSession)
+    """rows, written to the shared folder and read back; the table goes when the application ends."""
+    spark = rows.sparkSession
+    path = shared_folder(spark)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def corner(rows: DataFrame) -> DataFrame:

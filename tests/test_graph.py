@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import pytest
 from geoloom.operators import match, rules
 from geoloom.plans import questions, schema
 from geoloom.sources import triples as T
@@ -54,3 +57,14 @@ def test_long_route(spark):
     steps = lambda *at: [r.way_id for r in questions.route(found, *at).orderBy("step").collect()]
     assert steps("n0", "n20", "n19") == ["w00", "short"] + [f"w{i:02}" for i in range(3, 20)] + ["w19"]
     assert steps("n0", "y", "n1") == [] and steps("n2", "n2", "n2") == []
+
+
+def test_shared_folder():
+    """Where no shared folder is named: a temporary one on one machine, an error on a cluster."""
+    held = {}
+    conf = SimpleNamespace(get=lambda name, default: held.get(name, default), set=held.__setitem__)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        T.shared_folder(session("spark://host:7077"))
+    first, second = (T.shared_folder(session("local[2]")) for _ in range(2))
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0] == held["spark.checkpoint.dir"]
