@@ -130,16 +130,22 @@ def distance_join(left: DataFrame, right: DataFrame, metres: float, cell: float
 STEP = 3  # bits from a level of cells to the next
 
 
-def levels_of(points: DataFrame, cell: float) -> list[DataFrame]:
-    """The occupied cells of points (x2, y2) by level, the finest first: i, j, a box and one point of each. The last has 64 cells at most."""
-    named = lambda c: F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")) if c is None else F.col(c)
+def levels_of(points: DataFrame, cell: float) -> list[tuple[DataFrame, int]]:
+    """The occupied cells of points (x2, y2) by level, the finest first: i, j, a box and one point of each, and how many bits the level's numbers have lost. The last has 64 cells at most; a level that would have over half the cells of the one below is left out."""
     low = points.withColumns({"i": F.floor(F.col("x2") / cell), "j": F.floor(F.col("y2") / cell)}).groupBy("i", "j")
-    out = [written(low.agg(F.min("x2").alias("west"), F.max("x2").alias("east"), F.min("y2").alias("south"), F.max("y2").alias("north"), F.min(named(None)).alias("one")))]
-    while True:
-        if out[-1].limit(65).count() <= 64:
-            return out
-        up = out[-1].groupBy(F.shiftright("i", STEP).alias("i"), F.shiftright("j", STEP).alias("j"))
-        out.append(written(up.agg(F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("one").alias("one"))))
+    one = F.min(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))).alias("one")
+    out = [(written(low.agg(F.min("x2").alias("west"), F.max("x2").alias("east"), F.min("y2").alias("south"), F.max("y2").alias("north"), one)), 0)]
+    n, bits = out[0][0].count(), 0
+    while n > 64:
+        bits += STEP
+        below, had = out[-1]
+        up = below.groupBy(F.shiftright("i", bits - had).alias("i"), F.shiftright("j", bits - had).alias("j"))
+        up = up.agg(F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("one").alias("one"))
+        m = up.count()
+        if m <= max(64, n // 2):
+            out.append((written(up), bits))
+            n = m
+    return out
 
 
 def nearest_each(left: DataFrame, right: DataFrame, cell: float = 0.0005, closest: bool = False) -> DataFrame:
@@ -156,7 +162,7 @@ def nearest_each(left: DataFrame, right: DataFrame, cell: float = 0.0005, closes
     own = Window.partitionBy("id")
     x, y = F.col("x"), F.col("y")
     box = geo.box_distance(x, y, *map(F.col, ("west", "south", "east", "north")))
-    top = pyramid[-1].collect()  # 64 cells at most
+    top = pyramid[-1][0].collect()  # 64 cells at most
     if not top:
         return a.limit(0).select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance"))
     cells = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("i", "j", "west", "east", "south", "north")], F.struct(*[F.lit(r["one"][c]).alias(c) for c in ("x", "y")]).alias("one")) for r in top])
@@ -167,11 +173,12 @@ def nearest_each(left: DataFrame, right: DataFrame, cell: float = 0.0005, closes
         if closest:
             judged = written(judged)
             least = judged.agg(F.min("bound")).first()[0]
-            judged = judged.filter(F.col("near") <= F.lit(least)) if least is not None else judged
+            judged = judged.filter(F.col("near") <= F.lit(least) + 1e-3) if least is not None else judged
         # A millimetre for rounding.
         open_ = judged.filter(F.col("near") <= F.col("bound") + 1e-3).select("id", "x", "y", F.col("i").alias("i_"), F.col("j").alias("j_"))
         if level:
-            below = pyramid[level - 1].withColumns({"i_": F.shiftright("i", STEP), "j_": F.shiftright("j", STEP)})
+            (below, had), bits = pyramid[level - 1], pyramid[level][1]
+            below = below.withColumns({"i_": F.shiftright("i", bits - had), "j_": F.shiftright("j", bits - had)})
             open_ = open_.join(below, ["i_", "j_"]).drop("i_", "j_")
     theirs = b.withColumns({"i_": F.floor(F.col("x2") / cell), "j_": F.floor(F.col("y2") / cell)})
     pairs = open_.join(theirs, ["i_", "j_"]).withColumn("distance", geo.point_distance(x, y, F.col("x2"), F.col("y2")))
