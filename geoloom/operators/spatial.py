@@ -27,6 +27,12 @@ def written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A written table in at least as many partitions as there are cores: its rows are about to become many, and few files would leave most cores idle."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= n else rows.repartition(n)
+
+
 def corner(rows: DataFrame) -> DataFrame:
     """rows of points with x and y."""
     v = F.get(geo.vertices(F.col("geom")), F.lit(0))
@@ -98,7 +104,7 @@ def distance_join(left: DataFrame, right: DataFrame, metres: float, cell: float
     """
     reach = metres / geo.DEGREE_M * 1.001
     cell = cell or max(0.001, 2 * reach)
-    a, b = written(left.select("id", "geom")), written(right.select("id", "geom"))
+    a, b = spread(written(left.select("id", "geom"))), spread(written(right.select("id", "geom")))
     of_a, of_b = kinds(a), kinds(b)
     found = []
     edges = edge_rows(b, cell, reach, "other")
@@ -156,7 +162,7 @@ def nearest_each(left: DataFrame, right: DataFrame, cell: float = 0.0005, closes
     others are replaced by the occupied cells within them, down to the finest,
     whose points are compared. No point meets all of right, wherever it lies.
     """
-    a = written(corner(left).select("id", "x", "y"))
+    a = spread(written(corner(left).select("id", "x", "y")))
     b = written(corner(right).select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")))
     pyramid = levels_of(b, cell)
     own = Window.partitionBy("id")
