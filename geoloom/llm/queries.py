@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exact, langid, licenses, packing, quality, simhash, sstable, substrings, toxicity
+from . import audit, bytebpe, exact, langid, licenses, packing, quality, simhash, spelling, sstable, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op9_toxicity, op10_exact_dedup, op11_spelling_variants, op12_filter_audit)}
 
 
 OP10 = r"""
@@ -139,5 +147,29 @@ def op8_sql() -> str:
     )
 
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+     w AS (SELECT *, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws, min(doc_id) OVER (PARTITION BY x) AS least FROM d),
+     l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+     f AS (SELECT part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+                  concat(CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END, CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 2 * length(x) THEN 'C' END,
+                         CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' END, CASE WHEN w.doc_id > least THEN 'E' END) AS fails
+           FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+     g AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY part, fails),
+     c(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM c a, c b, c c, c d, c e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+     s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+     t AS (SELECT part, filter_order, step, filter_order[step] AS own, n, good, toxic, fails = filter_order[step] AS alone, contains(fails, filter_order[step]) AS hit,
+                  regexp_matches(fails, '[' || filter_order[:step] || ']') AS gone, step > 1 AND regexp_matches(fails, '[' || filter_order[:greatest(step - 1, 1)] || ']') AS earlier
+           FROM g, s),
+     k AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT gone) AS kept, sum(n) FILTER (hit AND NOT earlier) AS removed, sum(n) FILTER (hit AND earlier) AS redundant, sum(n) FILTER (alone) AS unique_fails,
+                  sum(good) FILTER (hit AND NOT earlier) AS good_lost, sum(toxic) FILTER (hit AND NOT earlier) AS toxic_lost
+           FROM t GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::int AS step, coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant, coalesce(unique_fails, 0)::bigint AS unique_fails,
+       coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::bigint AS shapley
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": op3_sql(), "op4_substring_dedup": OP4, "op8_quality_rules": op8_sql(), "op10_exact_dedup": OP10}
+    return {"op3_license_scan": op3_sql(), "op4_substring_dedup": OP4, "op8_quality_rules": op8_sql(), "op10_exact_dedup": OP10, "op12_filter_audit": OP12}
