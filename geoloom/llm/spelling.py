@@ -165,21 +165,23 @@ class Filter:
         self.lanes = lanes  # blocks x 8, unsigned 64-bit
 
     @staticmethod
-    def places(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
-        return ((mixed(hashes) >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
+    def places(spread: np.ndarray, n_blocks: int | np.ndarray) -> np.ndarray:
+        return ((spread >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
 
     @staticmethod
-    def bits(hashes: np.ndarray, lane: int) -> np.ndarray:
-        spread = mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    def bits(spread: np.ndarray, lane: int) -> np.ndarray:
+        """One bit of a lane: from the lower half of the spread hash for the first five lanes, which reject nearly all, and from a further spreading for the others."""
+        if lane >= 5:
+            spread, lane = mixed(spread), lane - 5
         return np.uint64(1) << ((spread >> np.uint64(6 * lane)) & np.uint64(63))
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """The places of the hashes that may be in the filter."""
-        at = np.arange(len(hashes))
-        place = self.places(hashes, len(self.lanes))
-        for lane in range(LANES):
-            hit = (self.lanes[place[at], lane] & self.bits(hashes[at], lane)) != 0
-            at = at[hit]
+        spread = mixed(hashes)
+        place = self.places(spread, len(self.lanes))
+        at = np.flatnonzero(self.lanes[place, 0] & self.bits(spread, 0))
+        for lane in range(1, LANES):
+            at = at[(self.lanes[place[at], lane] & self.bits(spread[at], lane)) != 0]
         return at
 
 
@@ -198,34 +200,36 @@ def filters(words: DataFrame, filter_bytes: int = 64 << 20, segment: int = 1 <<
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters, bounds = letters_of(batch.column("word"))
-            hashes = word_hashes(letters, bounds)
+            spread = mixed(word_hashes(letters, bounds))
             shard = np.minimum(np.diff(bounds), SHARDS)
-            place = Filter.places(hashes, np.array([n_blocks[s] for s in shard.tolist()], np.uint64)) if len(shard) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(place // segment), pa.array(place % segment), pa.array(hashes.view(np.int64))], names=["shard", "segment", "place", "hash"])
+            place = Filter.places(spread, np.array([n_blocks[s] for s in shard.tolist()], np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(place // segment), pa.array(place % segment), pa.array(spread.view(np.int64))], names=["shard", "segment", "place", "spread"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            shard, part, place, hash_ = (batch.column(c).to_numpy() for c in ("shard", "segment", "place", "hash"))
+            shard, part, place, spread = (batch.column(c).to_numpy() for c in ("shard", "segment", "place", "spread"))
             for s, p in set(zip(shard.tolist(), part.tolist(), strict=True)):
                 own = (shard == s) & (part == p)
                 lanes = held.setdefault((s, p), np.zeros((min(segment, n_blocks[s] - p * segment), LANES), np.uint64))
                 for lane in range(LANES):
-                    np.bitwise_or.at(lanes, (place[own], lane), Filter.bits(hash_[own].view(np.uint64), lane))
+                    np.bitwise_or.at(lanes, (place[own], lane), Filter.bits(spread[own].view(np.uint64), lane))
         if held:
             keys, pieces = list(held), [x.tobytes() for x in held.values()]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array(pieces, pa.binary())], names=["shard", "segment", "lanes"])
 
-    pieces = small_batches(words).select("word").mapInArrow(hashed, "shard int, segment long, place long, hash long").repartition("shard", "segment").mapInArrow(made, "shard int, segment long, lanes binary")
+    pieces = small_batches(words).select("word").mapInArrow(hashed, "shard int, segment long, place long, spread long").repartition("shard", "segment").mapInArrow(made, "shard int, segment long, lanes binary")
     out: dict[int, list[tuple[int, bytes]]] = {}
     for r in pieces.toLocalIterator():
         out.setdefault(r["shard"], []).append((r["segment"], bytes(r["lanes"])))
     return {s: np.frombuffer(b"".join(x for _, x in sorted(parts)), np.uint64).reshape(-1, LANES) for s, parts in out.items()}
 
 
-def edits(words: DataFrame, shards: dict[int, np.ndarray], at_once: int = 1 << 20) -> DataFrame:
-    """(word, n, edit, shorter): the deletions and replacements of one letter that the filters know."""
-    sent = words.sparkSession.sparkContext.broadcast(shards)
+def edits(words: DataFrame, shards: dict[int, np.ndarray], at_once: int = 1 << 16, each: int = 20_000) -> DataFrame:
+    """(word, n, edit, shorter): the deletions and replacements of one letter that the filters know. A task has about each words: each of them is probed several hundred times."""
+    context = words.sparkSession.sparkContext
+    words = words.repartition(max(context.defaultParallelism, words.count() // each))
+    sent = context.broadcast(shards)
     used = LATIN
 
     def spelled(letters: np.ndarray) -> str:
@@ -269,17 +273,20 @@ def edits(words: DataFrame, shards: dict[int, np.ndarray], at_once: int = 1 << 2
             less = known.get(min(size - 1, SHARDS))
             if less is not None and size > 1:
                 # Hash without letter p: what stands before it, and what follows, one place nearer.
-                whole = letters[starts[:, None] + np.arange(size)] if size <= 4096 else None
-                for i in range(len(starts)):
-                    word = whole[i] if whole is not None else letters[starts[i] : starts[i] + size]
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[word] * powers[:size])])
-                    made = sums[place] + (sums[size] - sums[place + 1]) * INVERSE
-                    at = less.known(made)
+                once = max(1, (1 << 20) // size)
+                for i in range(0, len(starts), once):
+                    words_ = letters[starts[i : i + once, None] + np.arange(size)]
+                    sums = np.zeros((len(words_), size + 1), np.uint64)
+                    np.cumsum(number[words_] * powers[:size], axis=1, out=sums[:, 1:])
+                    made = sums[:, place] + (sums[:, -1:] - sums[:, place + 1]) * INVERSE
                     # Of a run of equal letters the first alone is deleted: the others give the same word.
-                    for j in at.tolist():
-                        p = low + j
-                        if p == 0 or word[p] != word[p - 1]:
-                            out.append((i, spelled(np.delete(word, p)), True))
+                    first = np.ones(made.shape, bool)
+                    inner = place > 0
+                    first[:, inner] = words_[:, place[inner]] != words_[:, place[inner] - 1]
+                    at = np.flatnonzero(first)
+                    w, p = np.unravel_index(at[less.known(made.ravel()[at])], made.shape)
+                    for k, j in zip(w.tolist(), p.tolist(), strict=True):
+                        out.append((i + k, spelled(np.delete(words_[k], low + j)), True))
         if out:
             rows, made_, shorter = zip(*out, strict=True)
             at = np.array(rows)
