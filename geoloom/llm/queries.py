@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bytebpe, exact, langid, licenses, packing, quality, simhash, spelling, sstable, substrings, toxicity
+from . import audit, bytebpe, exact, langid, licenses, minhash, packing, quality, simhash, spelling, sstable, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op9_toxicity, op10_exact_dedup, op11_spelling_variants, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_license_scan, op4_substring_dedup, op5_packing, op6_token_shards, op7_byte_bpe, op8_quality_rules, op9_toxicity, op10_exact_dedup, op11_spelling_variants, op12_filter_audit, op13_minhash)}
 
 
 OP10 = r"""
