@@ -39,9 +39,14 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(Column.__or__, tests)
 
 
+def once(c: Column, f) -> Column:
+    """f(c), c being worked out once however often f looks at it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end. A run of white space is tried once, from its first character."""
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def camel(c: Column) -> Column:
@@ -138,6 +143,7 @@ def normal_key(c: Column) -> Column:
 
 def clean_wikitext(c: Column) -> Column:
     """Plain text: comments, references, link targets, quotes and tags go."""
+    #: What goes, in this order.
     for pattern, by in (
         (r"(?s)<!--.*?-->", " "),
         (r"(?iU)<ref[^>/]*/\s*>", " "),
@@ -154,13 +160,19 @@ def clean_wikitext(c: Column) -> Column:
     return stripped(c)
 
 
+def without_sentences(c: Column, pattern: str) -> Column:
+    """A text without the sentences, up to a full stop, in which the pattern is found; what follows the last full stop stays. The text is cut once, so the cost is in proportion to its length."""
+    kept = lambda parts: F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: ~x.rlike(pattern))
+    return once(F.split(c, r"\."), lambda parts: F.array_join(F.concat(kept(parts), F.array(F.element_at(parts, -1))), "."))
+
+
 def clean_description(c: Column) -> Column:
     """A description without brackets, page references and templates."""
+    #: The parts, sentences and templates that are taken out, in this order.
     for part, by in (("[[", ""), ("]]", ""), ("'''", "'"), ("<br>", "")):
         c = F.replace(c, F.lit(part), F.lit(by))
-    c = stripped(c)
+    c = without_sentences(stripped(c), r"(?iU)\bsee\s+(?:the\s+)?page\b|\bsee\s+also\b")
     for pattern, by in (
-        (r"(?iU)[^.]*\bsee\s+(?:the\s+)?page\b[^.]*\.|[^.]*\bsee\s+also\b[^.]*\.", ""),
         (r"(?iu)\{\{Tag\|([^|}]+)\|([^}]+)\}\}", "$1=$2"),
         (r"(?iu)\{\{tag\|([^}]+)\}\}", "$1"),
         (r"(?iu)\{\{wikiIcon\|[^|}]+\|([^}]+)\}\}", "$1"),
@@ -181,12 +193,16 @@ def extracted(c: Column, pattern: str) -> Column:
 def template_block(c: Column, name: str) -> Column:
     """The inside of the first template of that name: up to a line that begins with its end, or else to the first end."""
     head = r"\{\{\s*" + name + r"\b"
-    return F.coalesce(extracted(c, rf"(?isU){head}(.*?)\n\}}\}}"), extracted(c, rf"(?isU){head}(.*?)\}}\}}"))
+    # What follows the first head, looked for once; a text without one is not looked at again.
+    rest = extracted(c, rf"(?isU){head}(.*)")
+    inside = lambda x: F.when(x.contains("\n}}"), F.substring_index(x, "\n}}", 1)).when(x.contains("}}"), F.substring_index(x, "}}", 1))
+    return once(rest, inside)
 
 
 def template_parameter(block: Column, name: str) -> Column:
     """A parameter's value, over several lines, up to the next parameter's line or the end."""
-    return stripped(extracted(block, rf"(?isU)\|\s*{name}\s*=\s*(.*?)(?=\n\|\s*[A-Za-z0-9_]+\s*=|\n\}}\}}|\z)"))
+    rest = extracted(block, rf"(?isU)\|\s*{name}\s*=\s*(.*)")
+    return stripped(F.get(F.split(rest, r"(?U)\n(?=\|\s*[A-Za-z0-9_]+\s*=|\}\})", 2), F.lit(0)))
 
 
 def truthy(c: Column) -> Column:
@@ -211,7 +227,13 @@ def template_tags(c: Column) -> Column:
 def combination_keys(wikitext: Column) -> Column:
     """Keys used in combination: of the template's parameter, then of the section of that name, each once."""
     listed = template_parameter(template_block(wikitext, "ValueDescription"), "combination")
-    section = extracted(wikitext, r"(?isU)==\s*Tags used in combination\s*==\s*(.*?)(?=\n==[^=]|\z)")
+    rest = extracted(wikitext, r"(?isU)==\s*Tags used in combination\s*==\s*(.*)")
+    section = F.get(F.split(rest, r"\n==(?=[^=])", 2), F.lit(0))
+    return combined_keys(listed, section)
+
+
+def combined_keys(listed: Column, section: Column) -> Column:
+    """The keys of the tags in the template's parameter, then of those in the section, each once."""
     both = F.array_distinct(F.concat(template_tags(listed), template_tags(section)))
     keys = F.transform(both, lambda t: stripped(F.split_part(F.replace(stripped(t), F.lit(" "), F.lit("_")), F.lit("="), F.lit(1))))
     return F.array_distinct(F.filter(keys, lambda k: k != ""))

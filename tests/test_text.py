@@ -1,5 +1,7 @@
 """Edge cases of the expressions, with expected values spelled out."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,27 @@ def test_wiki(spark):
     assert applied(spark, block, ["none", None]) == [None, None]
     assert applied(spark, text.clean_description, ["See also x. {{Tag|a|b}} and {{tag|c}} {{Prefix|p}}"]) == [" a=b and c p"]
     assert applied(spark, text.element_kinds, ["|onNode=yes\n|onWay=no\n|onArea=recommended\n"]) == [["SpatialPoint", "SpatialRegion"]]
+
+
+def test_long_page(spark):
+    """A page of 100,000 words without a full stop, one with a full stop after each word, and one with as many blanks, in time in proportion to their length."""
+    words = " ".join(f"w{i}" for i in range(100_000))
+    texts = [words, words + " see also this", words + " see also this. After", words.replace(" ", ". ") + ". See the page x. End", "a" + " " * 200_000 + "b. See page y. c"]
+    pages = [("{{ValueDescription\n|description=" + t + "\n|combination={{Tag|fee}}\n}}", t) for t in texts]
+    block = text.template_block(F.col("page"), "ValueDescription")
+    began = time.time()
+    rows = spark.createDataFrame(pages, "page string, t string").select(text.clean_description(text.clean_wikitext(text.template_parameter(block, "description"))).alias("d"), text.combination_keys(F.col("page")).alias("k")).collect()
+    assert time.time() - began < 30
+    assert [r.d for r in rows] == [words, words + " see also this", " After", words.replace(" ", ". ") + ". End", "a b. c"]
+    assert all(r.k == ["fee"] for r in rows)
+
+
+def test_parameters(spark):
+    """What a parameter ends with: the next one's line, the template's end, the text's end; one in the same line goes on."""
+    cases = [
+        ("{{KeyDescription\n|description=a\nb\n| key = c\n}} d", "a\nb", "c"), ("{{KeyDescription|description=x|key=y}} z }}", "x|key=y", "y"), ("{{KeyDescription\n|description=\n|key=k\n}}", "|key=k", "k"),
+        ("no template", None, None), ("{{KeyDescription", None, None), ("{{keydescription |DESCRIPTION = v {{Tag|a|b=c}}\n}}", "v {{Tag|a|b=c}}", None), ("{{KeyDescription\n}}", None, None),
+    ]
+    block = text.template_block(F.col("page"), "KeyDescription")
+    got = spark.createDataFrame([(c[0],) for c in cases], "page string").select("page", text.template_parameter(block, "description").alias("d"), text.template_parameter(block, "key").alias("k")).collect()
+    assert {r.page: (r.d, r.k) for r in got} == {c[0]: c[1:] for c in cases}
