@@ -14,17 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources.triples import shared_folder
-
-
-def written(rows: DataFrame) -> DataFrame:
-    """rows, written to the shared folder and read back; the table goes when the application ends."""
-    spark = rows.sparkSession
-    path = shared_folder(spark)
-    rows.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(rows.schema).parquet(path)
+from ..sources.triples import written
 
 
 def spread(rows: DataFrame) -> DataFrame:

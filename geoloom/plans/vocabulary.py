@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.pages import key_pages, key_usage, tag_pages
-from ..sources.triples import PREFIXES, RDF_TYPE, emitted, link, literal
+from ..sources.triples import PREFIXES, RDF_TYPE, emitted, link, literal, written
 
 ANY = "any"
 #: Beginnings of keys that are left out, in lower case.
@@ -110,8 +110,10 @@ def combination_properties(values: DataFrame) -> DataFrame:
 
 def glossary(pages: DataFrame, usage: DataFrame, least_key: int = 100_000, least_value: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole job: schemes, concepts, combination properties."""
-    keys = key_data(relevant_keys(key_pages(pages).select("key"), usage, least_key), pages, usage, least_value)
-    values = value_data(wanted_tags(keys), pages)
+    # Each is read by what follows more than once.
+    usage = written(usage)
+    keys = written(key_data(relevant_keys(key_pages(pages).select("key"), usage, least_key), pages, usage, least_value))
+    values = written(value_data(wanted_tags(keys), pages))
     return schemes(keys), concepts(values), combination_properties(values)
 
 

@@ -43,7 +43,8 @@ def test_closures(spark):
 def test_rules(spark):
     points = spark.createDataFrame([(T.PREFIXES["osmnode"] + "12", "SpatialPoint"), ("http://x/y", "SpatialPoint")], "entity_id string, class string")
     shapes = spark.createDataFrame([(T.PREFIXES["osmnode"] + "12", "POINT(1 2)")], "entity_id string, wkt string")
-    got = {r.rule: r.n_bad for r in rules.point_rules(points, shapes, points.select("entity_id", F.lit("T").alias("type_name"))).collect()}
+    facts = rules.instance_facts(points, shapes, points.select("entity_id", F.lit("T").alias("type_name")))
+    got = {r.rule: r.n_bad for r in rules.counted(facts, rules.instance_rules(typed=False, segments=False)).collect()}
     assert got == {"points exist": 0, "point is in the node namespace": 1, "id is a number": 1, "point has one geometry, two coordinates": 1, "property is typed": 0}
     spaces = {(r.namespace, r.found, r.expected) for r in rules.expected_namespaces(graph(spark, [("http://a/x", "http://p#y", "http://a/z")]), ["http://a/", "http://b/"]).collect()}
     assert spaces == {("http://a/", True, True), ("http://p#", True, False), ("http://b/", False, True)}
