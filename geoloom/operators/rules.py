@@ -77,15 +77,10 @@ def namespaces(triples: DataFrame) -> DataFrame:
 
 
 def expected_namespaces(triples: DataFrame, expected: list[str]) -> DataFrame:
-    """Namespaces that are missing or not expected."""
-    found = namespaces(triples).select("namespace")
-    wanted = triples.sparkSession.createDataFrame([(x,) for x in expected], "namespace string")
-    both = found.withColumn("found", F.lit(True)).join(wanted.withColumn("expected", F.lit(True)), "namespace", "full")
-    return both.select("namespace", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("expected", F.lit(False)).alias("expected"))
-
-
-def subjects(triples: DataFrame, type_: str) -> DataFrame:
-    return match(triples, p=RDF_TYPE, o=type_).select("s").distinct()
+    """(namespace, found, expected, n): the namespaces that occur or are expected; those that are missing or unexpected have one flag alone."""
+    wanted = triples.sparkSession.createDataFrame([(x, True) for x in sorted(set(expected))], "namespace string, expected boolean")
+    both = namespaces(triples).join(wanted, "namespace", "full")
+    return both.select("namespace", F.col("n").isNotNull().alias("found"), F.coalesce("expected", F.lit(False)).alias("expected"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def subject_facts(triples: DataFrame, domain: str | None = None) -> DataFrame:

@@ -685,15 +685,31 @@ def _instances(g: Graph) -> DataFrame:
     return triples.merged(types, triples.emitted(found, triples.link(F.col("way_id"), core + "hasExtremity", F.col("node_id"))))
 
 
-COUNTS = "count(*) AS n_points FROM (SELECT DISTINCT node_id FROM (" + EXTREMITIES + ") e) p"
+CLASS_OF = "SELECT entity_id, CASE WHEN num % 4 = 0 THEN 'TopologicalSegment' ELSE 'TraversableSegment' END AS class FROM {fx_ways}"
 
 
-@query("SELECT class, count(*) AS n FROM (SELECT entity_id, CASE WHEN num % 4 = 0 THEN 'TopologicalSegment' ELSE 'TraversableSegment' END AS class FROM {fx_ways} UNION ALL SELECT entity_id, 'SpatialSegment' FROM {fx_ways} UNION ALL SELECT entity_id, 'SpatialEntity' FROM {fx_ways}) t GROUP BY class")
+@query(f"{CLASS_OF} UNION ALL SELECT entity_id, 'SpatialSegment' FROM {{fx_ways}} UNION ALL SELECT entity_id, 'SpatialEntity' FROM {{fx_ways}}")
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1."""
+    """The types of segments, their own and those that sub-classes give."""
     g, core = Graph(spark, sf_dir), triples.PREFIXES["core"]
     rows = match.match(schema.propagated_types(_instances(g), _schema(spark)), p=triples.RDF_TYPE)
-    return rows.groupBy(F.replace("o", F.lit(core), F.lit("")).alias("class")).agg(F.count("*").alias("n"))
+    return rows.select(F.col("s").alias("entity_id"), F.replace("o", F.lit(core), F.lit("")).alias("class"))
+
+
+@query(
+    "WITH " + CONCEPTS + ", " + ATTRS + f", own AS (SELECT sha256(concat_ws('|', entity_id, ord, type_name)) AS s, name, value FROM attrs) SELECT s, '{triples.PREFIXES['core']}' || name AS p, value AS o FROM own "
+    f"UNION ALL SELECT s, '{triples.PREFIXES['core']}' || p, value FROM own, (VALUES ('hasAttribute'), ('tells')) v(p) UNION ALL SELECT s, '{triples.PREFIXES['saref']}hasValue', value FROM own"
+)
+def inferred_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes of points, told by their own predicate and by those above it, at one step and more."""
+    g, core, none = Graph(spark, sf_dir), triples.PREFIXES["core"], F.lit(None).cast("string")
+    attributes = g.attributes()
+    data = triples.emitted(attributes, F.struct(F.col("prop_id").alias("s"), F.lit("blank").alias("s_kind"), F.concat(F.lit(core), "name").alias("p"), F.col("value").alias("o"), F.lit("literal").alias("o_kind"), F.col("datatype"), none.alias("lang")))
+    above = [(core + "hasAttribute", triples.PREFIXES["saref"] + "hasValue"), (triples.PREFIXES["saref"] + "hasValue", core + "tells")]
+    low = lambda s, o: triples.link(s, triples.PREFIXES["rdfs"] + "subPropertyOf", o)
+    own = triples.emitted(attributes.select("name").distinct(), low(F.concat(F.lit(core), "name"), F.lit(core + "hasAttribute")))
+    axioms = triples.merged(own, triples.emitted(spark.range(1), *[low(F.lit(a), F.lit(b)) for a, b in above]))
+    return schema.propagated_predicates(data, axioms).select("s", "p", "o")
 
 
 @query("SELECT node_id, way_id FROM (" + EXTREMITIES + ") e")
@@ -703,12 +719,12 @@ def inverse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match(schema.inverses(_instances(g), _schema(spark)), p=core + "isExtremityOf").select(F.col("s").alias("node_id"), F.col("o").alias("way_id"))
 
 
-@query("SELECT 'SpatialPoint' AS class, " + COUNTS)
+@query(f"{CLASS_OF} UNION SELECT way_id, 'SpatialSegment' FROM ({EXTREMITIES}) e UNION SELECT node_id, 'SpatialPoint' FROM ({EXTREMITIES}) e")
 def range_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3."""
+    """The types that domains give to subjects and ranges to objects, beside their own."""
     g, core = Graph(spark, sf_dir), triples.PREFIXES["core"]
-    rows = match.match(schema.domains_and_ranges(_instances(g), _schema(spark)), p=triples.RDF_TYPE, o=core + "SpatialPoint")
-    return rows.groupBy(F.replace("o", F.lit(core), F.lit("")).alias("class")).agg(F.count("*").alias("n_points"))
+    rows = match.match(schema.domains_and_ranges(_instances(g), _schema(spark)), p=triples.RDF_TYPE)
+    return rows.select(F.col("s").alias("entity_id"), F.replace("o", F.lit(core), F.lit("")).alias("class"))
 
 
 @query(
@@ -764,6 +780,28 @@ def namespace_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.namespaces(Graph(spark, sf_dir).triples())
 
 
+EXPECTED = ["osmnode", "osm", "rdf", "geo", "skos"]
+
+
+@query(
+    "SELECT namespace, n IS NOT NULL AS found, expected IS NOT NULL AS expected, coalesce(n, 0) AS n FROM (SELECT 'https://www.openstreetmap.org/node/' AS namespace, (SELECT count(*) FROM {fx_tags}) + 2 * (SELECT count(*) FROM {fx_nodes}) AS n UNION ALL SELECT 'https://www.openstreetmap.org/wiki/', count(*) FROM {fx_tags} "
+    "UNION ALL SELECT 'https://www.openstreetmap.org/', count(*) FROM {fx_nodes} UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#', count(*) FROM {fx_nodes} UNION ALL SELECT 'http://www.opengis.net/ont/geosparql#', 2 * count(*) FROM {fx_nodes}) f "
+    "FULL JOIN (SELECT * FROM (VALUES " + ", ".join(f"('{triples.PREFIXES[x]}', true)" for x in EXPECTED) + ") v(namespace, expected)) e USING (namespace)"
+)
+def expected_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1: the namespaces of the raw graph against the expected ones: one is missing, and one was not expected."""
+    return rules.expected_namespaces(Graph(spark, sf_dir).triples(), [triples.PREFIXES[x] for x in EXPECTED])
+
+
+@query(
+    "WITH named AS (SELECT DISTINCT v AS name FROM (" + STRINGS + ") t WHERE regexp_matches(v, '^[A-Za-z0-9_]+$')), c AS (SELECT name, " + camel_sql("name") + " AS camel FROM named) "
+    "SELECT name, camel, lower(camel[1] || regexp_replace(camel[2:], '([A-Z])', '_\\1', 'g')) AS back FROM c WHERE lower(camel[1] || regexp_replace(camel[2:], '([A-Z])', '_\\1', 'g')) <> name"
+)
+def lost_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that their camel form does not lead back to."""
+    return vocabulary.lost_names(sql_on(spark, sf_dir, STRINGS).filter(F.col("v").rlike("^[A-Za-z0-9_]+$")).select(F.col("v").alias("name")))
+
+
 def _glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = triples.written(_values(spark, sf_dir))
     keys = values.select("key", F.lit("").alias("description")).distinct()

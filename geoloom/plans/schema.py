@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.match import match, removed
-from ..sources.triples import COLUMNS, PREFIXES, RDF_TYPE, merged
+from ..sources.triples import COLUMNS, PREFIXES, RDF_TYPE, merged, written
 
 RDFS = PREFIXES["rdfs"]
 
@@ -42,18 +44,22 @@ def upper(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLUMNS))
 
 
-def closure(pairs: DataFrame, depth: int = 32) -> DataFrame:
-    """(low, high) of all pairs reached by one step or more. pairs: low, high; a schema's, so small. Cycles end when nothing is new."""
-    steps = pairs.select("low", "high").distinct()
-    reached, n = steps, steps.count()
-    for _ in range(depth):
-        further = reached.alias("a").join(steps.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
-        reached = reached.unionByName(further).distinct()
-        now = reached.count()
-        if now == n:
-            break
-        n = now
-    return reached
+def closure(pairs: DataFrame) -> DataFrame:
+    """(low, high) of all pairs reached by one step or more, however many; cycles end when nothing is new. pairs: low, high.
+
+    A round joins what the last one added with all that is reached, on either
+    side, so the length of the paths that are known doubles and no pair is made
+    from old ones again. Each round is written: plans and lineage stay short.
+    """
+    new = written(pairs.select("low", "high").filter("low is not null and high is not null").distinct())
+    parts = [new]
+    while not new.isEmpty():
+        reached = reduce(DataFrame.unionByName, parts)
+        ahead = new.alias("a").join(reached.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
+        behind = reached.alias("a").join(new.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
+        new = written(ahead.unionByName(behind).distinct().join(reached, ["low", "high"], "left_anti"))
+        parts.append(new)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def axioms(triples: DataFrame, predicate: str) -> DataFrame:
@@ -69,6 +75,7 @@ def propagated_types(triples: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def propagated_predicates(triples: DataFrame, schema: DataFrame) -> DataFrame:
+    """triples and those that super-properties give."""
     up = closure(axioms(schema, RDFS + "subPropertyOf"))
     more = triples.join(up, triples.p == up.low).withColumn("p", F.col("high")).select(*COLUMNS)
     return merged(triples.select(*COLUMNS), more)

@@ -123,6 +123,12 @@ def iri_collisions(values: DataFrame) -> DataFrame:
     return values.groupBy(iri.alias("iri")).agg(F.countDistinct("key", "value").alias("n")).filter("n > 1")
 
 
+def lost_names(names: DataFrame) -> DataFrame:
+    """(name, camel, back): the names, each once, that do not come back from their camel form. names: name."""
+    rows = names.select("name").distinct().withColumn("camel", text.camel(F.col("name")))
+    return rows.withColumn("back", text.snake(F.col("camel"))).filter("back <> name")
+
+
 def scheme_triples(rows: DataFrame) -> DataFrame:
     iri = F.concat(F.lit(PREFIXES["voc"]), F.col("iri"))
     skos = PREFIXES["skos"]

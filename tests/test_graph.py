@@ -40,6 +40,21 @@ def test_closures(spark):
     assert {(r.s, r.p, r.o) for r in schema.inverses(data, g).collect()} == {("x", T.RDF_TYPE, "A"), ("x", "p", "y"), ("y", "q", "x")}
 
 
+def test_long_closure(spark):
+    """A chain of 200 classes is complete, and so is a cycle of 30 that a chain leads to."""
+    got = {tuple(r) for r in schema.closure(spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(200)], "low string, high string")).collect()}
+    assert got == {(f"c{i:03}", f"c{j:03}") for i in range(201) for j in range(i + 1, 201)}
+    ring = [(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)] + [("a", "b"), ("b", "r0"), ("a", "b"), (None, "a")]
+    got = schema.closure(spark.createDataFrame(ring, "low string, high string"))
+    assert got.count() == got.distinct().count() == 30 * 30 + 30 + 31
+    assert schema.closure(spark.createDataFrame([], "low string, high string")).count() == 0
+
+
+def test_super_properties(spark):
+    g = graph(spark, [("p", RDFS + "subPropertyOf", "q"), ("q", RDFS + "subPropertyOf", "r")])
+    assert {(r.s, r.p) for r in schema.propagated_predicates(graph(spark, [("x", "p", "y"), ("z", "r", "y")]), g).collect()} == {("x", "p"), ("x", "q"), ("x", "r"), ("z", "r")}
+
+
 def test_rules(spark):
     points = spark.createDataFrame([(T.PREFIXES["osmnode"] + "12", "SpatialPoint"), ("http://x/y", "SpatialPoint")], "entity_id string, class string")
     shapes = spark.createDataFrame([(T.PREFIXES["osmnode"] + "12", "POINT(1 2)")], "entity_id string, wkt string")
