@@ -56,22 +56,29 @@ def vertices(geom: Column) -> Column:
     return F.flatten(geom["rings"])
 
 
-def _local(v: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
+def local(x: Column, y: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
     """Metres east and north of (x0, y0) on the tangent plane, the short way round."""
-    east = v["x"] - x0
+    east = x - x0
     east = F.when(east > 180, east - 360).when(east < -180, east + 360).otherwise(east)
-    return east * F.cos(F.radians(y0)) * DEGREE_M, (v["y"] - y0) * DEGREE_M
+    return east * F.cos(F.radians(y0)) * DEGREE_M, (y - y0) * DEGREE_M
 
 
-def _to_edge(px: Column, py: Column, e: Column, x0: Column, y0: Column) -> Column:
-    ax, ay = _local(e["a"], x0, y0)
-    bx, by = _local(e["b"], x0, y0)
+def plane_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From a point to an edge of a plane."""
     dx, dy = bx - ax, by - ay
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / square))).otherwise(0.0)
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
+def _local(v: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
+    return local(v["x"], v["y"], x0, y0)
+
+
+def _to_edge(px: Column, py: Column, e: Column, x0: Column, y0: Column) -> Column:
+    return plane_distance(px, py, *_local(e["a"], x0, y0), *_local(e["b"], x0, y0))
+
+
 def to_edge(v: Column, e: Column, x0: Column, y0: Column) -> Column:
     """Metres from a vertex to an edge on the plane that touches (x0, y0)."""
     return _to_edge(*_local(v, x0, y0), e, x0, y0)
@@ -147,11 +154,13 @@ def grid_cell(x: Column, y: Column, cell: float, reach: float) -> Column:
     return F.struct(F.floor((x + 180) * _row(j, cell, reach) / cell).alias("i"), j.alias("j"))
 
 
-def edge_cells(x1: Column, y1: Column, x2: Column, y2: Column, y0: Column, cell: float, reach: float) -> Column:
-    """The grid cells along an edge, and those within reach degrees (of latitude) of it: as many as its length asks for, not its box.
+def edge_cells(x1: Column, y1: Column, x2: Column, y2: Column, y0: Column, cell: float, reach: float, widened: bool = True) -> Column:
+    """The grid cells along an edge, and those within reach degrees (of latitude) of it, unless it is not to be widened: as many as its length asks for, not its box.
 
     y0: the latitude of the plane that distances to the edge are measured on.
+    Cells are numbered by reach, so both sides of a join must have the same.
     """
+    wide = reach if widened else 0.0
     n = F.greatest(F.lit(1.0), F.ceil(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)) / cell)).cast("int")
     sine = math.sin(math.radians(min(90.0, reach / 2)))
 
@@ -159,7 +168,7 @@ def edge_cells(x1: Column, y1: Column, x2: Column, y2: Column, y0: Column, cell:
         least = _row(j, cell, reach)
         # Near a pole a small distance is many degrees of longitude, at last all.
         factor = F.when(least > 10 * sine, 1.01).otherwise(3.15)
-        around = reach * F.greatest(factor, least / F.greatest(F.cos(F.radians(y0)), F.lit(1e-9)))
+        around = wide * F.greatest(factor, least / F.greatest(F.cos(F.radians(y0)), F.lit(1e-9)))
         a, b, whole = (low + 180) * least - around, (high + 180) * least + around, 360 * least
         last = F.floor(whole / cell)
         numbers = F.sequence(F.greatest(F.lit(0), F.floor(a / cell)), F.least(last, F.greatest(F.lit(0), F.floor(b / cell))))
@@ -170,7 +179,7 @@ def edge_cells(x1: Column, y1: Column, x2: Column, y2: Column, y0: Column, cell:
     def piece(k: Column) -> Column:
         at = lambda p, q, t: p + (q - p) * t / n
         xa, xb, ya, yb = at(x1, x2, k), at(x1, x2, k + 1), at(y1, y2, k), at(y1, y2, k + 1)
-        rows = F.sequence(F.floor((F.least(ya, yb) - reach) / cell), F.floor((F.greatest(ya, yb) + reach) / cell))
+        rows = F.sequence(F.floor((F.least(ya, yb) - wide) / cell), F.floor((F.greatest(ya, yb) + wide) / cell))
         return F.flatten(F.transform(rows, lambda j: along(F.least(xa, xb), F.greatest(xa, xb), j)))
 
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))

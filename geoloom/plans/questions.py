@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import spatial
 from ..operators.match import asked
+from ..sources.triples import written
 
 
 def located(entities: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
@@ -50,6 +51,7 @@ def named_buildings(segments: DataFrame, attributes: DataFrame, name: str | None
 
 def within_buildings(entities: DataFrame, buildings: DataFrame) -> DataFrame:
     """(id, building): the entities inside a building, and its name."""
+    buildings = written(buildings)
     pairs = spatial.within_join(located(entities), buildings)
     return pairs.join(buildings.select(F.col("id").alias("other"), F.col("name").alias("building")), "other").select("id", "building")
 

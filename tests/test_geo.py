@@ -1,5 +1,9 @@
 import math
 import random
+import re
+
+import numpy as np
+import pandas as pd
 
 from geoloom.functions import geo
 from geoloom.operators import spatial
@@ -82,7 +86,7 @@ def test_points_within_distance_anywhere(spark):
 
 
 def test_long_lines_and_large_polygons(spark):
-    """A line across a continent and a polygon of a country's size: cells along the one, four for the other."""
+    """A line across a continent and a polygon of a country's size: cells along the one, nine at most for the other."""
     line = geo.with_geometry(spark.createDataFrame([(1, "LINESTRING(0 40,3 42)"), (2, "LINESTRING(0 0.5,0.0001 0.5)")], "id int, wkt string"))
     rng = random.Random(3)
     on = [(3 * t, 40 + 2 * t + rng.uniform(-2e-4, 2e-4)) for t in (rng.random() for _ in range(80))]
@@ -92,7 +96,8 @@ def test_long_lines_and_large_polygons(spark):
     assert {(r.id, r.other, round(r.distance, 6)) for r in got} == {(r.id, r.other, round(r.d, 6)) for r in brute} and len(got) > 10
     assert spatial.edge_rows(line, 0.001, 1e-4, "other").filter("other = 1").count() < 20_000
     country = geo.with_geometry(spark.createDataFrame([(7, "POLYGON((-5 42,8 42,8 51,-5 51,-5 42))"), (8, "POLYGON((4.8 45.7,4.81 45.7,4.81 45.71,4.8 45.71,4.8 45.7))")], "id int, wkt string"))
-    assert spatial.covered(country, 0.002).count() <= 8
+    cover = spatial.Covering(country, 0.002)
+    assert cover.edges.select("other", "i", "j").distinct().count() <= 18 and cover.inside.count() <= 2
     inside = points_of(spark, [(4.805, 45.705), (0, 50), (9, 50), (8, 45)])
     assert {(r.id, r.other) for r in spatial.within_join(inside, country).collect()} == {(0, 7), (0, 8), (1, 7)}
     near = spatial.distance_join(inside, country, 5.0).collect()
@@ -105,3 +110,80 @@ def test_distance_of_shapes(spark):
     every = rows.crossJoin(rows.select(F.col("id").alias("other"), F.col("geom").alias("g2"))).select("id", "other", geo.distance(F.col("geom"), F.col("g2")).alias("d")).filter("d <= 30")
     got = spatial.distance_join(rows, rows, 30.0).collect()
     assert {(r.id, r.other, round(r.distance, 6)) for r in got} == {(r.id, r.other, round(r.d, 6)) for r in every.collect()}
+
+
+def star(rng, n, x, y, size, holes=True):
+    """A polygon around (x, y) with n vertices at random distances, and a hole like it."""
+    ring = lambda r: [(x + r * d * math.cos(a), y + r * d * math.sin(a)) for a, d in ((2 * math.pi * i / n, rng.uniform(0.6, 1)) for i in range(n))]
+    rings = [ring(size)] + ([ring(size / 3)] if holes else [])
+    return "POLYGON(" + ",".join("(" + ",".join(f"{p:.6f} {q:.6f}" for p, q in [*r, r[0]]) + ")" for r in rings) + ")"
+
+
+def test_within_random_shapes(spark):
+    """Points, lines and polygons, many with vertices on corners and edges, against every pair, for coverings of one cell and of many."""
+    rng = random.Random(11)
+    areas = [star(rng, rng.choice([3, 8, 300]), rng.uniform(0, 1), rng.uniform(0, 1), rng.choice([0.02, 0.2, 0.7])) for _ in range(12)] + ["POLYGON((0 0,0.5 0,0.5 0.5,0 0.5,0 0))", "MULTIPOLYGON(((0.6 0.6,0.9 0.6,0.9 0.9,0.6 0.9,0.6 0.6)),((0.1 0.6,0.3 0.6,0.3 0.9,0.1 0.9,0.1 0.6)))", "POLYGON((0.25 0.25,0.75 0.25,0.75 0.75,0.25 0.75,0.25 0.25),(0.4 0.4,0.6 0.4,0.6 0.6,0.4 0.6,0.4 0.4))"]
+    at = lambda: (rng.choice([0, 0.25, 0.5, rng.uniform(0, 1), rng.uniform(0, 1)]), rng.choice([0, 0.25, 0.4, rng.uniform(0, 1), rng.uniform(0, 1)]))
+    shapes = [f"POINT({x:.6f} {y:.6f})" for x, y in (at() for _ in range(150))] + areas + [star(rng, 5, *at(), 0.03, False) for _ in range(30)]
+    for _ in range(40):
+        x, y = at()
+        shapes.append(f"LINESTRING({x} {y},{x + rng.choice([0, 0.05])} {y + rng.choice([0, 0.05])},{x + rng.uniform(0, 0.1):.6f} {y})")
+    shapes += ["POINT(" + v + ")" for v in re.findall(r"[-\d.]+ [-\d.]+", areas[1])[:5]]
+    rows = geo.with_geometry(spark.createDataFrame(list(enumerate(shapes)), "id int, wkt string")).select("id", "geom")
+    polygons = geo.with_geometry(spark.createDataFrame(list(enumerate(areas)), "id int, wkt string")).select("id", "geom")
+    every = rows.crossJoin(polygons.select(F.col("id").alias("other"), F.col("geom").alias("g2"))).filter(geo.within(F.col("geom"), F.col("g2"))).select("id", "other")
+    want = {tuple(r) for r in every.collect()}
+    for cell in (0.002, 5.0):
+        got = [tuple(r) for r in spatial.within_join(rows, polygons, cell).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert len(want) > 100 and {i for i, _ in want} & set(range(165, 195)) and {i for i, _ in want} & set(range(195, 235))
+    assert spatial.within_join(rows, polygons.limit(0)).count() == 0 and spatial.within_join(rows.limit(0), polygons).count() == 0
+
+
+def test_country(spark):
+    """An outline of 100,000 vertices over a million points; each point's side is known by its angle. No row holds the outline."""
+    n, rng = 100_000, np.random.default_rng(4)
+    angle = 2 * np.pi * np.arange(n) / n
+    far = 4 + 0.5 * np.sin(7 * angle) + 0.2 * np.sin(91 * angle) + rng.uniform(0, 0.0005, n)
+    vx, vy = np.round(5 + far * np.cos(angle), 7), np.round(45 + far * np.sin(angle), 7)
+    wkt = "POLYGON((" + ",".join(f"{a} {b}" for a, b in zip([*vx, vx[0]], [*vy, vy[0]], strict=True)) + "))"
+    country = geo.with_geometry(spark.createDataFrame([(1, wkt)], "id long, wkt string")).select("id", "geom")
+    x, y = np.round(rng.uniform(0, 10, 1_000_000), 6), np.round(rng.uniform(40, 50, 1_000_000), 6)
+    turn = np.arctan2(y - 45, x - 5) % (2 * np.pi)
+    k = np.minimum((turn / (2 * np.pi / n)).astype(int), n - 1)
+    m = (k + 1) % n
+    side = (vx[m] - vx[k]) * (y - vy[k]) - (vy[m] - vy[k]) * (x - vx[k])
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "x": x, "y": y}))
+    cover = spatial.Covering(country, 0.002)
+    assert cover.edges.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 2_000
+    held = cover.holding(points.repartition(8)).select("id").toPandas()["id"].to_numpy()
+    clear = np.abs(side) > 1e-9  # vertices are rounded, so an angle at a vertex may belong to the next edge
+    got = np.zeros(len(x), bool)
+    got[held] = True
+    wrong = np.flatnonzero((got != (side > 0)) & clear)
+    assert len(held) == got.sum() and len(wrong) <= 3 and 300_000 < got.sum() < 700_000
+
+
+def test_long_line_near_lines(spark):
+    """A line of 50,000 vertices and a polygon against short lines: edges meet edges, and no row holds the whole line."""
+    n = 50_000
+    line = "LINESTRING(" + ",".join(f"{i * 1e-4:.4f} {45 + (i % 2) * 1e-4:.4f}" for i in range(n)) + ")"
+    short = [(i, f"LINESTRING({i * 0.05 + 0.00003:.5f} 45.00012,{i * 0.05 + 0.00003:.5f} {45.0002 if i % 3 else 46})") for i in range(90)] + [(200, "LINESTRING(1 47,2 47)"), (201, "POLYGON((-1 44,6 44,6 46.5,-1 46.5,-1 44))")]
+    long = geo.with_geometry(spark.createDataFrame([(1, line)], "id int, wkt string")).select("id", "geom")
+    others = geo.with_geometry(spark.createDataFrame(short, "id int, wkt string")).select("id", "geom")
+    got = {r.id: r.distance for r in spatial.distance_join(others, long, 30.0).collect()}
+    assert set(got) ^ (set(range(90)) | {201}) == set() and got[201] == 0.0
+    # The nearest edge rises from (0, 0) to (1, 1) or falls, in steps of 0.0001 degrees; the short line's lower end is 0.3 steps east and 1.2 up.
+    for i in range(90):
+        x, y = (i * 0.05 + 0.00003) % 1e-4 / 1e-4, 1.2
+        near = min(edge_metres(x, y, *e) for e in ((0, 0, 1, 1), (1, 1, 2, 0), (-1, 1, 0, 0), (0, 1, 1, 0), (1, 0, 2, 1), (-1, 0, 0, 1)))
+        assert near - 0.01 <= got[i] <= 11.13 * 1.3
+    swapped = {r.other: r.distance for r in spatial.distance_join(long, others, 30.0).collect()}
+    assert set(swapped) == set(got) and all(abs(swapped[i] - got[i]) < 0.01 for i in got)
+
+
+def edge_metres(x, y, x1, y1, x2, y2):
+    east, north = math.cos(math.radians(45)) * geo.DEGREE_M * 1e-4, geo.DEGREE_M * 1e-4
+    ax, ay, bx, by = (x1 - x) * east, (y1 - y) * north, (x2 - x) * east, (y2 - y) * north
+    t = max(0, min(1, -(ax * (bx - ax) + ay * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+    return math.hypot(ax + t * (bx - ax), ay + t * (by - ay))
