@@ -12,7 +12,7 @@ from ..fixtures import sql_on, standalone, view
 from ..functions import geo, text
 from ..operators import match, rules, spatial
 from ..sources import pages, triples
-from . import instances, questions, schema, vocabulary
+from . import graph, instances, questions, schema, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,6 +486,41 @@ def extremity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.extremity_of(g.way_nodes, instances.extremities(g.way_nodes, g.ways, g.nodes))
 
 
+def _graph_sql() -> str:
+    core, geo_, osm, saref, voc = (triples.PREFIXES[x] for x in ("core", "geo", "osm", "saref", "voc"))
+    typed = TYPED.replace("'xsd:", f"'{triples.XSD}")
+    prop, shape = "sha256(concat_ws('|', entity_id, ord, type_name))", "sha256(entity_id || '|geometry')"
+    ways = "SELECT entity_id, class, wkt, 'way' AS osm_type FROM (SELECT entity_id, wkt, CASE WHEN num % 4 = 0 THEN 'TopologicalSegment' ELSE 'TraversableSegment' END AS class FROM {fx_ways}) w"
+    way_literal = f"SELECT entity_id, ord, {camel_sql('key')} AS type_name, {typed} FROM {{fx_way_tags}} WHERE key IN ('name', 'level')"
+    way_concept = f"SELECT entity_id, ord, {camel_sql('key')} || {camel_sql('value')} AS type_name FROM {{fx_way_tags}} WHERE key IN ('building', 'highway')"
+    ends = "CASE WHEN datatype = 'xsd:integer' THEN '" + triples.XSD + "integer' ELSE '" + triples.XSD + "string' END"
+    return (
+        "WITH " + ", ".join([LITERALS, CONCEPTS, ATTRS])
+        + f""", entities AS (SELECT entity_id, 'SpatialPoint' AS class, wkt, 'node' AS osm_type FROM {{fx_nodes}} UNION ALL {ways}),
+     kept_literals AS (SELECT entity_id, ord, type_name, value, {ends} AS datatype FROM literals l WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.entity_id = l.entity_id AND a.ord > l.ord AND a.local = l.type_name) UNION ALL {way_literal}),
+     kept_concepts AS (SELECT entity_id, ord, type_name FROM concept_rows c WHERE type_name IN (SELECT iri FROM {{fx_concepts}}) AND NOT EXISTS (SELECT 1 FROM attrs a WHERE a.entity_id = c.entity_id AND a.ord < c.ord AND a.name LIKE '%' || {camel_sql('c.key')}) UNION ALL {way_concept}),
+     all_attrs AS (SELECT entity_id, ord, type_name, name, {typed} FROM attrs UNION ALL SELECT entity_id, 1, 'BuildingUniversity', 'hasBuildingUniversityName', 'Hall ' || cast(num AS string), '{triples.XSD}string' FROM {{fx_ways}} WHERE num % 4 = 0)
+     SELECT entity_id AS s, '{triples.RDF_TYPE}' AS p, '{core}' || class AS o, '' AS datatype FROM entities UNION ALL SELECT entity_id, '{triples.RDF_TYPE}', '{osm}' || osm_type, '' FROM entities
+     UNION ALL SELECT entity_id, '{geo_}hasGeometry', {shape}, '' FROM entities UNION ALL SELECT {shape}, '{geo_}asWKT', wkt, '{geo_}wktLiteral' FROM entities
+     UNION ALL SELECT {shape}, '{triples.RDF_TYPE}', '{geo_}Geometry', '' FROM entities WHERE osm_type = 'node'
+     UNION ALL SELECT entity_id, '{saref}hasProperty', {prop}, '' FROM (SELECT entity_id, ord, type_name FROM kept_literals UNION ALL SELECT entity_id, ord, type_name FROM kept_concepts) k
+     UNION ALL SELECT {prop}, '{triples.RDF_TYPE}', '{voc}' || type_name, '' FROM (SELECT entity_id, ord, type_name FROM kept_literals UNION ALL SELECT entity_id, ord, type_name FROM kept_concepts) k
+     UNION ALL SELECT {prop}, '{saref}hasValue', value, datatype FROM kept_literals UNION ALL SELECT {prop}, '{core}' || name, value, datatype FROM all_attrs
+     UNION ALL SELECT way_id, '{core}hasExtremity', node_id, '' FROM ({EXTREMITIES}) e UNION ALL SELECT DISTINCT node_id, '{core}isExtremityOf', way_id, '' FROM {{fx_way_nodes}}"""
+    )
+
+
+@query(_graph_sql())
+def instance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points' graph, written, and the segments' on top of it, triple by triple."""
+    g, path = Graph(spark, sf_dir), triples.shared_folder(spark)
+    graph.write_graph(graph.entity_triples(g.points, "node").unionByName(graph.property_triples(g.properties())), path)
+    found = instances.extremities(g.way_nodes, g.ways, g.nodes)
+    parts = [graph.entity_triples(g.segments, "way"), graph.property_triples(g.properties(ways=True)), graph.extremity_triples(found, instances.extremity_of(g.way_nodes, found))]
+    graph.grow(spark, path, g.segments.select(F.col("entity_id").alias("owner")), parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return graph.read_graph(spark, path).select("s", "p", "o", F.coalesce("datatype", F.lit("")).alias("datatype"))
+
+
 # -- space ------------------------------------------------------------------
 
 
