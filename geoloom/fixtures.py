@@ -62,6 +62,15 @@ FROM (SELECT DISTINCT key FROM {fx_tag_usage}) k
 UNION ALL SELECT 'Tag:' || key || '=' || value, '{{{{ValueDescription' || chr(10) || '|description=A ' || value || chr(10)
        || '|combination={{{{Tag|fee}}}} {{{{Tag|opening_hours|x}}}}' || chr(10) || '}}}}'
 FROM {fx_tag_usage} WHERE length(value) % 2 = 0""",
+    "fx_moved_pages": """
+SELECT title, CASE WHEN title = 'Key:returnflag' THEN '#REDIRECT [[Key:part type old]]' ELSE wikitext END AS wikitext FROM {fx_job_pages}
+UNION ALL SELECT 'Key:part type old', '#redirect: [[Key:part_type#Values]]' FROM {region} WHERE r_regionkey = 0
+UNION ALL SELECT 'Tag:' || source || '=v' || cast(doc_id AS string),
+       CASE WHEN doc_id % 10 IN (1, 2, 3) THEN '#REDIRECT [[Tag:step=v' || cast(doc_id + 1 AS string) || ']]' WHEN doc_id % 10 = 7 THEN '#REDIRECT [[Tag:gone=v' || cast(doc_id AS string) || ']]' ELSE text END FROM {documents}
+UNION ALL SELECT 'Tag:step=v' || cast(doc_id AS string),
+       CASE doc_id % 10 WHEN 5 THEN '#REDIRECT [[Tag:step=v' || cast(doc_id + 1 AS string) || ']]' WHEN 6 THEN '#REDIRECT [[Tag:step=v' || cast(doc_id - 1 AS string) || ']]'
+         WHEN 4 THEN 'the end' WHEN 9 THEN '#REDIRECT [[Tag:step=v' || cast(doc_id - 3 AS string) || ']]' ELSE '#REDIRECT [[Tag:step=v' || cast(doc_id + 1 AS string) || '|label]]' END
+FROM {documents} WHERE doc_id % 10 IN (2, 3, 4, 5, 6, 9)""",
     "fx_way_tags": """
 SELECT entity_id, 'building' AS key, 'university' AS value, 1 AS ord FROM {fx_ways} WHERE num % 4 = 0
 UNION ALL SELECT entity_id, 'name', 'Hall ' || cast(num AS string), 2 FROM {fx_ways} WHERE num % 4 = 0

@@ -402,12 +402,25 @@ def redirected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys asked for and keys that a redirect leads to; a page under another title than the asked one tells about its own key alone."""
     usage = view(spark, sf_dir, "fx_tag_usage")
     asked = usage.select("key").distinct().filter("key <> 'part_type'")
-    moved = spark.createDataFrame([("returnflag", "part_type"), ("nothing", "other")], "asked string, returned string")
-    pages_ = view(spark, sf_dir, "fx_job_pages").filter("title <> 'Key:returnflag'")
+    pages_ = view(spark, sf_dir, "fx_moved_pages")
+    key = lambda c: F.regexp_extract(c, "^Key:(.*)$", 1)
+    moved = pages.resolved(pages_).filter("outcome = 'page' and title like 'Key:%' and target like 'Key:%'").select(key("title").alias("asked"), key("target").alias("returned"))
+    pages_ = pages_.join(pages.redirects(pages_).select("title"), "title", "left_anti")
     rows = vocabulary.key_data(vocabulary.with_redirects(asked, moved), pages_, usage, 100)
     return rows.select("key", "description", F.size("values").cast("long").alias("n_values"))
 
 
+@query(
+    "SELECT title, CASE WHEN d = 1 THEN 'Tag:step=v' || cast(doc_id + 3 AS string) WHEN d IN (2, 3) THEN 'Tag:step=v' || cast(doc_id + 4 - d AS string) WHEN d = 7 THEN 'Tag:gone=v' || cast(doc_id AS string) END AS target, "
+    "CASE WHEN d IN (1, 2, 3) THEN 4 - d WHEN d = 7 THEN 1 END AS steps, CASE WHEN d IN (1, 2, 3) THEN 'page' WHEN d = 7 THEN 'missing' ELSE 'loop' END AS outcome FROM "
+    "(SELECT 'Tag:' || source || '=v' || cast(doc_id AS string) AS title, doc_id, doc_id % 10 AS d FROM {documents} WHERE doc_id % 10 IN (1, 2, 3, 7) UNION ALL SELECT 'Tag:step=v' || cast(doc_id AS string), doc_id, doc_id % 10 FROM {documents} WHERE doc_id % 10 IN (2, 3, 5, 6, 9)) t "
+    "UNION ALL SELECT 'Key:returnflag', 'Key:part_type', 2, 'page' UNION ALL SELECT 'Key:part type old', 'Key:part_type', 1, 'page'"
+)
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pages that only lead to another end: chains of several steps, loops, and targets that are missing."""
+    return pages.resolved(view(spark, sf_dir, "fx_moved_pages"))
+
+
 @query(f"SELECT upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || replace(upper(v[1]) || lower(v[2:]), '_', '') AS iri, count(DISTINCT v) AS n FROM (SELECT c_mktsegment, n_name AS v FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey UNION SELECT c_mktsegment, lower(n_name) FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0) t GROUP BY 1 HAVING count(DISTINCT v) > 1")
 def iri_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags that get one IRI."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .triples import written
+
 from ..functions.text import normal_key, stripped
 
 
@@ -26,3 +28,35 @@ def key_usage(usage: DataFrame) -> DataFrame:
 
 def tag_usage(tags: DataFrame) -> DataFrame:
     return tags.groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+def redirects(pages: DataFrame) -> DataFrame:
+    """(title, target) of the pages that only lead to another; of a title's several the first in order."""
+    target = F.regexp_extract("wikitext", r"(?iU)^\s*#redirect\s*:?\s*\[\[\s*:?([^\]|#]+?)\s*[\]|#]", 1)
+    rows = pages.select("title", target.alias("target")).filter("title is not null and target <> ''")
+    return rows.groupBy("title").agg(F.min("target").alias("target"))
+
+
+def resolved(pages: DataFrame) -> DataFrame:
+    """(title, target, steps, outcome) of each redirect, followed to its end: outcome is page, missing (no page of that title) or loop (then target and steps are null).
+
+    Each round joins what is known with itself, so the steps that are known
+    double; a title that has no end after as many rounds as double to the number
+    of redirects leads into a loop. Each round is written.
+    """
+    moved = written(redirects(pages))
+    known = moved.withColumn("steps", F.lit(1).cast("long"))
+    ends = moved.select(F.col("title").alias("target"), F.lit(True).alias("goes_on"))
+    open_, rounds = moved.count(), moved.count().bit_length() + 1
+    for _ in range(rounds):
+        if not open_:
+            break
+        ahead = known.select(F.col("title").alias("target"), F.col("target").alias("next"), F.col("steps").alias("more"))
+        known = known.join(ahead, "target", "left")
+        known = written(known.select("title", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        open_ = known.join(ends, "target", "left_semi").limit(1).count()
+    there = pages.select(F.col("title").alias("target")).distinct().withColumn("there", F.lit(True))
+    out = known.join(ends, "target", "left").join(there, "target", "left")
+    loop = F.col("goes_on").isNotNull()
+    outcome = F.when(loop, "loop").when(F.col("there").isNotNull(), "page").otherwise("missing")
+    return out.select("title", F.when(~loop, F.col("target")).alias("target"), F.when(~loop, F.col("steps")).alias("steps"), outcome.alias("outcome"))

@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 from geoloom.operators import match, rules
 from geoloom.plans import questions, schema
+from geoloom.sources import pages
 from geoloom.sources import triples as T
 from pyspark.sql import functions as F
 
@@ -55,6 +56,15 @@ def test_super_properties(spark):
     assert {(r.s, r.p) for r in schema.propagated_predicates(graph(spark, [("x", "p", "y"), ("z", "r", "y")]), g).collect()} == {("x", "p"), ("x", "q"), ("x", "r"), ("z", "r")}
 
 
+def test_redirects(spark):
+    """A chain of 40, a loop that a chain leads into, a page that leads to itself, a missing target, several spellings; without redirects there is nothing."""
+    rows = [(f"p{i}", f"#REDIRECT [[p{i + 1}]]") for i in range(40)] + [("p40", "text"), ("a", "#redirect [[b]]"), ("b", "#Redirect [[c|x]]"), ("c", " #REDIRECT: [[ b ]]"), ("self", "#REDIRECT [[self]]"), ("lost", "#REDIRECT [[nowhere#part]]"), ("plain", "see #REDIRECT [[p1]]"), (None, "x"), ("null", None)]
+    frame = spark.createDataFrame(rows, "title string, wikitext string")
+    got = {r.title: (r.target, r.steps, r.outcome) for r in pages.resolved(frame).collect()}
+    assert got == {f"p{i}": ("p40", 40 - i, "page") for i in range(40)} | {x: (None, None, "loop") for x in ("a", "b", "c", "self")} | {"lost": ("nowhere", 1, "missing")}
+    assert pages.resolved(frame.limit(0)).count() == 0
+
+
 def test_rules(spark):
     points = spark.createDataFrame([(T.PREFIXES["osmnode"] + "12", "SpatialPoint"), ("http://x/y", "SpatialPoint")], "entity_id string, class string")
     shapes = spark.createDataFrame([(T.PREFIXES["osmnode"] + "12", "POINT(1 2)")], "entity_id string, wkt string")
