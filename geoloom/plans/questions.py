@@ -6,6 +6,8 @@ makes them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,27 +88,54 @@ def belongs_to(way_nodes: DataFrame, node: str, way: str) -> DataFrame:
     return asked(way_nodes.filter((F.col("node_id") == node) & (F.col("way_id") == way)))
 
 
-def leg(links: DataFrame, start: str, goal: str, max_hops: int | None = None) -> list[str]:
-    """The ways of a shortest walk, found hop by hop until the goal is met or no node is new; of several the one whose ways come first. links: way_id, a, b."""
-    both = links.unionByName(links.select("way_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    front = links.sparkSession.createDataFrame([(start, [])], "node string, ways array<string>")
-    before, hops = front.select("node"), 0
-    while True:
-        hit = front.filter(F.col("node") == goal).select("ways").first()
-        if hit:
-            return hit["ways"]
-        if hops == max_hops or front.isEmpty():
-            return []
-        further = front.join(both, front.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.concat("ways", F.array("way_id"))).alias("ways"))
-        # Links lead both ways, so a node seen already is one of the last two rounds.
-        last = front.select("node")
-        front = further.join(before.unionByName(last), "node", "left_anti").checkpoint()
-        before, hops = last, hops + 1
-
-
-def route(found: DataFrame, start: str, via: str, goal: str, max_hops: int | None = None) -> DataFrame:
-    """(step, way_id) from start over via to goal; empty if there is no way or, where max_hops is given, either leg needs more hops. found: way_id, node_id of the extremities."""
+def walks(links: DataFrame, asked_: DataFrame) -> DataFrame:
+    """(key, step, way_id): a shortest walk for each row of asked_ (key, start, goal) that has one; none where start is goal. links: way_id, a, b, lead both ways.
+
+    All searches advance together, hop by hop. A node is entered once for each
+    key, by the smallest way that leads to it from the last hop's nodes (of two
+    ends of one way, from the smaller): that decides between walks of one
+    length. Each hop is a written table of nodes with what they were entered
+    from; a key that has met its goal is searched no further, and the walks are
+    read off the tables from the last hop to the first. Whether a node is new is
+    looked up in the last two hops, as links lead both ways. The driver learns
+    how many nodes are new, and no path.
+    """
+    both = written(links.unionByName(links.select("way_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    front = written(asked_.filter("start <> goal").select("key", "goal", F.col("start").alias("node"), F.lit(None).cast("string").alias("way_id"), F.lit(None).cast(asked_.schema["start"].dataType).alias("before")))
+    hops = [front]
+    while not front.isEmpty():
+        known = front.select("key", "node") if len(hops) == 1 else front.select("key", "node").unionByName(hops[-2].select("key", "node"))
+        further = front.join(both, front.node == both.a).select("key", "goal", F.col("b").alias("node"), F.struct(both.way_id, F.col("a").alias("before")).alias("by"))
+        further = further.groupBy("key", "goal", "node").agg(F.min("by").alias("by")).join(known, ["key", "node"], "left_anti")
+        hops.append(written(further.select("key", "goal", "node", "by.way_id", "by.before")))
+        met = hops[-1].filter("node = goal").select("key")
+        front = hops[-1] if met.isEmpty() else written(hops[-1].join(met, "key", "left_anti"))
+    steps, at = [], None
+    for step in range(len(hops) - 1, 0, -1):
+        here = hops[step].filter("node = goal").select("key", "node", "way_id", "before")
+        if at is not None:
+            here = here.unionByName(hops[step].select("key", "node", "way_id", "before").join(at, ["key", "node"]))
+        here = written(here)
+        steps.append(here.select("key", F.lit(step).cast("long").alias("step"), "way_id"))
+        at = here.select("key", F.col("before").alias("node"))
+    if not steps:
+        return asked_.limit(0).select("key", F.lit(0).cast("long").alias("step"), F.lit("").alias("way_id"))
+    return reduce(DataFrame.unionByName, steps)
+
+
+def routes(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request, step, way_id) for each row of requests (request, start, via, goal) that has a walk from start over via to goal. found: way_id, node_id of the extremities."""
     ends = found.groupBy("way_id").agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")).filter("a <> b")
-    first, second = leg(ends, start, via, max_hops), leg(ends, via, goal, max_hops)
-    ways = [] if (via != start and not first) or (goal != via and not second) else first + second
-    return found.sparkSession.createDataFrame(list(enumerate(ways, 1)), "step long, way_id string")
+    requests = written(requests.select("request", "start", "via", "goal"))
+    key = lambda leg: F.struct(F.col("request"), F.lit(leg).alias("leg")).alias("key")
+    legs = requests.select(key(1), "start", F.col("via").alias("goal")).unionByName(requests.select(key(2), F.col("via").alias("start"), "goal"))
+    rows = written(walks(ends, legs).select("key.request", "key.leg", "step", "way_id"))
+    lengths = rows.groupBy("request").agg(*[F.coalesce(F.max(F.when(F.col("leg") == n, F.col("step"))), F.lit(0)).alias(f"n{n}") for n in (1, 2)])
+    whole = requests.join(lengths, "request").filter("(n1 > 0 or start = via) and (n2 > 0 or via = goal)").select("request", "n1")
+    return rows.join(whole, "request").select("request", (F.col("step") + F.when(F.col("leg") == 2, F.col("n1")).otherwise(0)).alias("step"), "way_id")
+
+
+def route(found: DataFrame, start: str, via: str, goal: str) -> DataFrame:
+    """(step, way_id) of one request; empty if there is no way."""
+    one = found.sparkSession.createDataFrame([(1, start, via, goal)], "request long, start string, via string, goal string")
+    return routes(found, one).select("step", "way_id")

@@ -1,3 +1,4 @@
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -77,7 +78,6 @@ def test_rules(spark):
 
 def test_long_route(spark):
     """A chain of 20 segments, a shorter walk of the same ends by one segment, and a part that nothing leads to."""
-    spark.sparkContext.setCheckpointDir(T.shared_folder(spark))
     ends = [(f"w{i:02}", f"n{i}", f"n{i + 1}") for i in range(20)] + [("short", "n3", "n1"), ("away", "x", "y")]
     found = spark.createDataFrame([(w, n) for w, *ns in ends for n in ns], "way_id string, node_id string")
     steps = lambda *at: [r.way_id for r in questions.route(found, *at).orderBy("step").collect()]
@@ -85,6 +85,45 @@ def test_long_route(spark):
     assert steps("n0", "y", "n1") == [] and steps("n2", "n2", "n2") == []
 
 
+def test_many_routes(spark):
+    """A thousand requests over a random network, some of them in parts that nothing joins, against a search for each."""
+    rng = random.Random(8)
+    ends = [(f"w{i:03}", *rng.sample([f"n{k}" for k in range(60 * part, 60 * part + 60)], 2)) for part in (0, 1) for i in range(90 * part, 90 * part + 90)]
+    found = spark.createDataFrame([(w, n) for w, *ns in ends for n in ns], "way_id string, node_id string")
+    asked = [(i, *(f"n{rng.randrange(60) + 60 * (rng.random() < 0.3)}" for _ in range(3))) for i in range(1000)]
+
+    def walk(start, goal):
+        by, front = {start: None}, [start]
+        while front and goal not in by:
+            new = {}
+            for n in front:
+                for w, a, b in ends:
+                    for x, y in ((a, b), (b, a)):
+                        if x == n and y not in by:
+                            new[y] = min(new.get(y, (w, n)), (w, n))
+            by |= new
+            front = list(new)
+        if goal not in by:
+            return None
+        out = []
+        while by[goal]:
+            out.append(by[goal][0])
+            goal = by[goal][1]
+        return out[::-1]
+
+    known = {}
+    want = {}
+    for i, *at in asked:
+        legs = [known.setdefault(pair, walk(*pair)) for pair in (tuple(at[:2]), tuple(at[1:]))]
+        if None not in legs and legs[0] + legs[1]:
+            want[i] = legs[0] + legs[1]
+    got = {}
+    for r in questions.routes(found, spark.createDataFrame(asked, "request long, start string, via string, goal string")).orderBy("request", "step").collect():
+        got.setdefault(r.request, []).append(r.way_id)
+        assert r.step == len(got[r.request])
+    assert got == want and 300 < len(want) < 1000
+
+
 def test_shared_folder():
     """Where no shared folder is named: a temporary one on one machine, an error on a cluster."""
     held = {}
