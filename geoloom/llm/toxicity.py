@@ -5,8 +5,9 @@ hashed to ``buckets``; a document has a term or has it not. The machine adds a w
 terms, the product of their factors: so an insult beside the mention of a group
 can count for more than both apart. It is fitted on the driver on a bounded
 sample of labelled documents (``most_toxic`` and ``most_clean`` rows, those of
-the smallest hash of doc_id, and of each the ``row_terms`` terms of the smallest
-hash). Its terms are the ``most_terms`` that tell the two apart best, and those
+the smallest hash of doc_id). All terms of the sample are counted, by Spark; the
+driver gets the counts of the buckets, and of the rows those terms that are
+chosen or tried in pairs, however many a row has. Its terms are the ``most_terms`` that tell the two apart best, and those
 of pairs that tell more together than apart, though each alone may tell nothing:
 all pairs of the ``pair_terms`` terms that most toxic rows have are tried. Two
 machines, each fitted on half of the sample and tried on the other, choose the
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .letters import letter_runs
+from .storage import written
 from .textblocks import blocks, mixed, small_batches, span_hashes
 
 STEM = 6  # bytes
@@ -95,8 +97,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, buckets: int, row_terms: int = 8192) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and distinct buckets of the sample, at most most_toxic + most_clean rows of at most row_terms buckets."""
+def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, buckets: int) -> DataFrame:
+    """(toxic, terms): label and distinct buckets, four bytes each, of the sample's rows, at most most_toxic + most_clean of them."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, most_toxic), (0, most_clean))]
     rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
@@ -106,10 +108,40 @@ def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int
             of, bucket = terms_of(block.column("text"), buckets)
             own = np.unique(of * buckets + bucket)
             ends = np.searchsorted(own, np.arange(1, block.num_rows + 1) * buckets)
-            found = [x[:row_terms].astype("<i4").tobytes() for x in np.split(own % buckets, ends[:-1])]
+            found = [x.astype("<i4").tobytes() for x in np.split(own % buckets, ends[:-1])]
             yield pa.RecordBatch.from_arrays([block.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], names=["toxic", "terms"])
 
-    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, terms binary").toArrow()
+    return written(rows.select("toxic", "text").mapInArrow(run, "toxic int, terms binary"), "toxic-sample")
+
+
+def term_counts(sample: DataFrame, buckets: int) -> np.ndarray:
+    """How many clean and how many toxic rows have each bucket: two rows of buckets numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            terms = [np.frombuffer(x, "<i4") for x in batch.column("terms").to_pylist()]
+            of = np.repeat(toxic.astype(np.int64), [len(t) for t in terms])
+            key, n = np.unique(of * buckets + np.concatenate([np.zeros(0, "<i4"), *terms]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // buckets), pa.array(key % buckets), pa.array(n)], names=["toxic", "bucket", "n"])
+
+    got = sample.mapInArrow(run, "toxic long, bucket long, n long").groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, buckets))
+    out[got.column("toxic").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def rows_with(sample: DataFrame, wanted: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels and terms of the sample's rows, of the wanted terms alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(buckets, bool)
+        keep[wanted] = True
+        for batch in batches:
+            terms = [np.frombuffer(x, "<i4") for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([t[keep[t]].tobytes() for t in terms], pa.binary())], names=["toxic", "terms"])
+
+    got = sample.mapInArrow(run, "toxic int, terms binary").toArrow()
     return got.column("toxic").to_numpy(), [np.frombuffer(x, "<i4") for x in got.column("terms").to_pylist()]
 
 
@@ -128,10 +160,15 @@ def chi_squared(a: np.ndarray, b: np.ndarray, bad: int, n: int) -> np.ndarray:
     return n * (a * (n - bad - b) - b * (bad - a)) ** 2 / np.maximum(both * (n - both) * bad * (n - bad), 1)
 
 
+def frequent(toxic_counts: np.ndarray, pair_terms: int) -> np.ndarray:
+    """The pair_terms terms that most toxic rows have, three at least."""
+    often = np.argsort(-toxic_counts, kind="stable")[:pair_terms]
+    return np.sort(often[toxic_counts[often] >= 3])
+
+
 def paired(target: np.ndarray, terms: list[np.ndarray], toxic_counts: np.ndarray, chi: np.ndarray, pair_terms: int, most: int = 128) -> np.ndarray:
     """Buckets of the terms of pairs that tell more than twice what both tell apart, at most most of them, the best pairs first."""
-    often = np.argsort(-toxic_counts, kind="stable")[:pair_terms]
-    often = np.sort(often[toxic_counts[often] >= 3])
+    often = frequent(toxic_counts, pair_terms)
     place = np.full(len(toxic_counts), -1, np.int32)
     place[often] = np.arange(len(often))
     together = np.zeros((2, len(often), len(often)))
@@ -149,20 +186,21 @@ def paired(target: np.ndarray, terms: list[np.ndarray], toxic_counts: np.ndarray
     return often[own]
 
 
-def fitted(y: np.ndarray, terms: list[np.ndarray], buckets: int, most_terms: int, pair_terms: int, factors: int, least: float, false_cost: float = 10, rounds: int = 150, rate: float = 0.08, shrink: float = 1e-4) -> Machine:
-    bad = int((y == 1).sum())
-    if bad in (0, len(y)):
+def fitted(sample: DataFrame, buckets: int, most_terms: int, pair_terms: int, factors: int, least: float, false_cost: float = 10, rounds: int = 150, rate: float = 0.08, shrink: float = 1e-4) -> Machine:
+    kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    bad, n = kinds.get(1, 0), sum(kinds.values())
+    if bad in (0, n):
         out = Machine(buckets, np.zeros(0, np.int64), factors)
         out.bias = 500.0 if bad else -500.0
         return out
-    counts = [np.bincount(np.concatenate([t for t, v in zip(terms, y, strict=True) if v == k]), minlength=buckets) for k in (0, 1)]
+    b, a = term_counts(sample, buckets)
     # Only terms that several documents have.
-    n, a, b = len(y), counts[1].astype(float), counts[0].astype(float)
     chi = chi_squared(a, b, bad, n)
     good = np.where((a + b < 3) | (chi < LEAST_CHI), 0, chi)
     chosen = np.argsort(-good, kind="stable")[: min(most_terms, int((good > 0).sum()))]
+    y, terms = rows_with(sample, np.union1d(chosen, frequent(a, pair_terms)), buckets)
     target = (y == 1).astype(np.float32)
-    chosen = np.union1d(chosen, paired(target, terms, counts[1], chi, pair_terms))
+    chosen = np.union1d(chosen, paired(target, terms, a, chi, pair_terms))
     x = held(terms, Machine(buckets, chosen, factors).place, len(chosen))
 
     def on(rows: np.ndarray) -> Machine:
@@ -200,6 +238,5 @@ def predicted(
     docs: DataFrame, labels: DataFrame, rest: int = 1, of: int = 3, least: float = 0.7, most_toxic: int = 4000, most_clean: int = 12_000, most_terms: int = 512, pair_terms: int = 1024, factors: int = 4, buckets: int = 1 << 20
 ) -> DataFrame:
     """doc_id, held_out, score and predicted, learned from the labels that are not held out (crc32 of doc_id modulo of is rest)."""
-    y, terms = sampled(docs, labels.filter(~held_out(rest, of)), most_toxic, most_clean, buckets)
-    machine = fitted(y, terms, buckets, most_terms, pair_terms, factors, least)
+    machine = fitted(sampled(docs, labels.filter(~held_out(rest, of)), most_toxic, most_clean, buckets), buckets, most_terms, pair_terms, factors, least)
     return scored(docs, machine).select("doc_id", held_out(rest, of).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

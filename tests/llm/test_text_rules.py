@@ -270,3 +270,18 @@ def test_held_out_toxicity(spark):
     bad = [r for r in got if r.toxic == 1]
     assert sum(r.predicted for r in bad) >= 0.8 * len(bad) > 0  # 305 toxic rows to learn from
     assert sum(r.predicted for r in got if r.toxic == 0) <= 0.01 * (len(got) - len(bad))
+
+
+def test_toxicity_of_long_rows(spark):
+    """A labelled text of 20,000 distinct terms is counted and fitted with all of them."""
+    long = " ".join("".join("abcdefghij"[int(d)] for d in str(k)) for k in range(100_000, 120_000))
+    rows_ = [(i, (long if i == 3 else "plain words here") + (" zzinsultz" if i % 4 == 3 else ""), i % 4 // 3) for i in range(400)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, score int").repartition(3)
+    sample = toxicity.sampled(docs, docs.selectExpr("doc_id", "score as toxic"), 1000, 1000, 1 << 20)
+    clean, toxic = toxicity.term_counts(sample, 1 << 20)
+    _, own = toxicity.terms_of(pa.array([rows_[3][1]]), 1 << 20)
+    assert len(np.unique(own)) > 18_000 and (toxic[np.unique(own)] >= 1).all() and clean.sum() == 300 * 3 and toxic.sum() == 99 * (3 + 2) + len(np.unique(own))
+    _, insult = toxicity.terms_of(pa.array(["zzinsultz"]), 1 << 20)
+    assert toxic[insult[0]] == 100
+    y, terms = toxicity.rows_with(sample, insult, 1 << 20)
+    assert sorted(zip(y.tolist(), map(len, terms), strict=True)) == [(0, 0)] * 300 + [(1, len(np.unique(insult)))] * 100
