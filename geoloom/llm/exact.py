@@ -64,6 +64,11 @@ def keyed_columns(docs: DataFrame) -> list[Column]:
 
 def indexed(docs: DataFrame, bucket_rows: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """The index's entries (bucket, depth, key, chain, digest, keep_row, group_size), written in files of bucket ranges, and the rows (row, doc_id, n_chars, key, bucket, digest) that were entered."""
+    return built(docs, bucket_rows, max_depth)[:2]
+
+
+def built(docs: DataFrame, bucket_rows: int, max_depth: int) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """indexed(), the directory's slots, and the slot of a column key."""
     if not 0 < max_depth <= 16:
         raise ValueError("max_depth must be from 1 to 16")
     texts = docs.select(*keyed_columns(docs))
@@ -87,7 +92,7 @@ def indexed(docs: DataFrame, bucket_rows: int, max_depth: int) -> tuple[DataFram
     # One owner for a bucket: it chains the texts that share a key.
     owned = entered.join(best, ["bucket", "key", "digest"]).repartition("bucket").sortWithinPartitions("bucket", "key", "digest")
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("digest"))
-    return written(owned.withColumn("chain", chain), "exact-index"), rows
+    return written(owned.withColumn("chain", chain), "exact-index"), rows, slots, place
 
 
 def exact_groups(docs: DataFrame, bucket_rows: int = 200_000, max_depth: int = 16) -> DataFrame:
@@ -104,12 +109,12 @@ def exact_groups(docs: DataFrame, bucket_rows: int = 200_000, max_depth: int = 1
 
 def drop_exact_copies(docs: DataFrame, bucket_rows: int = 200_000, max_depth: int = 16) -> DataFrame:
     """docs with one row of each group of equal texts."""
-    index, _ = indexed(docs, bucket_rows, max_depth)
+    index, _, slots, place = built(docs, bucket_rows, max_depth)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), *keyed_columns(docs))
     digest = F.unhex(F.sha2("norm", 256)).alias("digest")
-    rows = whole.select("whole", "doc_id", "n_chars", "key", digest)
-    wanted = index.select(F.col("key").alias("key_"), F.col("digest").alias("digest_"), "keep_id", "keep_chars", "n_tied")
-    found = rows.join(wanted, (F.col("key") == F.col("key_")) & (F.col("digest") == F.col("digest_")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
+    rows = whole.select("whole", "doc_id", "n_chars", "key", digest, place).join(slots.drop("depth"), "slot")
+    wanted = index.select(F.col("bucket").alias("bucket_"), F.col("key").alias("key_"), F.col("digest").alias("digest_"), "keep_id", "keep_chars", "n_tied")
+    found = rows.join(wanted, (F.col("bucket") == F.col("bucket_")) & (F.col("key") == F.col("key_")) & (F.col("digest") == F.col("digest_")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
     if index.filter("n_tied > 1").isEmpty():
         return found.select("whole.*")
     one = found.filter("n_tied > 1").dropDuplicates(["key", "digest"])

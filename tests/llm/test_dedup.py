@@ -27,8 +27,9 @@ def test_exact(spark, docs, empty):
         assert sorted(str(r.doc_id) for r in got if r.kept) == sorted({str(w[0]) for w in want.values()})  # one of each group, of repeated rows too
     assert max(r.depth for r in got) > 1
     assert all(r.bucket >> (max(x.depth for x in got) - r.depth) << (max(x.depth for x in got) - r.depth) == r.bucket for r in got)
-    kept = exact.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(w[0]) for w in want.values()})
+    for how in ({}, {"bucket_rows": 1, "max_depth": 5}):
+        kept = exact.drop_exact_copies(docs, **how)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(w[0]) for w in want.values()})
     assert exact.exact_groups(empty).count() == 0 and exact.drop_exact_copies(empty).count() == 0
 
 
@@ -55,6 +56,20 @@ def test_directory_routes(spark):
     assert rows_.withColumn("bucket", rows_.bucket + 1).join(index, ["bucket", "key", "digest"]).count() == 0
 
 
+def test_stage_looks_up_by_bucket(spark, monkeypatch):
+    """A row that the directory sends to another bucket than its text's finds nothing to stay by."""
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(80)], "doc_id long, text string")
+    assert exact.drop_exact_copies(docs, 5, 8).count() == 40
+    own = exact.built
+
+    def astray(*args):
+        index, rows_, slots, place = own(*args)
+        return index, rows_, slots.withColumn("bucket", slots.bucket + 1_000_000), place
+
+    monkeypatch.setattr(exact, "built", astray)
+    assert exact.drop_exact_copies(docs, 5, 8).count() == 0
+
+
 def fingerprint(text):
     words = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
