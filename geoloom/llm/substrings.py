@@ -102,7 +102,7 @@ class Runs:
 
 def anchors(docs: DataFrame, window: int, most_windows: int, marked: int) -> DataFrame:
     """(route, doc_id, key, run, mark, known): the runs of all documents. known: the block itself has the anchor in two documents; one of its rows is routed by the anchor, the others anywhere."""
-    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32()), ("mark", pa.int64()), ("known", pa.bool_())])
+    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("run", pa.int32()), ("mark", pa.int64()), ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -123,13 +123,13 @@ def anchors(docs: DataFrame, window: int, most_windows: int, marked: int) -> Dat
             columns = [route[back], d[back], keys[of[back]], number[back].astype(np.int32), runs.mark[order][back], known[back]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "route long, doc_id long, key int, run int, mark long, known boolean")
+    return docs.mapInArrow(run, "route long, doc_id long, key long, run int, mark long, known boolean")
 
 
 def shared(runs: DataFrame) -> DataFrame:
     """(doc_id, key, run, mark) of the runs whose anchor occurs in two documents."""
     sorted_ = runs.repartition("route").sortWithinPartitions("route").select("route", "doc_id", "key", "run", "mark", "known")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("run", pa.int32()), ("mark", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("run", pa.int32()), ("mark", pa.int64())])
 
     def told(held: list[list[np.ndarray]], cut: int | None) -> tuple[pa.RecordBatch, list[list[np.ndarray]], bool]:
         route, doc, key, number, mark, known = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -165,13 +165,13 @@ def shared(runs: DataFrame) -> DataFrame:
         if held:
             yield told(held, None)[0]
 
-    return sorted_.mapInArrow(run, "doc_id long, key int, run int, mark long")
+    return sorted_.mapInArrow(run, "doc_id long, key long, run int, mark long")
 
 
 def keyed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells rows apart that repeat a doc_id; the columns of rest in one of this name."""
+    """doc_id, text and 64 bits of the text's hash, which tells rows apart that repeat a doc_id; the columns of rest in one of this name."""
     more = [] if rest is None else [F.struct(F.lit(0).alias("_"), *[docs[c] for c in rest]).alias("rest")]
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"), *more)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"), *more)
 
 
 def compressed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
@@ -213,7 +213,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator
 def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most_windows: int) -> DataFrame:
     """The segments of the wanted runs. Rows of a shard have a block's segments for it: compressed, each once, with the smallest doc_id that has it in the block. Rows without one have each place, with the segment's hashes alone."""
     names = ["shard", "packed", "h1", "h2", "doc_id", "key", "at"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -253,7 +253,7 @@ def segments(texts: DataFrame, wanted: DataFrame, shards: int, window: int, most
 
     # A left join, and no filter: so that Spark shuffles the texts once for this join and that of kept_words().
     joined = with_texts(texts, wanted, "runs")
-    return joined.mapInArrow(run, "shard long, packed binary, h1 long, h2 long, doc_id long, key int, at int")
+    return joined.mapInArrow(run, "shard long, packed binary, h1 long, h2 long, doc_id long, key long, at int")
 
 
 def shard_of(slot, shards: int):
