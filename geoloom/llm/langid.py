@@ -9,7 +9,8 @@ the language with the most letters in its spans is that of the document, and
 the score its share of the letters.
 
 Learning adds up trigrams over all documents of the training part; what reaches
-the driver is one number for each language and bucket. Documents of a block are
+the driver is one number for each language and bucket, of 256 languages at most
+(a table that names more is refused). Documents of a block are
 passed through the trellis side by side, so memory is bounded by a block.
 
 Defined cases: a text that is null or has no letter is "und" with score 0;
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .letters import letter_runs
+from .storage import written
 from .textblocks import blocks, ragged, small_batches
 
 UNKNOWN = "und"
@@ -49,11 +51,11 @@ def held_out(rest: int, of: int) -> Column:
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
-    """The bucket of the bytes before, at and after each place."""
-    wide = data.astype(np.uint32)
-    code = wide * np.uint32(65537)
-    code[1:] += wide[:-1] * np.uint32(2654435761)
-    code[:-1] += wide[1:] * np.uint32(40503 * 65536 + 251)
+    """The bucket of the bytes before, at and after each place; a space is before the first and after the last."""
+    wide = np.pad(data, 1, constant_values=0x20).astype(np.uint32)
+    code = wide[1:-1] * np.uint32(65537)
+    code += wide[:-2] * np.uint32(2654435761)
+    code += wide[2:] * np.uint32(40503 * 65536 + 251)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x2C1B3C6D)
     return (code >> np.uint32(17)).astype(np.int32)
@@ -82,13 +84,22 @@ def learned(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log probabilities by language and bucket, and the scripts that each language uses."""
+    """Log probabilities by language and bucket, and the scripts that each language uses.
 
-    def __init__(self, counts: DataFrame, least_share: float = 1e-4):
-        table = counts.toPandas()
-        self.langs = sorted(table["lang"].unique())
+    The table has a row for each of most languages; a corpus that names more is
+    refused before its counts are fetched, so what the driver holds is bounded.
+    """
+
+    def __init__(self, counts: DataFrame, least_share: float = 1e-4, most: int = 256):
+        counts = written(counts, "language-counts")
+        self.langs = sorted(r.lang for r in counts.select("lang").distinct().limit(most + 1).collect())
+        if len(self.langs) > most:
+            raise ValueError(f"the column lang has more than {most} values")
+        table = counts.toArrow()
+        lang = table.column("lang").combine_chunks().dictionary_encode()
+        row = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)
         sums = np.zeros((len(self.langs), BUCKETS + N_SCRIPTS))
-        sums[np.searchsorted(self.langs, table["lang"]), table["bucket"]] = table["n"]
+        sums[row[lang.indices.to_numpy()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
         grams, letters = sums[:, :BUCKETS] + 0.5, sums[:, BUCKETS:]
         self.scores = np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32)
         self.uses = letters / np.maximum(letters.sum(1, keepdims=True), 1) >= least_share

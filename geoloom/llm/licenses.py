@@ -64,7 +64,9 @@ def scanned(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str
     text = F.coalesce("text", F.lit(""))
     # Of all letters beyond A-Z, lower() turns the Kelvin sign alone into one of them.
     words = F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))), SEPARATORS), "")
-    row = [F.xxhash64("doc_id", text).alias("h1"), F.xxhash64(text, "doc_id").alias("h2")]
+    # xxhash64() passes over nulls, so an id that may be null goes with a flag.
+    known = [F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id")]
+    row = [F.xxhash64(*known, text).alias("h1"), F.xxhash64(text, *known).alias("h2")]
     texts = docs.select(*row, words.alias("words"))
     grams = texts.select("h1", "h2", "words", F.posexplode(F.expr("slice(words, 1, greatest(size(words) - 1, 0))")).alias("pos", "w1"))
     grams = grams.select("h1", "h2", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"))

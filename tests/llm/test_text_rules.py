@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -105,6 +106,8 @@ def test_license_rows(spark):
     assert len(got) == len(rows_)
     assert sorted(r[6] for r in got if r[0] == 4) == ["", "", "mit", "mit"]
     assert sorted((r[1], r[2], r[6]) for r in got if r[0] is None) == [(3, 1, "cc-by"), (6, 2, "reserved")]
+    keyless = spark.createDataFrame([(None, f"text {i} cc by") for i in range(50)] + [(0, "text 1 cc by")], "doc_id long, text string")
+    assert licenses.scanned(keyless).filter("n_base = 1 and first_word = 2").count() == 51
     assert [r[1:3] for r in got if r[0] == 7] == [(3, 1)] and [r[6] for r in got if r[0] == 8] == ["apache-2.0"]
     long = spark.createDataFrame([(1, "under the " * 20_000 + "released " + "under the " * 50 + " released under the mit license")], "doc_id long, text string")
     assert licenses.scanned(long).first().labels == "mit"
@@ -199,6 +202,44 @@ def test_many_languages(spark):
     assert got.count() > 100 and got.filter("lang = lang_pred").count() >= 0.95 * got.count()
 
 
+def test_too_many_languages(spark):
+    """A table that names more languages than the driver's table is meant for is refused, not cut."""
+    docs = spark.createDataFrame([(i, "the house", f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
+    assert len(langid.Model(langid.learned(docs), most=6).langs) == 6
+    with pytest.raises(ValueError):
+        langid.Model(langid.learned(docs), most=5)
+
+
+def test_word_scores(spark):
+    """Against counts of trigrams taken byte by byte, in whole numbers and plain logarithms; a language without a word's script is out."""
+    train = {"en": "the house and the river", "de": "das haus und der fluss über", "ru": "дом и река этого города", "el": "το σπίτι και το ποτάμι"}
+
+    def bucket(before: int, at: int, after: int) -> int:
+        code = (at * 65537 + before * 2654435761 + after * (40503 * 65536 + 251)) % 2**32
+        code = (code ^ code >> 15) * 0x2C1B3C6D % 2**32
+        return code >> 17
+
+    def grams(word: str) -> list[int]:
+        data = f" {word} ".encode()
+        return [bucket(*data[i - 1 : i + 2]) for i in range(1, len(data) - 1)]
+
+    counts = {lang: Counter(g for w in text.split() for g in grams(w)) for lang, text in train.items()}
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(train.items())], "doc_id long, text string, lang string")
+    model = langid.Model(langid.learned(docs))
+    asked = ["the", "river", "haus", "über", "город", "σπίτι", "zzz", "домthe", "和"]
+    first_bytes = {lang: {langid.scripts()[c.encode()[0]] for c in text if c != " "} for lang, text in train.items()}
+    data, starts, ends, _ = langid.letter_runs(pa.array([" ".join(asked)]))
+    got = langid.word_scores(model, data, starts, ends)
+    assert model.langs == sorted(train) and got.shape == (len(asked), 4)
+    for word, row in zip(asked, got, strict=True):
+        scripts = {langid.scripts()[c.encode()[0]] for c in word}
+        able = {lang for lang in train if scripts <= first_bytes[lang]}
+        for lang, score in zip(model.langs, row, strict=True):
+            total = sum(counts[lang].values()) + 0.5 * langid.BUCKETS
+            want = sum(math.log((counts[lang][g] + 0.5) / total) for g in grams(word)) - (1e4 if able and lang not in able else 0)
+            assert abs(score - want) < 0.01, (word, lang)
+
+
 def test_signs_are_no_letters(spark):
     train = spark.createDataFrame([(0, "the house " * 9, "en"), (1, "дом и река " * 9, "ru")], "doc_id long, text string, lang string")
     model = langid.Model(langid.learned(train))
