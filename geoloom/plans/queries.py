@@ -142,9 +142,11 @@ def usage_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT entity_id AS point, wkt FROM {fx_nodes} WHERE entity_id IN (SELECT entity_id FROM {fx_tags} WHERE key = 'amenity' AND value = 'bench')")
 def pattern_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph pattern over the raw triples."""
+    """A graph pattern over the table by predicate, of which three predicates' files are read."""
     osm, space = triples.PREFIXES["osm"], triples.PREFIXES["geo"]
-    graph = Graph(spark, sf_dir).triples()
+    path = triples.shared_folder(spark)
+    triples.write_triples(Graph(spark, sf_dir).triples(), path)
+    graph = triples.read_triples(spark, path)
     return match.matched(graph, [("?point", osm + "wiki/Key:amenity", "bench"), ("?point", space + "hasGeometry", "?g"), ("?g", space + "asWKT", "?wkt")]).select("point", "wkt")
 
 

@@ -33,6 +33,48 @@ def test_patterns(spark):
     assert match.asked(match.match(g, o="x")).first().answer is False
 
 
+def test_stars(spark):
+    """Against all ways to choose a triple for each pattern; subjects with several objects, variables that stand twice."""
+    rng = random.Random(3)
+    rows = sorted({(f"n{rng.randrange(25)}", rng.choice("pqr"), f"n{rng.randrange(6)}") for _ in range(140)})
+    g = graph(spark, [*rows, rows[0]]).unionByName(graph(spark, [(None, "p", "n1"), ("n1", "p", None), ("m", "p", "n1"), ("m", "q", "n2")]))
+
+    def brute(patterns):
+        ways = [{}]
+        for pattern in patterns:
+            nexts = []
+            for way in ways:
+                for triple in [*rows, ("m", "p", "n1"), ("m", "q", "n2")]:
+                    own = dict(way)
+                    if all(own.setdefault(t, v) == v if t.startswith("?") else t == v for t, v in zip(pattern, triple)):
+                        nexts.append(own)
+            ways = nexts
+        return sorted({tuple(sorted(x.items())) for x in ways})
+
+    for patterns in (
+        [("?s", "p", "?a"), ("?s", "q", "?b")],
+        [("?s", "p", "?a"), ("?s", "q", "?b"), ("?s", "r", "n1")],
+        [("?s", "p", "?a"), ("?s", "q", "?a")],
+        [("?s", "p", "?s"), ("?s", "q", "?b")],
+        [("?s", "p", "n1"), ("?s", "q", "n2")],
+        [("?s", "p", "?t"), ("?t", "q", "?u"), ("?s", "r", "?v"), ("?t", "p", "n2")],
+    ):
+        got = [tuple(sorted((f"?{k}", v) for k, v in r.asDict().items())) for r in match.matched(g, patterns).collect()]
+        assert sorted(got) == brute(patterns), patterns
+    assert match.matched(g.limit(0), [("?s", "p", "?a"), ("?s", "q", "?b")]).count() == 0
+    with pytest.raises(ValueError):
+        match.matched(g, [("?s", "p", "?a"), ("?x", "q", "?y")])
+
+
+def test_star_plan(spark):
+    """One exchange, and of the table by predicate the files of three predicates alone."""
+    path = T.shared_folder(spark)
+    T.write_triples(graph(spark, [(f"n{i}", f"p{i % 8}", "o") for i in range(64)]), path)
+    stored = T.read_triples(spark, path)
+    plan = match.star(stored, [("?s", "p1", "o"), ("?s", "p2", "o"), ("?s", "p3", "o")])._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1 and "PartitionFilters: [p#" in plan
+
+
 def test_closures(spark):
     g = graph(spark, [("A", RDFS + "subClassOf", "B"), ("B", RDFS + "subClassOf", "C"), ("C", RDFS + "subClassOf", "A"), ("p", RDFS + "domain", "D"), ("p", RDFS + "range", "R"), ("p", T.PREFIXES["owl"] + "inverseOf", "q")])
     data = graph(spark, [("x", T.RDF_TYPE, "A"), ("x", "p", "y")])
