@@ -147,9 +147,10 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 1, tiers: tuple[int, ...]
     schema = pa.schema([(c.split()[0], t) for c, t in zip(SCHEMA.split(", "), types, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = file_encoder(tokenizer)
+        pa.default_memory_pool().release_unused()  # what an earlier task of this process held
+        encode, _ = file_encoder(tokenizer, cached=200_000)
         packer = Packer(tiers, TaskContext.get().partitionId())
-        for block in blocks(batches, "text", 12 << 20):
+        for block in blocks(batches, "text", 6 << 20):
             ids, offsets = with_end(*encode(block.column("text")), end)
             bounds = offsets.tolist()
             for i, doc_id in enumerate(block.column("doc_id").to_pylist()):

@@ -258,7 +258,7 @@ class PieceEncoder:
         return np.frombuffer(held, np.uint32, starts[-1]) if held is not None else np.zeros(0, np.uint32), starts[first]
 
 
-def file_encoder(path: str) -> tuple[PieceEncoder, int]:
+def file_encoder(path: str, cached: int = 350_000) -> tuple[PieceEncoder, int]:
     """An encoder by a tokenizers file with add_special_tokens=False, and its vocabulary's size. As in the library's plain call, strings of special tokens in a text are found there."""
 
     def make() -> tuple[PieceEncoder, int]:
@@ -271,9 +271,9 @@ def file_encoder(path: str) -> tuple[PieceEncoder, int]:
             spec = json.load(file)
         cut, folded = structure(spec)
         special = tuple(x["content"].encode() for x in spec.get("added_tokens") or [])
-        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], cut, folded, special), model.get_vocab_size()
+        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], cut, folded, special, cached), model.get_vocab_size()
 
-    return kept_in_process(("tokenizers", path), make)
+    return kept_in_process(("tokenizers", path, cached), make)
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
