@@ -7,10 +7,12 @@ The inverted index has a list for each value of three byte positions, for the
 20 triples out of which every four positions hold at least one; so every such
 pair meets in some list. There the shared bytes of each pair are tallied, pairs
 with the guaranteed four are retained, and their differing bits are counted.
-Equal fingerprints are one entry of the index. A list of over ``most`` entries
-is cut in blocks, and each pair of blocks is a list of its own, so no task holds
-more than about ``most`` entries of a list, however many there are. Of a list
-only a spanning forest of its links is passed on, never all its pairs.
+Equal fingerprints are one entry of the index. In a long list, only entries that
+share a fourth byte are compared; a list of over ``most`` entries is split in
+this way before it is sent to tasks. What is longer still is cut in blocks, and
+each pair of blocks is a list of its own, so no task holds more than about
+``most`` entries of a list, however many there are. Of a list only a spanning
+forest of its links is passed on, never all its pairs.
 
 Defined cases: null and empty texts have no word and the fingerprint zero, and
 are linked like any other; a text of fewer words than a shingle is one shingle;
@@ -92,30 +94,53 @@ def near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
     return (np.bitwise_count(zero) >= SHARED) & (np.bitwise_count(x) <= bits)
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return first, np.diff(np.append(first, len(keys)))
+
+
 def linked(keys: np.ndarray, prints: np.ndarray, bits: int, short: int = 64) -> np.ndarray:
-    """For rows sorted by key: the index of a row of the same list that each row is linked to, at whatever remove, the smallest."""
-    n = len(keys)
-    label = np.arange(n)
-    edges = []
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else np.zeros(0, int)
-    sizes = np.diff(np.append(first, n))
-    small = np.repeat(sizes <= short, sizes)
-    for lag in range(1, int(sizes[sizes <= short].max(initial=1))):
-        at = np.flatnonzero(small[:-lag] & (keys[lag:] == keys[:-lag]))
-        at = at[near(prints[at], prints[at + lag], bits)]
-        edges.append((at, at + lag))
-    for a, size in zip(first[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
-        own = prints[a : a + size]
-        step = max(1, (1 << 20) // size)
-        for i in range(0, size, step):
-            some = own[i : i + step]
-            p, q = np.nonzero(near(some[:, None], own[None, i:], bits))
+    """For rows sorted by key: the index of a row of the same list that each row is linked to, at whatever remove, the smallest.
+
+    In a list of over short rows only those meet that share one more byte: its
+    members agree in three positions, so a pair with the guaranteed four agrees
+    in one of the others as well.
+    """
+    label, edges = np.arange(len(keys)), []
+
+    def link(p: np.ndarray, q: np.ndarray) -> None:
+        edges.append((p, q))
+        if sum(len(e[0]) for e in edges) > 4 << 20:
+            settle(label, edges)
+            edges.clear()
+
+    def meet(rows: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        own, run = prints[rows], np.repeat(np.arange(len(sizes)), sizes)
+        small = np.repeat(sizes <= short, sizes)
+        for lag in range(1, int(sizes[sizes <= short].max(initial=1))):
+            at = np.flatnonzero(small[:-lag] & (run[lag:] == run[:-lag]))
+            at = at[near(own[at], own[at + lag], bits)]
+            link(rows[at], rows[at + lag])
+        for a, size in zip(first[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+            some, at = own[a : a + size], rows[a : a + size]
+            values = some.view(np.uint8).reshape(-1, BYTES)
+            free = np.flatnonzero(values.min(0) != values.max(0))
+            if BYTES - len(free) < SHARED:
+                for p in free:
+                    order = np.argsort(values[:, p], kind="stable")
+                    meet(at[order], *runs(values[order, p]))
+            else:
+                each_with_each(some, at)
+
+    def each_with_each(some: np.ndarray, at: np.ndarray) -> None:
+        step = max(1, (1 << 20) // len(some))
+        for i in range(0, len(some), step):
+            p, q = np.nonzero(near(some[i : i + step, None], some[None, i:], bits))
             keep = q > p
-            p, q = p[keep] + a + i, q[keep] + a + i
-            edges.append((p, q))
-            if sum(len(e[0]) for e in edges) > 4 << 20:
-                settle(label, edges)
-                edges = []
+            link(at[p[keep] + i], at[q[keep] + i])
+
+    meet(label.copy(), *runs(keys))
     settle(label, edges)
     return label
 
@@ -144,15 +169,32 @@ def postings(prints: DataFrame) -> DataFrame:
     return prints.select("id", "fingerprint", F.explode(F.array(*keys)).alias("key"))
 
 
+def long_lists(lists: DataFrame, most: int) -> DataFrame:
+    return written(lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "long-lists")
+
+
 def dealt(lists: DataFrame, most: int) -> DataFrame:
-    """The index with lists of over most entries dealt to tasks: such a list is cut in blocks, and each pair of its blocks is a list of its own."""
-    long = written(lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "long-lists")
+    """The index with its lists of over most entries dealt to tasks.
+
+    Such a list is split by the byte at each of the other five positions: an
+    entry goes to five lists, one of which it shares with any near entry. What
+    still has over most entries is cut in blocks, and each pair of its blocks is
+    a list of its own. New lists are named by hashes; should two have one name,
+    they are compared in vain, and no link is lost or made by it.
+    """
+    long = long_lists(lists, most)
+    if long.isEmpty():
+        return lists
+    others = F.array(*[F.array(*[F.lit(p) for p in range(BYTES) if p not in t]) for t in triples()])
+    byte = lambda p: F.call_function("shiftrightunsigned", F.col("fingerprint"), 56 - 8 * p).bitwiseAND(255)
+    by_byte = F.transform(others[F.shiftright("key", 24).cast("int")], lambda p: F.xxhash64("key", p, byte(p)))
+    split = lists.join(long, "key", "left").select("id", "fingerprint", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(by_byte)).alias("key"))
     n = F.expr(f"cast(ceil(n / {most / 2}) as long)")
     own = F.pmod(F.xxhash64("id"), n)
-    pair = lambda j: F.shiftleft(F.least(own, j), 17) + F.greatest(own, j)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: j != own)
-    parts = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, pair))
-    return lists.join(long, "key", "left").select("id", "fingerprint", "key", F.explode(parts).alias("part")).select("id", "fingerprint", (F.shiftleft("key", 34) + F.col("part")).alias("key"))
+    pair = lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: j != own), pair)
+    parts = F.when(F.col("n").isNull(), F.array("key")).otherwise(pairs)
+    return split.join(long_lists(split, most), "key", "left").select("id", "fingerprint", F.explode(parts).alias("key"))
 
 
 def links(prints: DataFrame, bits: int = 4, most: int = 8192) -> DataFrame:

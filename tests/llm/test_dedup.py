@@ -115,8 +115,10 @@ def test_dense_fingerprints(spark):
     base = int(rng.integers(1 << 62))
     values = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (400, 2))} | {int(x) for x in rng.integers(1 << 62, size=300)})
     prints = spark.createDataFrame(list(enumerate(values)), "id long, fingerprint long")
-    dealt = simhash.dealt(simhash.postings(prints), 50).groupBy("key").count().collect()
-    assert max(r["count"] for r in dealt) < 100 and any(r.key & ((1 << 34) - 1) for r in dealt)
+    lists = {r.key: r["count"] for r in simhash.postings(prints).groupBy("key").count().collect()}
+    dealt = {r.key: r["count"] for r in simhash.dealt(simhash.postings(prints), 50).groupBy("key").count().collect()}
+    assert max(lists.values()) > 100 and max(dealt.values()) < 100 and dealt.keys() - lists.keys()
+    assert dict(lists.items() & dealt.items()) == {k: n for k, n in lists.items() if n <= 50}
     got = {r.id: r.component for r in components.components(simhash.links(prints)).collect()}
     assert got == {r.id: r.component for r in components.components(simhash.links(prints, most=50)).collect()}
     v = np.array(values, np.uint64)
@@ -130,6 +132,23 @@ def test_dense_fingerprints(spark):
     assert [got.get(i, i) for i in range(len(v))] == label.tolist()
 
 
+def test_linked_by_a_fourth_byte():
+    """Long lists of rows that agree in three bytes, in four, in none; every pair against every pair."""
+    rng = np.random.default_rng(3)
+    for free in ((0, 1, 2, 3, 4), (4, 5, 6, 7), (0, 1, 2, 3, 4, 5, 6, 7), (2,)):
+        mask = sum(255 << 8 * int(p) for p in free)
+        seeds = rng.integers(1 << 63, size=250, dtype=np.uint64) & np.uint64(mask)
+        flips = np.uint64(1) << (8 * rng.choice(free, (900, 4)) + rng.integers(0, 8, (900, 4))).astype(np.uint64)
+        prints = np.unique(seeds[rng.integers(0, 250, 900)] ^ np.bitwise_xor.reduce(flips, axis=1))
+        prints = np.concatenate([prints, prints ^ np.uint64(1 << 63)])
+        keys = np.repeat([0, 1], len(prints) // 2)
+        want = np.arange(len(prints))
+        simhash.settle(want, [np.nonzero((keys[:, None] == keys) & (np.bitwise_count(prints[:, None] ^ prints) <= 4))])
+        for short in (1, 8, 64):
+            assert simhash.linked(keys, prints, 4, short).tolist() == want.tolist()
+    assert simhash.linked(keys[:0], prints[:0], 4).tolist() == []
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
