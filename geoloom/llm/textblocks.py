@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from itertools import islice, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -194,6 +194,22 @@ def structure(spec: dict) -> tuple[bool, bool]:
     return False, False
 
 
+def separator(spec: dict) -> tuple[bytes, int] | None:
+    """A special token of a tokenizers file, and its id, that keeps strings apart which it is put between: the library looks for special tokens first and treats what lies between them as texts of their own. None if there is no such token."""
+    added, vocab = spec.get("added_tokens") or [], (spec.get("model") or {}).get("vocab")
+    if spec.get("truncation") or spec.get("padding") or not isinstance(vocab, dict):
+        return None
+    known = {*vocab.values()}
+    for x in added:
+        own = x["content"]
+        plain = own and x["id"] not in known and not any(x.get(k) for k in ("normalized", "lstrip", "rstrip", "single_word"))
+        # No special token may begin in what is before and end in own, or be the beginning of one another.
+        alone = own.rfind(own[:1]) == 0 and all(y["content"].rfind(own[:1]) <= 0 and (y is x or y["id"] != x["id"] and not y["content"].startswith(own) and not own.startswith(y["content"])) for y in added)
+        if plain and alone:
+            return own.encode(), x["id"]
+    return None
+
+
 class PieceEncoder:
     """Ids of texts by way of their distinct pieces, each encoded once for a block, or once while it stays in the cache.
 
@@ -201,19 +217,31 @@ class PieceEncoder:
     be cut by chunks(), else each is a piece. folded: encode takes no heed of
     white space around a piece and of the case of A-Z. special: strings that
     encode looks for in the whole text; a text that holds one is encoded whole.
+    apart: as separator() gives it; pieces are then encoded many in a string.
     """
 
-    def __init__(self, encode, cut: bool = True, folded: bool = False, special: tuple[bytes, ...] = (), cached: int = 350_000, at_once: int = 2048):
-        self.encode, self.cut, self.folded, self.special, self.cached, self.at_once = encode, cut, folded, special, cached, at_once
+    def __init__(self, encode, cut: bool = True, folded: bool = False, special: tuple[bytes, ...] = (), cached: int = 350_000, at_once: int = 2048, apart: tuple[bytes, int] | None = None):
+        self.encode, self.cut, self.folded, self.special, self.cached, self.at_once, self.apart = encode, cut, folded, special, cached, at_once, apart
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def each(self, pieces: list[bytes], together: int = 64) -> list[bytes]:
+        """The ids of each piece."""
+        if not self.apart:
+            return [array("I", ids).tobytes() for ids in self.encode([p.decode() for p in pieces])]
+        mark, own = self.apart
+        strings = [b"".join(p + mark for p in pieces[i : i + together]).decode() for i in range(0, len(pieces), together)]
+        ids = np.fromiter(chain.from_iterable(self.encode(strings)), np.uint32)
+        ends = np.flatnonzero(ids == own)
+        held, ends = ids.tobytes(), (4 * ends).tolist()
+        return [held[a + 4 : b] for a, b in pairwise([-4, *ends])]
+
     def lookup(self, pieces: list[bytes]) -> list[bytes]:
         found = [self.young.get(p) or self.old.get(p) for p in pieces]
         missing = (i for i, x in enumerate(found) if x is None)
         while some := list(islice(missing, self.at_once)):
             new = [p for p in dict.fromkeys(pieces[i] for i in some) if p not in self.young]
-            made = {p: array("I", ids).tobytes() for p, ids in zip(new, self.encode([p.decode() for p in new]), strict=True)}
+            made = dict(zip(new, self.each(new), strict=True))
             self.young.update((p, ids) for p, ids in made.items() if len(p) <= 64)
             for i in some:
                 found[i] = made[pieces[i]] if pieces[i] in made else self.young[pieces[i]]
@@ -263,15 +291,17 @@ def file_encoder(path: str, cached: int = 350_000) -> tuple[PieceEncoder, int]:
 
     def make() -> tuple[PieceEncoder, int]:
         import json
+        import os
 
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already; the library's threads spin while they wait
         model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         cut, folded = structure(spec)
         special = tuple(x["content"].encode() for x in spec.get("added_tokens") or [])
-        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], cut, folded, special, cached), model.get_vocab_size()
+        return PieceEncoder(lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)], cut, folded, special, cached, apart=separator(spec) if cut else None), model.get_vocab_size()
 
     return kept_in_process(("tokenizers", path, cached), make)
 

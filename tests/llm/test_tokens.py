@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import zlib
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from geoloom.llm import bytebpe, packing, sstable, textblocks
 
-from .fixtures import rows
+from .fixtures import prose, rows
 
 
 def encoder(name):
@@ -49,6 +50,42 @@ def test_unknown_structure():
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [model.encode(x, add_special_tokens=False).ids for x in SPECIAL]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_together(name, monkeypatch):
+    """Pieces go to the library many in a string, on one thread, and have the ids of each text alone; a small cache changes nothing."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    encode, own = encoder(name), textblocks.file_encoder(public_tokenizers.path(name), cached=1_501)[0]
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    given, plain = [], own.encode
+    monkeypatch.setattr(own, "encode", lambda xs: given.extend(xs) or plain(xs))
+    texts = [" ".join(prose(seed, 500)) + odd for seed, odd in enumerate(["", " <|", "<|endoftext", "|> x", "  \n", "ß" * 3000, " '", "'s", "<", ">\u0338<\u0338"])]
+    for _ in range(2):
+        ids, starts = own(pa.array([*texts, None, ""]))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [encode(x) for x in [*texts, "", ""]]
+    pieces = sum(len({x.strip() for x in t.split()}) for t in texts)
+    assert pieces > 2000 and 0 < len(given) < pieces / 16
+    given.clear()
+    ids, starts = own(pa.array([*texts, *SPECIAL]))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [encode(x) for x in [*texts, *SPECIAL]]
+
+
+def test_separator():
+    """A token that would take heed of what is beside it, or whose id can come from a text, keeps nothing apart."""
+    spec = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    first, second = spec["added_tokens"]
+    assert textblocks.separator(spec) == (b"<|startoftext|>", first["id"])
+    for k in ("normalized", "lstrip", "rstrip", "single_word"):
+        assert textblocks.separator(spec | {"added_tokens": [first | {k: True}, second]}) == (b"<|endoftext|>", second["id"])
+    assert textblocks.separator(spec | {"added_tokens": [first, second | {"content": "b<|"}]}) == (b"b<|", second["id"])
+    for odd in ("<|startoftext|>>", "b<|b"):
+        assert textblocks.separator(spec | {"added_tokens": [first, second | {"content": odd}]}) is None
+    assert textblocks.separator(spec | {"added_tokens": [first | {"content": "<<"}]}) is None
+    assert textblocks.separator(spec | {"added_tokens": [first | {"id": 7}]}) is None
+    assert textblocks.separator(spec | {"added_tokens": []}) is None
+    assert textblocks.separator(spec | {"truncation": {"max_length": 9}}) is None
+    assert textblocks.separator(spec | {"model": {"vocab": [["a", 0.0]]}}) is None
+
+
 def test_packing(spark, docs, empty):
     encode = encoder("byte_bpe_50k.json")
     want = {r[0]: [*encode(r[1]), 1] for r in rows()}
