@@ -68,3 +68,19 @@ def test_potentials(spark):
     counts = spark.createDataFrame([("p", 3, 1, 0, 0), ("p", 1, 2, 0, 0), ("p", 0, 5, 0, 0)], "part string, mask int, n long, good long, toxic long")
     got = {r.filter_order[r.step - 1]: r.shapley for r in audit.interactions(counts, "ABC").collect()}
     assert got == {"A": 6 * 2 + 3, "B": 3, "C": 0}
+
+
+def test_sql(spark):
+    """The query against its SQL, with both tables that the SQL reads."""
+    import duckdb
+
+    from geoloom.llm import queries
+
+    sf, name, oracle = "/root/testdata/sf0.001", "op12_filter_audit", duckdb.connect()
+    for table in ("documents", "labels"):
+        oracle.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    found = oracle.execute(queries.oracle_sql()[name])
+    names, want = [c[0] for c in found.description], found.fetchall()
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(names) and want
+    assert sorted(repr([r[c] for c in names]) for r in got.collect()) == sorted(repr(list(r)) for r in want)
