@@ -205,6 +205,12 @@ def template_parameter(block: Column, name: str) -> Column:
     return stripped(F.get(F.split(rest, r"(?U)\n(?=\|\s*[A-Za-z0-9_]+\s*=|\}\})", 2), F.lit(0)))
 
 
+def parameter_text(block: Column, name: str) -> Column:
+    """What stands after a parameter's equals sign, blanks included, up to the next parameter's line or the end. Of a parameter that is left empty it is empty, where template_parameter() goes on to what follows."""
+    rest = extracted(block, rf"(?isU)\|\s*{name}\s*=(.*)")
+    return F.get(F.split(rest, r"(?U)\n(?=\|\s*[A-Za-z0-9_]+\s*=|\}\})", 2), F.lit(0))
+
+
 def truthy(c: Column) -> Column:
     low = F.lower(stripped(c))
     return F.coalesce(low.isin("yes", "true", "1", "recommended") | low.startswith("yes"), F.lit(False))
