@@ -59,7 +59,7 @@ def key_data(keys: DataFrame, pages: DataFrame, usage: DataFrame, least: int = 1
     """key, description, elements and values of each key."""
     block = text.template_block(F.col("wikitext"), "KeyDescription")
     described = key_pages(pages).groupBy("key").agg(F.min("wikitext").alias("wikitext"))
-    raw = F.coalesce(text.template_parameter(block, "description"), F.lit(""))
+    raw = F.coalesce(text.stripped(text.parameter_text(block, "description")), F.lit(""))
     described = described.select("key", text.clean_description(text.clean_wikitext(raw)).alias("description"), text.element_kinds(block).alias("elements"))
     values = classified_values(frequent_values(usage, least)).filter("reason is null").groupBy("key").agg(F.array_sort(F.collect_set("concept_value")).alias("values"))
     none = F.array().cast("array<string>")
@@ -73,14 +73,14 @@ def wanted_tags(keys: DataFrame) -> DataFrame:
 
 
 def value_data(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """key, value, description and combinations of each wanted tag; without a page they are empty."""
+    """key, value, described (there is a page), description and combinations of each wanted tag; without a page the last two are empty."""
     found = tag_pages(pages).join(wanted, ["key", "value"], "left_semi").groupBy("key", "value").agg(F.min("wikitext").alias("wikitext"))
     block = text.template_block(F.col("wikitext"), "ValueDescription")
-    description = text.clean_description(text.clean_wikitext(F.coalesce(text.template_parameter(block, "description"), F.lit(""))))
+    description = text.clean_description(text.clean_wikitext(F.coalesce(text.stripped(text.parameter_text(block, "description")), F.lit(""))))
     keys = F.filter(F.transform(text.combination_keys(F.col("wikitext")), text.concept_value), lambda k: k.isNotNull())
-    found = found.select("key", "value", description.alias("description"), keys.alias("combinations"))
+    found = found.select("key", "value", F.lit(True).alias("described"), description.alias("description"), keys.alias("combinations"))
     out = wanted.select("key", "value").distinct().join(found, ["key", "value"], "left")
-    return out.select("key", "value", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("combinations", F.array().cast("array<string>")).alias("combinations"))
+    return out.select("key", "value", F.coalesce("described", F.lit(False)).alias("described"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("combinations", F.array().cast("array<string>")).alias("combinations"))
 
 
 def coverage(keys: DataFrame, values: DataFrame) -> DataFrame:
