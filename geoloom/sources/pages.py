@@ -41,20 +41,20 @@ def resolved(pages: DataFrame) -> DataFrame:
     """(title, target, steps, outcome) of each redirect, followed to its end: outcome is page, missing (no page of that title) or loop (then target and steps are null).
 
     Each round joins what is known with itself, so the steps that are known
-    double; a title that has no end after as many rounds as double to the number
-    of redirects leads into a loop. Each round is written.
+    double. A chain that ends has titles with any lesser number of steps left,
+    so a round in which none comes to its end leaves loops, and what leads into
+    them. Each round is written.
     """
     moved = written(redirects(pages))
     known = moved.withColumn("steps", F.lit(1).cast("long"))
     ends = moved.select(F.col("title").alias("target"), F.lit(True).alias("goes_on"))
-    open_, rounds = moved.count(), moved.count().bit_length() + 1
-    for _ in range(rounds):
-        if not open_:
-            break
+    going_on = lambda: known.join(ends, "target", "left_semi").count()
+    before, open_ = None, going_on()
+    while open_ and open_ != before:
         ahead = known.select(F.col("title").alias("target"), F.col("target").alias("next"), F.col("steps").alias("more"))
         known = known.join(ahead, "target", "left")
         known = written(known.select("title", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-        open_ = known.join(ends, "target", "left_semi").limit(1).count()
+        before, open_ = open_, going_on()
     there = pages.select(F.col("title").alias("target")).distinct().withColumn("there", F.lit(True))
     out = known.join(ends, "target", "left").join(there, "target", "left")
     loop = F.col("goes_on").isNotNull()
